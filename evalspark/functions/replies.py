@@ -238,19 +238,27 @@ def _check_instructions(parsed: Column, listed: Column, named: Column, memory_id
     exact = (F.size(ids) == F.size(memory_ids)) & (F.size(F.array_except(memory_ids, ids)) == 0) & (
         F.size(F.array_except(ids, memory_ids)) == 0)
 
-    def pick(memory_id: Column) -> Column:
-        item = F.get(F.filter(named, lambda x: x["id"] == memory_id), F.lit(0))["item"]
+    exact = F.coalesce(exact, F.lit(False))
+
+    def pick(table: Column, memory_id: Column) -> Column:
+        item = F.element_at(table, memory_id)
         return F.struct(
             memory_id.alias("memory_id"),
             F.when(_is_text(_get(item, "$.use_instruction")), _get(item, "$.use_instruction", "string")).alias("use_instruction"),
             F.when(_is_text(_get(item, "$.rationale")), _get(item, "$.rationale", "string")).alias("rationale"),
         )
 
-    ordered = F.transform(memory_ids, pick)
+    # an exact set has unique non-null ids, so the lookup map is well defined
+    by_id = F.map_from_entries(F.when(exact, named))
+    ordered = bind(by_id, lambda table: F.transform(memory_ids, lambda m: pick(table, m)))
+    return bind(ordered, lambda bound: _instruction_result(parsed, listed, exact, bound))
+
+
+def _instruction_result(parsed: Column, listed: Column, exact: Column, ordered: Column) -> Column:
     problem = (
         F.when(parsed.isNull(), "no JSON object")
         .when(~_is_list(listed), "no instruction list")
-        .when(~F.coalesce(exact, F.lit(False)), "memory ids differ")
+        .when(~exact, "memory ids differ")
         .when(F.exists(ordered, lambda o: o["use_instruction"].isNull()), "use_instruction")
         .when(F.exists(ordered, lambda o: o["rationale"].isNull()), "rationale")
     )

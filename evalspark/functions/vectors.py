@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 
 def l2_normalize(vector: Column) -> Column:
@@ -29,7 +30,7 @@ def _row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def cosine(left: pa.Array, right: pa.Array) -> pa.Array:
     """Cosine of two list columns row by row; a zero vector scores 0."""
     left = pa.concat_arrays(left.chunks) if isinstance(left, pa.ChunkedArray) else left

@@ -225,7 +225,7 @@ def release_to_eval(rows: DataFrame) -> DataFrame:
     for name, mapping in RELEASE_FIELDS.items():
         pairs = [x for target, origin in mapping.items() for x in (F.lit(target), source(origin))]
         fields = F.when(task == name, F.create_map(*pairs)).otherwise(fields)
-    adapted = F.try_variant_get("row", "$.dialogue").isNotNull() & F.try_variant_get("row", "$.evaluation").isNotNull()
+    adapted = F.try_variant_get("row", "$.dialogue", "variant").isNotNull() & F.try_variant_get("row", "$.evaluation", "variant").isNotNull()
     turns = F.transform(items("$.dialogue"), lambda m: F.struct(
         speaker(F.lower(strip(F.try_variant_get(m, "$.role", "string")))).alias("speaker"),
         F.concat(speaker(F.lower(strip(F.try_variant_get(m, "$.role", "string")))), F.lit(": "),

@@ -206,7 +206,7 @@ def arm_record_checks(baseline: DataFrame, staged: DataFrame, keys: list[str]) -
     fields = RECORD_SETTINGS + ["run_fingerprint"]
 
     def pack(df: DataFrame, name: str) -> DataFrame:
-        texts = F.transform("retrieved_memories", memory_text)
+        texts = F.transform("retrieved_memories", lambda m: memory_text(m))
         return df.select(*keys, "sample_id", F.struct(
             *[F.col(f).cast("string").alias(f) for f in fields], texts.alias("texts")).alias(name))
 

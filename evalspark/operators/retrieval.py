@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from evalspark.functions.text import strip
+from evalspark.functions.binding import bind
+from evalspark.functions.text import collapse_whitespace, strip
 from evalspark.functions.vectors import cosine
 from evalspark.session import fits_broadcast
 
@@ -107,12 +108,14 @@ def store_status(marker_time: Column, started: Column, bundled: Column) -> Colum
 
 def fidelity(given: Column, retrieved: Column, examples: int = 5) -> Column:
     """Given-versus-retrieved counts over whitespace-normalised texts of one sample."""
-    from evalspark.functions.text import collapse_whitespace
-
     wanted = F.array_distinct(F.transform(given, collapse_whitespace))
     got = F.transform(retrieved, collapse_whitespace)
-    unmatched = F.filter(got, lambda t: (F.length(t) > 0) & ~F.array_contains(wanted, t))
-    return F.struct(
-        F.size(given).alias("given"), F.size(retrieved).alias("retrieved"),
-        F.size(F.filter(got, lambda t: F.array_contains(wanted, t))).alias("verbatim_matches"),
-        F.slice(unmatched, 1, examples).alias("unmatched"))
+
+    def count(known: Column, found: Column) -> Column:
+        strange = F.filter(found, lambda t: ~F.array_contains(known, t))
+        return F.struct(
+            F.size(given).alias("given"), F.size(found).alias("retrieved"),
+            (F.size(found) - F.size(strange)).alias("verbatim_matches"),
+            F.slice(F.filter(strange, lambda t: F.length(t) > 0), 1, examples).alias("unmatched"))
+
+    return bind(wanted, lambda known: bind(got, lambda found: count(known, found)))
