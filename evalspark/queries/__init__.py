@@ -31,5 +31,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load_all() -> None:
     """Import the query modules so that they register themselves."""
     from evalspark.queries import (  # noqa: F401
-        q_adapt, q_dialogue, q_replies,
+        q_adapt, q_dialogue, q_efficiency, q_metrics, q_replies,
         q_text)
