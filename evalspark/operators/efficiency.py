@@ -9,12 +9,15 @@ from evalspark.operators.ordered import exact_quantiles, time_chunk, with_neighb
 TOKENS = ["input_tokens", "output_tokens", "total_tokens", "cached_input_tokens", "reasoning_tokens"]
 
 
+COUNTERS = ["api_call_count", "successful_api_call_count", "failed_api_call_count", "usage_missing_call_count"]
+
+
 def call_sums() -> list[Column]:
     """Null-aware call aggregates; a token sum stays NULL while no value is known."""
     return [
         *[F.sum(t).alias(t) for t in TOKENS],
-        F.round(F.sum(F.coalesce("latency_ms", F.lit(0.0))), 3).alias("api_time_ms"),
-        F.round(F.sum(F.coalesce("retry_sleep_ms", F.lit(0.0))), 3).alias("retry_wait_ms"),
+        F.sum(F.coalesce("latency_ms", F.lit(0.0))).alias("api_time_ms"),
+        F.sum(F.coalesce("retry_sleep_ms", F.lit(0.0))).alias("retry_wait_ms"),
         F.count(F.lit(1)).alias("api_call_count"),
         F.count_if("success").alias("successful_api_call_count"),
         F.count_if(~F.col("success")).alias("failed_api_call_count"),
@@ -22,30 +25,29 @@ def call_sums() -> list[Column]:
     ]
 
 
-def aggregate_calls(calls: DataFrame, keys: list[str]) -> DataFrame:
-    """Call totals per key.
+def _merged_sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in [*TOKENS, "api_time_ms", "retry_wait_ms", *COUNTERS]]
+
+
+def aggregate_calls(calls: DataFrame, keys: list[str], total_over: str | None = None) -> DataFrame:
+    """Call totals per key, by three combinable steps: sample and stage, stage, key.
 
     ``retry_count`` is the highest attempt per stage over the whole group, minus one,
     summed over stages; ``retry_total`` sums the same per sample and stage.
+    ``total_over`` names a key for which total rows (that key NULL) are added; they are
+    rolled up from the per-sample step, so the call log is read and reduced once.
     """
-    stage = F.coalesce("stage", F.lit("unknown"))
-    retries = F.greatest(F.coalesce(F.max("attempt"), F.lit(1)) - 1, F.lit(0))
-    per_sample = calls.groupBy(*keys, stage.alias("stage"), "sample_id").agg(
-        F.max(F.coalesce("attempt", F.lit(1))).alias("attempt"),
-        *[c for c in call_sums()])
-    renamed = per_sample.groupBy(*keys, "stage").agg(
-        *[F.sum(t).alias(t) for t in TOKENS],
-        *[F.sum(c).alias(c) for c in COUNTERS],
-        retries.alias("retry_count"), F.sum(F.col("attempt") - 1).alias("retry_total"))
-    return renamed.groupBy(*keys).agg(
-        *[F.sum(t).alias(t) for t in TOKENS],
-        F.round(F.sum("api_time_ms"), 3).alias("api_time_ms"), F.round(F.sum("retry_wait_ms"), 3).alias("retry_wait_ms"),
-        *[F.sum(c).alias(c) for c in COUNTERS[2:]],
-        F.sum("retry_count").alias("retry_count"), F.sum("retry_total").alias("retry_total"))
-
-
-COUNTERS = ["api_time_ms", "retry_wait_ms", "api_call_count", "successful_api_call_count",
-            "failed_api_call_count", "usage_missing_call_count"]
+    attempt = F.coalesce("attempt", F.lit(1))
+    fine = calls.groupBy(*keys, F.coalesce("stage", F.lit("unknown")).alias("stage"), "sample_id").agg(
+        F.max(attempt).alias("attempt"), *call_sums())
+    if total_over:
+        fine = fine.withColumn(total_over, F.explode(F.array(F.lit(None).cast("string"), F.col(total_over))))
+    by_stage = fine.groupBy(*keys, "stage").agg(
+        *_merged_sums(), F.greatest(F.max("attempt") - 1, F.lit(0)).alias("retry_count"),
+        F.sum(F.col("attempt") - 1).alias("retry_total"))
+    return by_stage.groupBy(*keys).agg(
+        *_merged_sums(), F.sum("retry_count").alias("retry_count"), F.sum("retry_total").alias("retry_total")
+    ).withColumns({c: F.round(c, 3) for c in ("api_time_ms", "retry_wait_ms")})
 
 
 def number_attempts(calls: DataFrame) -> DataFrame:
@@ -79,7 +81,8 @@ def attach_calls(samples: DataFrame, calls: DataFrame) -> DataFrame:
     many calls a sample made.
     """
     keys = ["sample_id", "phase", "run_id"]
-    totals = calls.groupBy(*keys).agg(*call_sums())
+    totals = calls.groupBy(*keys).agg(*call_sums()).withColumns(
+        {c: F.round(c, 3) for c in ("api_time_ms", "retry_wait_ms")})
     return samples.join(totals, keys, "left")
 
 
@@ -130,10 +133,7 @@ def throughput(run: DataFrame) -> DataFrame:
 
 def run_report(samples: DataFrame, calls: DataFrame) -> DataFrame:
     """Run totals by ``(phase, run_id)`` and again by task inside it (task NULL = all tasks)."""
-    both = F.explode(F.array(F.lit(None).cast("string"), F.col("task")))
-    wide_samples = samples.withColumn("task", both)
-    wide_calls = calls.withColumn("task", both)
     keys = ["phase", "run_id", "task"]
-    totals = aggregate_calls(wide_calls, keys)
-    stats = sample_statistics(wide_samples, keys)
-    return throughput(join_null_safe(stats, totals, keys))
+    totals = aggregate_calls(calls, keys, total_over="task")
+    with_total = samples.withColumn("task", F.explode(F.array(F.lit(None).cast("string"), F.col("task"))))
+    return throughput(join_null_safe(sample_statistics(with_total, keys), totals, keys))

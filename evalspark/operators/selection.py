@@ -191,3 +191,12 @@ def id_drift(records: DataFrame, source: DataFrame) -> DataFrame:
         source.select("row_index", F.col("sample_id").alias("source_id")), "row_index", "left")
     return joined.where(~F.col("sample_id").eqNullSafe(F.col("source_id"))).withColumn(
         "problem", F.when(F.col("source_id").isNull(), "sample absent").otherwise("id drift"))
+
+
+def select_cells(cells: DataFrame, filters: dict[str, str]) -> DataFrame:
+    """Cells whose columns are in the given comma lists; an empty list keeps everything."""
+    for column, names in filters.items():
+        wanted = [n.strip() for n in names.split(",") if n.strip()]
+        if wanted:
+            cells = cells.where(F.col(column).isin(*wanted))
+    return cells

@@ -7,6 +7,7 @@ read twice, because calling a model again would give other rows and cost money.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
@@ -26,8 +27,15 @@ CALL_SCHEMA = (
     + ", ".join(f"{name} bigint" for name in USAGE) + ", usage_available boolean, error_type string, error string")
 
 
+def backoff_seconds(attempt: int, error: str, max_wait: float = 120.0) -> float:
+    """Exponential wait that honours a ``retry_after`` hint in the error text."""
+    wait = min(max_wait, 2.0 ** min(attempt, 6))
+    hint = re.search(r"['\"]retry_after['\"]\s*:\s*(\d+)", error)
+    return min(max_wait, max(wait, float(hint.group(1)))) if hint else wait
+
+
 def call_model(prompts: DataFrame, factory: ModelFactory, stage: str, attempts: int = 5,
-               wait_seconds: Callable[[int], float] = lambda attempt: float(min(120, 2 ** min(attempt, 6))),
+               wait_seconds: Callable[[int, str], float] = backoff_seconds,
                partitions: int | None = None) -> DataFrame:
     """Call the model for ``prompts(call_key, system, user)``; one row per attempt.
 
@@ -63,7 +71,7 @@ def call_model(prompts: DataFrame, factory: ModelFactory, stage: str, attempts:
                     if row["success"]:
                         break
                     if attempt < attempts:
-                        pause = wait_seconds(attempt)
+                        pause = wait_seconds(attempt, row["error"])
                         row["retry_sleep_ms"] = pause * 1000.0
                         time.sleep(pause)
             frame = pd.DataFrame(rows, columns=[f.split()[0] for f in CALL_SCHEMA.split(", ")])

@@ -100,19 +100,17 @@ def metrics_flatten(spark, sf):
     return M.flatten_metrics(dims, rates)
 
 
-@query(f"""WITH {SCORES_SQL}, {EXPECTED_SQL}, s AS (SELECT task, count(*) AS source_n, count(*) FILTER (sample_id % 50 <> 7 OR task <> 'view') AS retrieved_n FROM expected GROUP BY 1),
-j AS (SELECT task, count(DISTINCT sample_id) AS judged_n FROM scores WHERE run_index = 0 AND (sample_id % 50 <> 7 OR task <> 'view') GROUP BY 1)
-SELECT task, source_n, retrieved_n, coalesce(judged_n, 0) AS judged_n, retrieved_n = source_n AS retrieval_complete, round(coalesce(judged_n, 0)::DOUBLE / retrieved_n, 6) AS judge_coverage,
- retrieved_n = source_n AND coalesce(judged_n, 0)::DOUBLE / retrieved_n >= 0.98 AS reportable, CASE WHEN retrieved_n = source_n AND coalesce(judged_n, 0)::DOUBLE / retrieved_n >= 0.98 THEN 'complete' ELSE 'pilot_or_incomplete' END AS status
-FROM s LEFT JOIN j USING (task)""")
+@query(f"""WITH {SCORES_SQL}, {EXPECTED_SQL}, s AS (SELECT task, count(*) AS source_n FROM expected GROUP BY 1),
+r AS (SELECT task, count(DISTINCT sample_id) AS retrieved_n, count(DISTINCT sample_id) FILTER (run_index = 0) AS judged_n FROM scores GROUP BY 1),
+c AS (SELECT task, source_n, retrieved_n, judged_n, retrieved_n = source_n AS retrieval_complete, judged_n::DOUBLE / retrieved_n AS coverage FROM s JOIN r USING (task))
+SELECT task, source_n, retrieved_n, judged_n, retrieval_complete, round(coverage, 6) AS judge_coverage, retrieval_complete AND coverage >= 0.98 AS reportable,
+ CASE WHEN retrieval_complete AND coverage >= 0.98 THEN 'complete' ELSE 'pilot_or_incomplete' END AS status FROM c""")
 def metrics_reportability(spark, sf):
-    """The view task lacks retrieval rows of some users"""
-    expected = expected_samples(spark, sf)
-    kept = (F.col("sample_id") % 50 != 7) | (F.col("task") != "view")
-    source = expected.groupBy("task").agg(F.count(F.lit(1)).alias("source_n"), F.count_if(kept).alias("retrieved_n"))
-    run0 = scores(spark, sf).where((F.col("run_index") == 0) & kept)
-    judged = run0.groupBy("task", "sample_id").agg(F.lit(1)).groupBy("task").agg(F.count(F.lit(1)).alias("judged_n"))
-    cells = source.join(judged, "task", "left").withColumn("judged_n", F.coalesce("judged_n", F.lit(0)))
+    """Samples with any score are retrieved, those with a run-0 score are judged"""
+    source = expected_samples(spark, sf).groupBy("task").agg(F.count(F.lit(1)).alias("source_n"))
+    seen = scores(spark, sf).groupBy("task", "sample_id").agg(F.bool_or(F.col("run_index") == 0).alias("judged"))
+    found = seen.groupBy("task").agg(F.count(F.lit(1)).alias("retrieved_n"), F.count_if("judged").alias("judged_n"))
+    cells = source.join(found, "task")
     out = cells.select("*", M.reportability(F.col("source_n"), F.col("retrieved_n"), F.col("judged_n")).alias("r"))
     return out.select("task", "source_n", "retrieved_n", "judged_n", "r.retrieval_complete",
                       F.round("r.judge_coverage", 6).alias("judge_coverage"), "r.reportable", "r.status")
