@@ -20,13 +20,20 @@ BATCH = 64
 
 @F.arrow_udf(ArrayType(DoubleType()))
 def _hashed_words(texts: pa.Array) -> pa.Array:
+    known: dict[str, int] = {}  # the batch's own vocabulary
+
+    def bucket(word: str) -> int:
+        place = known.get(word)
+        if place is None:
+            place = known[word] = int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % HASH_DIMENSIONS
+        return place
+
     rows = []
     for text in texts.to_pylist():
-        words = [w for w in (text or "").split(" ") if w]
-        buckets = [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % HASH_DIMENSIONS for w in words]
-        counts = np.bincount(np.array(buckets, dtype=np.int64), minlength=HASH_DIMENSIONS).astype(np.float64)
+        places = [bucket(w) for w in (text or "").split(" ") if w]
+        counts = np.bincount(np.array(places, dtype=np.int64), minlength=HASH_DIMENSIONS).astype(np.float64)
         norm = np.linalg.norm(counts)
-        rows.append((counts / (norm or 1.0)).tolist())
+        rows.append(counts / (norm or 1.0))
     return pa.array(rows, type=pa.list_(pa.float64()))
 
 

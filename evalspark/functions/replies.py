@@ -47,20 +47,27 @@ def _items(value: Column) -> Column:
 
 
 def parse_object(text: Column) -> Column:
-    """The text as a JSON object, NULL unless the *whole* text is one object.
+    """The text as a JSON object, NULL unless the *whole* text is one object."""
+    return bind(parse_value(text), lambda value: F.when(_is_object(value), value))
+
+
+def parse_value(text: Column) -> Column:
+    """The text as one JSON value of any type, NULL unless the whole text is one value.
 
     The engine's parser ignores trailing characters, so the text is parsed inside two
     wrappers with an end mark each; text that breaks out of one cannot satisfy both.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]")))
-    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(',"__eof__":0}')))
-    whole = (
-        (_get(listed, "$[1]", "int") == 0)
-        & _get(listed, "$[2]").isNull()
-        & (_get(keyed, "$.__eof__", "int") == 0)
-    )
-    value = _get(listed, "$[0]")
-    return F.when(whole & _is_object(value), value)
+    def read(raw: Column) -> Column:
+        keyed = F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit(',"__eof__":0}')))
+        closed = _get(keyed, "$.__eof__", "int") == 0
+
+        def first(listed: Column) -> Column:
+            whole = (_get(listed, "$[1]", "int") == 0) & _get(listed, "$[2]").isNull() & closed
+            return F.when(whole, _get(listed, "$[0]"))
+
+        return bind(F.try_parse_json(F.concat(F.lit("["), raw, F.lit(",0]"))), first)
+
+    return bind(text, read)
 
 
 def split_reasoning(text: Column) -> Column:
@@ -79,19 +86,17 @@ def recover_strict(text: Column) -> Column:
 
 def recover_ladder(text: Column) -> Column:
     """Whole text, else the first flat object in it, else a fenced object."""
-    content = strip(text)
-    return F.coalesce(
+    return bind(strip(text), lambda content: F.coalesce(
         parse_object(content),
         parse_object(F.regexp_extract(content, FLAT_OBJECT, 0)),
-        parse_object(F.regexp_extract(content, FENCED_OBJECT, 1)),
-    )
+        parse_object(F.regexp_extract(content, FENCED_OBJECT, 1))))
 
 
 def recover_outermost(text: Column) -> Column:
     """Strip fences, else everything from the first ``{`` to the last ``}``."""
     body = F.regexp_replace(strip(text), r"^```(?:json)?", "")
     body = F.when(body.endswith("```"), strip(F.regexp_replace(body, r"```$", ""))).otherwise(body)
-    return F.coalesce(parse_object(body), parse_object(F.regexp_extract(body, r"(?s)\{.*\}", 0)))
+    return bind(body, lambda b: F.coalesce(parse_object(b), parse_object(F.regexp_extract(b, r"(?s)\{.*\}", 0))))
 
 
 def declared_dimensions(template: Column) -> Column:
@@ -135,31 +140,38 @@ def _score_members(members: Column, expected: Column, low: int, high: int) -> Co
 
 def score_single(parsed: Column, low: Column, high: Column) -> Column:
     """``struct(score, key, problems)`` from ``score``, else ``rating``, with a reasoning text."""
-    def present(name: str) -> Column:
-        return _type(_get(parsed, f"$.{name}")) != "VOID"
-
-    raw = F.when(present("score"), _get(parsed, "$.score")).otherwise(_get(parsed, "$.rating"))
-    key = F.when(present("score"), "score").otherwise("rating")
-    kind = _type(raw)
-    as_text = strip(_get(raw, "$", "string"))
-    value = (
-        F.when(kind == "BIGINT", _get(raw, "$", "bigint"))
-        .when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), _get(raw, "$", "double").cast("bigint"))
-        .when((kind == "STRING") & as_text.rlike(INTEGER_TEXT),
-              F.regexp_replace(as_text, "_", "").try_cast("bigint"))
-    )
-    problem = (
-        F.when(kind == "VOID", "no score")
-        .when(kind == "BOOLEAN", "boolean score")
-        .when(value.isNull(), "score is not an integer")
-        .when(~value.between(low, high), "score out of range")
-    )
+    return bind(parsed, lambda p: _single_score(p, low, high))
+
+
+def _single_score(parsed: Column, low: Column, high: Column) -> Column:
+    scored = _type(_get(parsed, "$.score")) != "VOID"
+    key = F.when(scored, "score").otherwise("rating")
     reasoning = F.when(~_is_text(_get(parsed, "$.reasoning")), "missing reasoning")
-    problems = F.when(parsed.isNull(), F.array(F.lit("no JSON object"))).otherwise(
-        F.array_compact(F.array(reasoning, problem)))
-    score = F.when(parsed.isNotNull() & problem.isNull(), value.cast("int"))
-    return F.struct(score.alias("score"), F.when(parsed.isNotNull(), key).otherwise("").alias("key"),
-                    problems.alias("problems"))
+
+    def judge(value: Column, kind: Column) -> Column:
+        problem = (
+            F.when(kind == "VOID", "no score")
+            .when(kind == "BOOLEAN", "boolean score")
+            .when(value.isNull(), "score is not an integer")
+            .when(~value.between(low, high), "score out of range"))
+        problems = F.when(parsed.isNull(), F.array(F.lit("no JSON object"))).otherwise(
+            F.array_compact(F.array(reasoning, problem)))
+        score = F.when(parsed.isNotNull() & problem.isNull(), value.cast("int"))
+        return F.struct(score.alias("score"), F.when(parsed.isNotNull(), key).otherwise("").alias("key"),
+                        problems.alias("problems"))
+
+    raw = F.when(scored, _get(parsed, "$.score")).otherwise(_get(parsed, "$.rating"))
+    typed = bind(raw, lambda r: F.struct(_integer(r).alias("value"), _type(r).alias("kind")))
+    return bind(typed, lambda t: judge(t["value"], t["kind"]))
+
+
+def _integer(value: Column) -> Column:
+    """A number or integer text as BIGINT (fractions truncate); NULL for anything else."""
+    kind, text = _type(value), strip(_get(value, "$", "string"))
+    return (
+        F.when(kind == "BIGINT", _get(value, "$", "bigint"))
+        .when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), _get(value, "$", "double").cast("bigint"))
+        .when((kind == "STRING") & text.rlike(INTEGER_TEXT), F.regexp_replace(text, "_", "").try_cast("bigint")))
 
 
 def score_range(metric: Column) -> tuple[Column, Column]:
@@ -177,7 +189,10 @@ def binary_value(value: Column) -> Column:
 
 def stage1_problem(parsed: Column, memory_ids: Column) -> Column:
     """First broken rule of a stage-1 reply, NULL when the cards are valid."""
-    cards = _get(parsed, "$.memory_boundary_cards")
+    return bind(parsed, lambda p: bind(_get(p, "$.memory_boundary_cards"), lambda cards: _stage1(p, cards, memory_ids)))
+
+
+def _stage1(parsed: Column, cards: Column, memory_ids: Column) -> Column:
     items = _items(cards)
 
     def non_empty_list(card: Column, name: str) -> Column:
@@ -303,17 +318,10 @@ def _selected(parsed: Column, memory_ids: Column, partition: bool) -> Column:
 def token_usage(payload: Column) -> Column:
     """Token counts of a reply's JSON across the known shapes; unknown stays NULL."""
     def number(*paths: str) -> Column:
-        def one(path: str) -> Column:
-            value = _get(payload, path)
-            kind = _type(value)
-            text = strip(_get(value, "$", "string"))
-            return (F.when(kind == "BIGINT", _get(value, "$", "bigint"))
-                    .when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), _get(value, "$", "double").cast("bigint"))
-                    .when((kind == "STRING") & text.rlike(INTEGER_TEXT), text.try_cast("bigint")))
         # the first *present* value decides, even when it is not a number
         expr = F.lit(None).cast("bigint")
         for path in reversed(paths):
-            expr = F.when(_type(_get(payload, path)) != "VOID", one(path)).otherwise(expr)
+            expr = F.when(_type(_get(payload, path)) != "VOID", _integer(_get(payload, path))).otherwise(expr)
         return expr
 
     def details(kind_a: str, kind_b: str, *names: str) -> Column:

@@ -22,8 +22,8 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    """NULL or white space only."""
-    return F.coalesce(F.length(strip(text)) == 0, F.lit(True))
+    """NULL or white space only; stops at the first other character."""
+    return ~F.coalesce(text.rlike(f"[^{WS}]"), F.lit(False))
 
 
 def non_blank(text: Column) -> Column:
@@ -32,8 +32,11 @@ def non_blank(text: Column) -> Column:
 
 
 def collapse_whitespace(text: Column) -> Column:
-    """Runs of white space become one space; case and punctuation stay."""
-    return F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{WS}]+", " "))
+    """Runs of white space become one space; case and punctuation stay.
+
+    A lone space, by far the commonest run, is skipped rather than replaced by itself.
+    """
+    return F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{WS}&&[^ ]][{WS}]*| [{WS}]+", " "))
 
 
 def truncate(text: Column, limit: int = 160, ellipsis: str = "...") -> Column:

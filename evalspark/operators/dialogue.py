@@ -49,19 +49,22 @@ def parse_dialogue(text: Column) -> Column:
     closes it; a text without any message is one user message. Lines are joined back
     with blocks separated by empty lines, so one split yields the messages in order.
     """
-    whole = strip(F.coalesce(text, F.lit("")))
-    lines = F.transform(F.split(whole, "\n+"), strip)
-    body = F.array_join(lines, "\n")
-    opened = F.regexp_replace(body, rf"(?i)(^|\n)(?=(?:user|assistant|system)[{WS}]*:)", "$1\n\n")
-    blocks = F.filter(F.split(opened, "\n\n+"), lambda b: F.length(b) > 0)
-    messages = F.filter(
-        F.transform(blocks, lambda b: F.struct(
-            F.when(b.rlike(MARKER), F.lower(F.regexp_extract(b, MARKER, 1))).otherwise("user").alias("role"),
-            strip(F.regexp_replace(b, MARKER, "")).alias("content"))),
-        lambda m: F.length(m["content"]) > 0)
-    lone = F.array(F.struct(F.lit("user").alias("role"), whole.alias("content")))
-    nothing = F.filter(lone, lambda m: F.lit(False))
-    return F.when(F.length(whole) == 0, nothing).when(F.size(messages) == 0, lone).otherwise(messages)
+    def message(block: Column) -> Column:
+        role = F.lower(F.regexp_extract(block, MARKER, 1))
+        return bind(role, lambda r: F.struct(
+            F.when(r != "", r).otherwise("user").alias("role"),
+            F.when(r != "", strip(F.regexp_replace(block, MARKER, ""))).otherwise(block).alias("content")))
+
+    def read(whole: Column) -> Column:
+        body = F.array_join(F.transform(F.split(whole, "\n+"), strip), "\n")
+        opened = F.regexp_replace(body, rf"(?i)(^|\n)(?=(?:user|assistant|system)[{WS}]*:)", "$1\n\n")
+        blocks = F.filter(F.split(opened, "\n\n+"), lambda b: F.length(b) > 0)
+        messages = F.filter(F.transform(blocks, message), lambda m: F.length(m["content"]) > 0)
+        lone = F.array(F.struct(F.lit("user").alias("role"), whole.alias("content")))
+        kept = F.filter(lone, lambda m: F.length(m["content"]) > 0)
+        return bind(messages, lambda found: F.when(F.size(found) > 0, found).otherwise(kept))
+
+    return bind(strip(F.coalesce(text, F.lit(""))), read)
 
 
 def round_trip_lossy(role: Column, content: Column) -> Column:

@@ -108,14 +108,15 @@ def store_status(marker_time: Column, started: Column, bundled: Column) -> Colum
 
 def fidelity(given: Column, retrieved: Column, examples: int = 5) -> Column:
     """Given-versus-retrieved counts over whitespace-normalised texts of one sample."""
-    wanted = F.array_distinct(F.transform(given, collapse_whitespace))
+    wanted = F.transform(given, collapse_whitespace)
     got = F.transform(retrieved, collapse_whitespace)
 
-    def count(known: Column, found: Column) -> Column:
-        strange = F.filter(found, lambda t: ~F.array_contains(known, t))
+    def count(unknown: Column, found: Column) -> Column:
+        # set difference is hash-based; only texts outside the given set are looked up
+        strange = F.filter(found, lambda t: F.array_contains(unknown, t))
         return F.struct(
             F.size(given).alias("given"), F.size(found).alias("retrieved"),
             (F.size(found) - F.size(strange)).alias("verbatim_matches"),
             F.slice(F.filter(strange, lambda t: F.length(t) > 0), 1, examples).alias("unmatched"))
 
-    return bind(wanted, lambda known: bind(got, lambda found: count(known, found)))
+    return bind(got, lambda found: bind(F.array_except(found, wanted), lambda unknown: count(unknown, found)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,13 +46,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared checkpoint folder.
+    """Write a frame once to a table in the shared folder and read it back.
 
-    Used where an expensive or nondeterministic result (a model pass) is read more
-    than once: later readers, and retries after a lost executor, see the same rows.
+    Used where an expensive or nondeterministic result (a model pass) is read more than
+    once: the pass runs exactly once per row, and later readers, or retries after a lost
+    executor, read the same rows from shared storage.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(df: DataFrame, limit_bytes: int = 64 << 20) -> bool:

@@ -7,10 +7,10 @@ row; they are meant for benchmark files of a few hundred rows. Large tables carr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from evalspark.functions.replies import parse_object
+from evalspark.functions.replies import parse_value
 from evalspark.functions.text import is_blank, strip
 
 
@@ -50,19 +50,11 @@ def strict_lines(spark: SparkSession, path: str, schema: StructType) -> DataFram
 
 def audit_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Lines with a parsed ``VARIANT`` object or the reason why there is none."""
-    text = strip(F.col(value))
-    parsed = parse_object(text)
     kept = lines.where(~is_blank(F.col(value)))
-    return kept.withColumn("parsed", parsed).withColumn(
-        "problem", F.when(F.col("parsed").isNull(), F.when(_is_json(text), "not an object").otherwise("not JSON")))
-
-
-def _is_json(text: Column) -> Column:
-    """Whether the whole text is one JSON value."""
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]")))
-    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(',"__eof__":0}')))
-    return F.coalesce((F.try_variant_get(listed, "$[1]", "int") == 0) & F.try_variant_get(listed, "$[2]", "variant").isNull()
-                      & (F.try_variant_get(keyed, "$.__eof__", "int") == 0), F.lit(False))
+    object_type = F.schema_of_variant("_value").startswith("OBJECT")
+    return kept.withColumn("_value", parse_value(strip(F.col(value)))).withColumns({
+        "parsed": F.when(object_type, F.col("_value")),
+        "problem": F.when(F.col("_value").isNull(), "not JSON").when(~object_type, "not an object")}).drop("_value")
 
 
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
