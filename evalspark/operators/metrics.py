@@ -12,7 +12,8 @@ def latest_scores(scores: DataFrame, keys: list[str], order: Column, k_max: int)
     """Last score of every run as columns ``s0..s{k_max-1}``, one row per sample.
 
     ``scores`` has ``run_index`` and an integer ``score``; the last record by ``order``
-    wins. Runs become filtered aggregates, so one combinable shuffle does it.
+    wins. Runs become filtered aggregates, so one combinable shuffle does it; a single
+    numeric or timestamp ``order`` (the append position) keeps that aggregate hash-based.
     """
     return scores.groupBy(*keys, "sample_id").agg(*[
         F.max_by("score", F.when(F.col("run_index") == run, order)).alias(f"s{run}") for run in range(k_max)])

@@ -30,24 +30,22 @@ def _keyed_window(keys: Sequence[str], order: Column) -> W:
 
 def with_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
                     payload: Sequence[str], previous: str = "prev", following: str = "next") -> DataFrame:
-    """Add structs of ``payload`` taken from the previous and the next row of the key."""
-    df = df.withColumn("_chunk", chunk).withColumn("_row", F.struct(*payload))
+    """Add structs of ``payload`` taken from the previous and the next row of the key.
+
+    Only the first and last row of a chunk lack a neighbour inside it. Those edge rows
+    (two per chunk) are windowed again over the key, where the row before a chunk's
+    first is the last of the chunk before; all other rows are complete. Both branches
+    read one shuffle.
+    """
+    rows = df.withColumn("_chunk", chunk).withColumn("_row", F.struct(*payload))
     inner = W.partitionBy(*keys, "_chunk").orderBy(*order)
-    rows = df.withColumn(previous, F.lag("_row").over(inner)).withColumn(following, F.lead("_row").over(inner))
-
-    rank = F.struct(*order)
-    edges = df.groupBy(*keys, "_chunk").agg(
-        F.min_by("_row", rank).alias("_first"), F.max_by("_row", rank).alias("_last"))
-    over_key = _keyed_window(keys, F.col("_chunk"))
-    edges = edges.select(*keys, "_chunk",
-                         F.lag("_last").over(over_key).alias("_before"),
-                         F.lead("_first").over(over_key).alias("_after"))
-    return (
-        rows.join(edges, [*keys, "_chunk"])
-        .withColumn(previous, F.coalesce(previous, "_before"))
-        .withColumn(following, F.coalesce(following, "_after"))
-        .drop("_chunk", "_row", "_before", "_after")
-    )
+    rows = rows.withColumn(previous, F.lag("_row").over(inner)).withColumn(following, F.lead("_row").over(inner))
+    at_edge = F.col(previous).isNull() | F.col(following).isNull()
+    outer = W.partitionBy(*keys).orderBy("_chunk", *order)
+    edges = rows.where(at_edge).withColumns({
+        previous: F.coalesce(previous, F.lag("_row").over(outer)),
+        following: F.coalesce(following, F.lead("_row").over(outer))})
+    return rows.where(~at_edge).unionByName(edges).drop("_chunk", "_row")
 
 
 def with_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evalspark.functions.stats import share
 from evalspark.operators import checks as C, metrics as M, selection as S
 from evalspark.registry import COVERAGE_GATE
+from evalspark.session import cut_lineage
 
 
 def merge_parts(parts: DataFrame, expected: DataFrame, keys: list[str], priority: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -68,8 +69,11 @@ def native_report(selected: DataFrame, judged: DataFrame, methods: list[str], st
 
 
 def validation_report(found: list[DataFrame], limit: int = 5) -> tuple[DataFrame, DataFrame]:
-    """All findings' counts per group, and the capped detail rows. A fail count over 0 fails the run."""
-    everything = reduce(lambda a, b: a.unionByName(b), found)
+    """All findings' counts per group, and the capped detail rows. A fail count over 0 fails the run.
+
+    The findings are written once; both reports read that table instead of checking twice.
+    """
+    everything = cut_lineage(reduce(lambda a, b: a.unionByName(b), found))
     return C.finding_counts(everything), C.capped_findings(everything, limit)
 
 

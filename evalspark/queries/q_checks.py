@@ -50,13 +50,14 @@ def checks_retrieval_cells(spark, sf):
 def retrieval_rows(spark, sf):
     """Documents as retrieval rows; faults follow ``doc_id % 14``."""
     d, k = F.col("doc_id"), F.col("doc_id") % 14
-    memories = F.transform(lines(F.col("text")), lambda t, i: F.struct(
+    listed = F.transform(lines(F.col("text")), lambda t, i: F.struct(
         F.concat(F.lit("m"), i.cast("string")).alias("memory_id"), t.alias("content"),
         F.when((k == 6) & (i == 0), F.lit(None)).otherwise(t).alias("raw_content"), (i + 1).alias("retrieval_rank")))
+    memories = F.col("memories")
     n = F.size(memories)
     persist = d % 2 == 0
     keys = F.array(*[F.lit(x) for x in C.ROW_KEYS])
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents").withColumn("memories", listed).select(
         F.col("source").alias("cell"), d.alias("sample_id"), F.when(persist, "persistbench").otherwise("memtrapbench").alias("dataset"),
         F.lit("t").alias("task"), F.lit("A-MEM").alias("method"), F.when(k == 1, F.array_remove(keys, "task")).otherwise(keys).alias("keys"),
         F.when(k == 2, "other").otherwise("t").alias("row_task"), F.when(k == 3, "MemZero").otherwise("A-MEM").alias("memory_system"),

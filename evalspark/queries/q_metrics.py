@@ -13,12 +13,11 @@ from evalspark.queries.standins import EXPECTED_SQL, SCORES_SQL, SQL_K, expected
 _BOUND = """CASE WHEN n > 0 THEN {f}({edge}, (p + 1.96*1.96/(2*n)) / (1 + 1.96*1.96/n) {sign} 1.96 * sqrt((p*(1-p) + 1.96*1.96/(4*n)) / n) / (1 + 1.96*1.96/n)) * 100 END"""
 _LOW, _HIGH = _BOUND.format(f="greatest", edge="0.0", sign="-"), _BOUND.format(f="least", edge="1.0", sign="+")
 
-_LATEST = """latest AS (SELECT task, sample_id, run_index, arg_max(score, event_id) AS score FROM scores s
-  WHERE (task, sample_id, run_index, ts) IN (SELECT task, sample_id, run_index, max(ts) FROM scores GROUP BY ALL) GROUP BY ALL)"""
+_LATEST = "latest AS (SELECT task, sample_id, run_index, arg_max(score, event_id) AS score FROM scores GROUP BY ALL)"
 
 
 def _latest(spark, sf):
-    return M.latest_scores(scores(spark, sf), ["task"], F.struct("ts", "event_id"), 3)
+    return M.latest_scores(scores(spark, sf), ["task"], F.col("event_id"), 3)
 
 
 _RATES = f"""{SCORES_SQL}, {EXPECTED_SQL}, {_LATEST},

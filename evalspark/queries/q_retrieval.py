@@ -17,8 +17,10 @@ from evalspark.queries.standins import messages, sql_collapse, sql_strip
 def stores(spark, sf):
     """Embeddings by label: the lowest id of a label asks, the others are its documents."""
     vectors = table(spark, sf, "embeddings").select(F.col("label").alias("store_id"), F.col("vec_id").alias("ordinal"), F.col("embedding").alias("vector"))
-    asking = vectors.groupBy("store_id").agg(F.min("ordinal").alias("sample_id"), F.min_by("vector", "ordinal").alias("query_vector"))
-    documents = vectors.join(asking.select(F.col("sample_id").alias("ordinal")), "ordinal", "left_anti")
+    first = vectors.groupBy("store_id").agg(F.min("ordinal").alias("ordinal"))
+    asking = vectors.join(first, ["store_id", "ordinal"]).select(
+        "store_id", F.col("ordinal").alias("sample_id"), F.col("vector").alias("query_vector"))
+    documents = vectors.join(first.select("ordinal"), "ordinal", "left_anti")
     return documents, asking.withColumn("top_k", (F.col("store_id") % 4) * 3)
 
 
