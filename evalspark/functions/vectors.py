@@ -7,12 +7,14 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
+from evalspark.functions.binding import bind
+
 
 def l2_normalize(vector: Column) -> Column:
     """Unit length, with a zero vector left as it is."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double")))
-    scale = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
-    return F.transform(vector, lambda x: x.cast("double") / scale)
+    squares = F.aggregate(vector, F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return bind(F.sqrt(squares), lambda norm: F.transform(
+        vector, lambda x: x.cast("double") / F.when(norm == 0, F.lit(1.0)).otherwise(norm)))
 
 
 def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

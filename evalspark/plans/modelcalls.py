@@ -40,10 +40,12 @@ def call_model(prompts: DataFrame, factory: ModelFactory, stage: str, attempts:
     """Call the model for ``prompts(call_key, system, user)``; one row per attempt.
 
     An empty reply counts as a failure. The last attempt of a key tells whether it
-    succeeded. ``partitions`` bounds the concurrent calls.
+    succeeded. Rows are spread by key over ``partitions`` tasks (the session's cores by
+    default), because a call costs far more than moving its prompt; the number of tasks
+    also bounds the concurrent calls.
     """
-    if partitions:
-        prompts = prompts.repartition(partitions)
+    prompts = prompts.select("call_key", "system", "user").repartition(
+        partitions or prompts.sparkSession.sparkContext.defaultParallelism, "call_key")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = factory()
@@ -79,7 +81,7 @@ def call_model(prompts: DataFrame, factory: ModelFactory, stage: str, attempts:
                 frame[name] = frame[name].astype("Int64")
             yield frame
 
-    return prompts.select("call_key", "system", "user").mapInPandas(run, CALL_SCHEMA)
+    return prompts.mapInPandas(run, CALL_SCHEMA)
 
 
 def last_attempt(calls: DataFrame) -> DataFrame:

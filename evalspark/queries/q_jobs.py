@@ -286,3 +286,21 @@ def jobs_refuse_mixed_tasks(spark, sf):
     """German and French stand for external tasks"""
     rows = table(spark, sf, "documents").select(F.col("lang").alias("task"))
     return J.refuse_mixed_tasks(rows, F.col("task").isin("de", "fr"))
+
+
+_SPLIT = f"""halves AS (SELECT doc_id AS sample_id, '2024-01-0' || h AS date, CASE WHEN h = 1 THEN list_slice(l, 1, len(l) // 2) ELSE list_slice(l, len(l) // 2 + 1, len(l)) END AS part FROM (SELECT doc_id, {SQL_LINES} AS l FROM documents), (SELECT unnest([1, 2]) AS h)),
+daily AS (SELECT sample_id, date, md5('sum' || chr(10) || array_to_string(list_transform(part, lambda x: 'User: ' || x || chr(10) || 'AI: '), chr(10))) AS summary FROM halves)"""
+
+
+@query(f"""WITH {_SPLIT} SELECT sample_id, date, summary FROM daily UNION ALL SELECT sample_id, NULL, md5('sum' || chr(10) || string_agg(date || ': ' || summary, chr(10) ORDER BY date)) FROM daily GROUP BY 1""")
+def jobs_daily_summaries(spark, sf):
+    """the two halves of a document are two dates"""
+    from evalspark.plans.summaries import daily_and_overall
+
+    half = F.floor(F.size("l") / 2).cast("int")
+    parts_of = F.array(F.struct(F.lit("2024-01-01").alias("date"), F.slice("l", F.lit(1), half).alias("part")),
+                       F.struct(F.lit("2024-01-02").alias("date"), F.slice("l", half + 1, F.size("l")).alias("part")))
+    halves = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), lines(F.col("text")).alias("l")).select("sample_id", F.inline(parts_of))
+    pairs = F.transform("part", lambda x: F.struct(x.alias("query"), F.lit("").alias("response")))
+    daily, overall, _ = daily_and_overall(halves.select("sample_id", "date", pairs.alias("pairs")), "sum", digest_model, **NO_WAIT)
+    return daily.unionByName(overall.withColumn("date", F.lit(None).cast("string")))

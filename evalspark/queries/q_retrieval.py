@@ -9,6 +9,7 @@ from evalspark.functions.text import dated_context, non_blank
 from evalspark.functions.vectors import l2_normalize
 from evalspark.operators import retrieval as R
 from evalspark.operators.dialogue import dialogue_pairs
+from evalspark.operators.similar import similar_entries
 from evalspark.queries import query, table
 from evalspark.queries.q_dialogue import _PAIRS
 from evalspark.queries.standins import messages, sql_collapse, sql_strip
@@ -153,3 +154,15 @@ def retrieval_frozen_context(spark, sf):
     none = non_blank(F.lit(""))
     return rows.select("sample_id", F.size("memories").cast("bigint").alias("retrieved_count"),
                        F.md5(dated_context(none, none, F.col("memories"))).alias("context_digest"))
+
+
+@query(f"""WITH texts AS (SELECT doc_id AS id, text AS t FROM documents), {_EMBED},
+v AS (SELECT d.doc_id, d.source, list(coalesce(e.tf, 0) / n ORDER BY b.b) AS vec FROM documents d JOIN norms ON norms.id = d.doc_id CROSS JOIN (SELECT unnest(range(64)) AS b) b LEFT JOIN emb e ON e.id = d.doc_id AND e.bucket = b.b GROUP BY ALL),
+p AS (SELECT a.source AS store_id, a.doc_id AS ordinal, b.doc_id AS other, round(list_inner_product(a.vec, b.vec), 9) AS score FROM v a JOIN v b ON a.source = b.source AND a.doc_id <> b.doc_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY ordinal ORDER BY score DESC, other) AS INTEGER) AS rank FROM p WHERE score >= 0.8)
+SELECT store_id, ordinal, other, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
+def retrieval_similar_entries(spark, sf):
+    """Consolidation candidates per source; ten is the operator's own depth"""
+    entries = table(spark, sf, "documents").select(
+        F.col("source").alias("store_id"), F.col("doc_id").alias("ordinal"), hashed_words(F.col("text")).alias("vector"))
+    return similar_entries(entries).withColumn("score", F.round("score", 6))

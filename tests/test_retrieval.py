@@ -70,3 +70,27 @@ def test_model_embedder_batches_and_normalises(spark):
 def test_cosine_of_ragged_rows(spark):
     frame = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([1.0, 2.0, 2.0], [2.0, 4.0, 4.0]), ([0.0], [1.0])], "a array<double>, b array<double>").coalesce(1)
     assert [round(r[0], 9) for r in frame.select(cosine("a", "b")).collect()] == [1.0, 1.0, 0.0]
+
+
+@pytest.mark.parametrize("pivots, block", [(1, 4096), (5, 7), (16, 50)])
+def test_similar_entries(spark, pivots, block):
+    from evalspark.operators.similar import similar_entries
+
+    rng = np.random.default_rng(pivots)
+    centres = rng.normal(size=(6, 5))
+    rows = []
+    for i in range(150):
+        store = "hot" if i % 3 else "cold"
+        v = centres[rng.integers(6)] + rng.normal(scale=0.3, size=5)
+        rows.append((store, i, v.tolist()))
+    rows += [("hot", 1000 + i, rows[1][2]) for i in range(60)]  # a crowd of copies
+    rows += [("hot", 2000, [0.0] * 5), ("lone", 3000, [1.0] * 5)]
+    frame = spark.createDataFrame(rows, "store_id string, ordinal int, vector array<double>")
+    got = {(r["ordinal"], r["rank"], r["other"]) for r in similar_entries(frame, 0.8, 10, pivots, block).collect()}
+    want = set()
+    unit = {i: np.array(v) / (np.linalg.norm(v) or 1) for _, i, v in rows}
+    for s, i, _ in rows:
+        near = [(-round(float(unit[i] @ unit[j]), 9), j) for t, j, _ in rows if t == s and j != i]
+        near = sorted(x for x in near if -x[0] >= 0.8)[:10]
+        want |= {(i, n, j) for n, (_, j) in enumerate(near, start=1)}
+    assert got == want
