@@ -27,3 +27,8 @@ def wilson_interval(hits: Column, total: Column, inverted: Column | bool = False
 def share(part: Column, whole: Column) -> Column:
     """``part / whole``, 0 for an empty whole."""
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+
+
+def exact_mean(value: Column, scale: int = 3) -> Column:
+    """Mean of values with at most ``scale`` decimals, independent of summation order."""
+    return F.sum(value.cast(f"decimal(38,{scale})")).cast("double") / F.when(F.count(value) > 0, F.count(value))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from evalspark.functions.stats import exact_mean
 from evalspark.operators.ordered import exact_quantiles, time_chunk, with_neighbours, with_position
 
 TOKENS = ["input_tokens", "output_tokens", "total_tokens", "cached_input_tokens", "reasoning_tokens"]
@@ -98,7 +99,7 @@ def sample_statistics(samples: DataFrame, keys: list[str]) -> DataFrame:
     base = samples.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("sample_count"), F.count_if(done).alias("completed_sample_count"),
         F.count_if(~done).alias("failed_sample_count"),
-        *[F.round(F.avg(F.when(done, F.col(c))), 3).alias(f"mean_{label}") for c, label in STATISTICS.items()],
+        *[F.round(exact_mean(F.when(done, F.col(c))), 3).alias(f"mean_{label}") for c, label in STATISTICS.items()],
         F.round((F.unix_micros(F.max("sample_finished_at"))
                  - F.unix_micros(F.min(F.coalesce("run_started_at", "sample_started_at")))) / 1000.0, 3)
         .alias("batch_wall_time_ms"))
