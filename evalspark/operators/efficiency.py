@@ -109,11 +109,16 @@ def sample_statistics(samples: DataFrame, keys: list[str]) -> DataFrame:
                              {"median": ("cont", 0.5), "p95": ("disc", 0.95)})
     wide = spread.groupBy(*keys).agg(*[
         column for label in STATISTICS.values() for column in (
-            F.round(F.max(F.when(F.col("measure") == label, F.col("median"))), 3).alias(f"median_{label}"),
+            _half_up(F.max(F.when(F.col("measure") == label, F.col("median")))).alias(f"median_{label}"),
             F.max(F.when(F.col("measure") == label, F.col("p95"))).alias(f"p95_{label}"))])
     return join_null_safe(base, wide, keys)
 
 
+def _half_up(median: Column) -> Column:
+    """Three digits, halves up. A midpoint of three-digit values has four, so it is cast to those first."""
+    return F.round(median.cast("decimal(38,4)"), 3).cast("double")
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on keys that may be NULL (the total rows of a grouping)."""
     same = F.lit(True)

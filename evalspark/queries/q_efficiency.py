@@ -70,7 +70,7 @@ def efficiency_keep_recorded_runs(spark, sf):
 
 
 _STATS = ", ".join(
-    f"round((sum({c}::DECIMAL(38,3)) FILTER (success))::DOUBLE / count({c}) FILTER (success), 3) AS mean_{l}, round(median({c}) FILTER (success), 3) AS median_{l}, quantile_disc({c}, 0.95) FILTER (success)::DOUBLE AS p95_{l}"
+    f"round((sum({c}::DECIMAL(38,3)) FILTER (success))::DOUBLE / count({c}) FILTER (success), 3) AS mean_{l}, round(CAST(median({c}) FILTER (success) AS DECIMAL(38,4)), 3)::DOUBLE AS median_{l}, quantile_disc({c}, 0.95) FILTER (success)::DOUBLE AS p95_{l}"
     for c, l in E.STATISTICS.items())
 
 
