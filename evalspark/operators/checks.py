@@ -91,12 +91,13 @@ def store_checks(rows: DataFrame, samples: DataFrame, markers: DataFrame) -> Dat
     """Retrieval rows against re-adapted samples and index markers.
 
     ``rows``: cell, dataset, sample_id, row_index and the recorded ``memory_config``
-    columns; ``samples``: sample_id, expected_digest, expected_messages, expected_prior_sha256,
-    sample_ingest_mode, sample_top_k; ``markers``: digest, marker_file_count, has_documents.
+    columns with the store's ``save_dir``; ``samples``: sample_id, expected_digest,
+    expected_messages, expected_prior_sha256, sample_ingest_mode, sample_top_k; ``markers``:
+    save_dir, digest, marker_file_count, has_documents (one row per store).
     """
     joined = (rows.join(samples.withColumn("_known", F.lit(True)), "sample_id", "left")
-              .join(markers.select(F.col("digest").alias("expected_digest"), "marker_file_count", "has_documents",
-                                   F.lit(True).alias("_marker")), "expected_digest", "left"))
+              .join(markers.select("save_dir", F.col("digest").alias("_marker_digest"), "marker_file_count", "has_documents",
+                                   F.lit(True).alias("_marker")), "save_dir", "left"))
     known = F.coalesce("_known", F.lit(False)) & F.col("row_index").isNotNull()
     marked = known & F.col("_marker").isNotNull()
     per_sample = F.col("sample_top_k").isNotNull()
@@ -120,25 +121,29 @@ def store_checks(rows: DataFrame, samples: DataFrame, markers: DataFrame) -> Dat
         ("store_top_k_schema", FAIL, known & ~F.coalesce(F.col("top_k") > 0, F.lit(False)), F.col("top_k")),
         ("store_status", FAIL, known & ~F.coalesce(F.col("store_status").isin(*STORE_STATES), F.lit(False)), F.col("store_status")),
         ("store_marker_missing", FAIL, known & F.col("_marker").isNull(), ""),
+        ("store_marker_digest", FAIL, marked & differs("_marker_digest", "expected_digest"), F.col("_marker_digest")),
         ("store_marker_file_count", FAIL, marked & differs("marker_file_count", "expected_messages"), F.col("marker_file_count")),
         ("store_documents_missing", FAIL, marked & ~F.coalesce("has_documents", F.lit(False)), ""),
     ], sample_id=F.col("sample_id"))
 
 
 def alignment_cell_checks(arms: DataFrame) -> DataFrame:
-    """Arm facts: ``cell, run_index, has_config, outputs, duplicates, first_divergence,
-    config_retrieval_sha256, retrieval_sha256, config_sample_count, retrieval_rows,
-    config_top_k, row_top_k, unreadable_outputs, unreadable_judge`` (NULL row_top_k = not uniform)."""
+    """Arm facts: ``cell, run_index, has_config, config_unreadable, outputs, duplicates,
+    first_divergence, config_retrieval_sha256, retrieval_sha256, config_retrieval_path,
+    retrieval_path, config_sample_count, retrieval_rows, config_top_k, row_top_k,
+    unreadable_outputs, unreadable_judge`` (NULL row_top_k = not uniform)."""
     started = F.col("outputs") > 0
     configured = started & F.col("has_config")
     return findings(arms, "alignment", [
-        ("run_config_missing", FAIL, ~F.col("has_config"), ""),
+        ("run_config_unreadable", FAIL, F.col("config_unreadable"), ""),
+        ("run_config_missing", FAIL, ~F.col("has_config") & ~F.col("config_unreadable"), ""),
         ("outputs_unreadable", FAIL, F.col("unreadable_outputs") > 0, F.col("unreadable_outputs")),
         ("judge_unreadable", FAIL, F.col("unreadable_judge") > 0, F.col("unreadable_judge")),
         ("outputs_duplicate_ids", FAIL, started & (F.col("duplicates") > 0), F.col("duplicates")),
         ("outputs_not_retrieval_prefix", FAIL, started & F.col("first_divergence").isNotNull(), F.col("first_divergence")),
         ("outputs_are_retrieval_prefix", OK, started & F.col("first_divergence").isNull(), F.col("outputs")),
         ("config_retrieval_sha256", FAIL, configured & ~F.col("config_retrieval_sha256").eqNullSafe(F.col("retrieval_sha256")), ""),
+        ("config_retrieval_path", FAIL, configured & (F.col("config_retrieval_path") != F.col("retrieval_path")), F.col("config_retrieval_path")),
         ("config_sample_count", FAIL, configured & ~F.col("config_sample_count").eqNullSafe(F.col("retrieval_rows")), F.col("config_sample_count")),
         ("config_top_k", FAIL, configured & (F.col("dataset") == "memtrapbench") & ~F.col("config_top_k").eqNullSafe(F.col("row_top_k")), F.col("row_top_k")),
     ], run_index=F.col("run_index"))
@@ -276,6 +281,29 @@ def judge_row_checks(rows: DataFrame, single_score: bool) -> DataFrame:
     return findings(rows, "judge", rules, run_index=F.col("run_index"), sample_id=F.col("sample_id"))
 
 
+def rows_checked(rows: DataFrame, group: str, check: str) -> DataFrame:
+    """One OK finding per cell with the number of rows a group looked at."""
+    counts = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    return findings(counts, group, [(check, OK, F.col("n") > 0, F.col("n"))])
+
+
+def agreed_cells(pairs: DataFrame, found: DataFrame, check: str) -> DataFrame:
+    """Arm cells with pairs and no failing finding (OK), or with no pair at all (warning).
+
+    ``pairs(cell, pairs)`` counts the ids present on both sides of every cell.
+    """
+    failed = found.where(F.col("level") == FAIL).select("cell", F.lit(True).alias("_failed")).distinct()
+    cells = pairs.join(failed, "cell", "left")
+    return findings(cells, "arms", [
+        ("arm_records_unpaired", WARN, F.col("pairs") == 0, ""),
+        (check, OK, (F.col("pairs") > 0) & F.col("_failed").isNull(), F.col("pairs"))])
+
+
+def rubric_checks(cells: DataFrame) -> DataFrame:
+    """Cells (``cell, rubric_file, rubric_present``) whose rubric text is not available."""
+    return findings(cells, "judge", [("rubric_file_missing", FAIL, ~F.col("rubric_present"), F.col("rubric_file"))])
+
+
 def judge_coverage_checks(arms: DataFrame) -> DataFrame:
     """``cell, run_index, generated, judged``: the 0.98 publication gate."""
     started = F.col("generated") > 0
@@ -306,6 +334,17 @@ def capped_findings(found: DataFrame, limit: int = 5) -> DataFrame:
     return shown.join(F.broadcast(totals), keys)
 
 
+def native_cell_checks(cells: DataFrame) -> DataFrame:
+    """Order and row counts of native cells: ``cell, retrieval_rows, output_rows, judge_rows,
+    output_divergence, judge_divergence`` (first differing positions)."""
+    return findings(cells, "native", [
+        ("outputs_not_retrieval_prefix", FAIL, F.col("output_divergence").isNotNull(), F.col("output_divergence")),
+        ("judge_not_output_prefix", FAIL, F.col("judge_divergence").isNotNull(), F.col("judge_divergence")),
+        ("output_count", FAIL, F.col("output_rows") != F.col("retrieval_rows"), F.concat_ws("/", "output_rows", "retrieval_rows")),
+        ("judge_count", FAIL, F.col("judge_rows") != F.col("output_rows"), F.concat_ws("/", "judge_rows", "output_rows")),
+    ])
+
+
 def native_checks(outputs: DataFrame, judged: DataFrame, ablation: str, version: str, prompt_hash: str) -> DataFrame:
     """Native output and judge rows: prompt version and hash, required fields, binary metrics.
 

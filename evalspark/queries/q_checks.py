@@ -105,7 +105,7 @@ _STORE = """rows AS (SELECT 'c' || doc_id % 3 AS cell, doc_id AS sample_id, CAST
     ("store_ingest_mode", "fail", "k = 6", "'other'"), ("store_ingest_mode_adapter", "fail", "k = 6", "'other'"),
     ("store_top_k_policy", "fail", "k = 7", "CASE WHEN persist THEN 'fixed' ELSE 'per_sample_len_memories' END"), ("store_top_k", "fail", "k = 8 AND persist", "'99'"),
     ("store_top_k_schema", "fail", "k = 9", "'0'"), ("store_top_k", "fail", "k = 9 AND persist", "'0'"), ("store_status", "fail", "k = 10", "'lost'"),
-    ("store_marker_missing", "fail", "k = 11", "''"), ("store_marker_file_count", "fail", "k = 12", "n_chars + 3"), ("store_documents_missing", "fail", "k = 13", "''")]))
+    ("store_marker_missing", "fail", "k = 11", "''"), ("store_marker_file_count", "fail", "k = 12", "n_chars + 3"), ("store_documents_missing", "fail", "k = 13", "''"), ("store_marker_digest", "fail", "k = 14", "'foreign'")]))
 def checks_stores(spark, sf):
     """2.14 store: faults follow the number of the source"""
     d, k, n = F.col("doc_id"), F.substring("source", 4, 3).cast("int"), F.col("n_chars")
@@ -115,7 +115,7 @@ def checks_stores(spark, sf):
     mode = F.when(persist, "raw").otherwise("messages")
     rows = docs.select(
         F.concat(F.lit("c"), (d % 3).cast("string")).alias("cell"), F.when(persist, "persistbench").otherwise("memtrapbench").alias("dataset"), d.alias("sample_id"),
-        F.when(k != 0, d + 1).alias("row_index"), F.when(k == 2, "stale").otherwise(digest).alias("marker_digest"),
+        digest.alias("save_dir"), F.when(k != 0, d + 1).alias("row_index"), F.when(k == 2, "stale").otherwise(digest).alias("marker_digest"),
         F.when(k == 3, n + 1).otherwise(n).alias("messages_count"), F.when(k == 4, n + 2).otherwise(n).alias("marker_messages_count"),
         F.when(k == 5, "x").otherwise(F.md5("text")).alias("prior_sha256"), F.when(k == 6, "other").otherwise(mode).alias("ingest_mode"),
         F.when((k == 7) == persist, "fixed").otherwise("per_sample_len_memories").alias("top_k_policy"),
@@ -123,7 +123,7 @@ def checks_stores(spark, sf):
     samples = docs.where(k != 1).select(
         d.alias("sample_id"), digest.alias("expected_digest"), n.alias("expected_messages"), F.md5("text").alias("expected_prior_sha256"),
         mode.alias("sample_ingest_mode"), F.when(persist, 7).alias("sample_top_k"))
-    markers = docs.where(k != 11).select(digest.alias("digest"), F.when(k == 12, n + 3).otherwise(n).alias("marker_file_count"), (k != 13).alias("has_documents"))
+    markers = docs.where(k != 11).select(digest.alias("save_dir"), F.when(k == 14, "foreign").otherwise(digest).alias("digest"), F.when(k == 12, n + 3).otherwise(n).alias("marker_file_count"), (k != 13).alias("has_documents"))
     return _short(C.store_checks(rows, samples, markers))
 
 
@@ -131,7 +131,7 @@ _ARMS = """arms AS (SELECT o_orderstatus || '/' || o_orderpriority AS cell, coun
 
 
 @query(f"WITH {_ARMS} " + _sql("alignment", "arms", [
-    ("run_config_missing", "fail", "p = '1'", "''"), ("outputs_unreadable", "fail", "p = '2'", "3"), ("judge_unreadable", "fail", "p = '3'", "4"), ("outputs_duplicate_ids", "fail", "p = '4'", "2"),
+    ("run_config_missing", "fail", "p = '1' AND st <> 'P'", "''"), ("run_config_unreadable", "fail", "p = '1' AND st = 'P'", "''"), ("config_retrieval_path", "fail", "p = '2' AND st = 'O'", "'moved'"), ("outputs_unreadable", "fail", "p = '2'", "3"), ("judge_unreadable", "fail", "p = '3'", "4"), ("outputs_duplicate_ids", "fail", "p = '4'", "2"),
     ("outputs_not_retrieval_prefix", "fail", "p = '5'", "n"), ("outputs_are_retrieval_prefix", "ok", "p <> '5'", "n"), ("config_retrieval_sha256", "fail", "p <> '1' AND st = 'F'", "''"),
     ("config_sample_count", "fail", "p <> '1' AND st = 'O'", "n + 1"), ("config_top_k", "fail", "p <> '1' AND st = 'P'", "9")]))
 def checks_alignment_cells(spark, sf):
@@ -139,7 +139,8 @@ def checks_alignment_cells(spark, sf):
     p, st, n = F.left("o_orderpriority", F.lit(1)), F.col("o_orderstatus"), F.col("n")
     facts = table(spark, sf, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     arms = facts.select(
-        F.concat_ws("/", "o_orderstatus", "o_orderpriority").alias("cell"), F.lit(0).alias("run_index"), F.lit("memtrapbench").alias("dataset"), (p != "1").alias("has_config"),
+        F.concat_ws("/", "o_orderstatus", "o_orderpriority").alias("cell"), F.lit(0).alias("run_index"), F.lit("memtrapbench").alias("dataset"), (p != "1").alias("has_config"), ((p == "1") & (st == "P")).alias("config_unreadable"),
+        F.when((p == "2") & (st == "O"), "moved").otherwise("here").alias("config_retrieval_path"), F.lit("here").alias("retrieval_path"),
         n.alias("outputs"), F.when(p == "4", 2).otherwise(0).alias("duplicates"), F.when(p == "5", n).alias("first_divergence"),
         F.when(st == "F", "old").otherwise("h").alias("config_retrieval_sha256"), F.lit("h").alias("retrieval_sha256"),
         F.when(st == "O", n + 1).otherwise(n).alias("config_sample_count"), n.alias("retrieval_rows"), F.lit(10).alias("config_top_k"),
@@ -280,3 +281,36 @@ def checks_native(spark, sf):
     q, t = F.col("quality") == 1, F.col("toxic") == 1
     judged = table(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"), (q | ~t).alias("known_task"), q.alias("correctness_valid"), (~(q & t)).alias("pass_valid"))
     return _short(C.native_checks(outputs, judged, "stage1-stage2-baseline", "v1", "h"))
+
+
+@query("WITH r AS (SELECT source AS cell, count(*) AS n, NULL AS sample_id FROM documents GROUP BY 1), l AS (SELECT d.source AS cell, count(*) AS n, NULL AS sample_id FROM labels JOIN documents d USING (doc_id) GROUP BY 1) " + _sql("store", "r", [
+    ("store_rows_checked", "ok", "n > 0", "n")]) + " UNION ALL " + _sql("judge", "l", [("judge_rows_checked", "ok", "n > 0", "n")]))
+def checks_rows_checked(spark, sf):
+    """2.14 rows_checked of the store and judge groups"""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("cell"))
+    judged = docs.join(table(spark, sf, "labels"), "doc_id", "left_semi")
+    return _short(C.rows_checked(docs, "store", "store_rows_checked").unionByName(C.rows_checked(judged, "judge", "judge_rows_checked")))
+
+
+@query("""WITH c AS (SELECT d.source AS cell, NULL AS sample_id, count(*) FILTER (quality = 1) AS n, bool_or(toxic = 1) AS bad FROM labels JOIN documents d USING (doc_id) GROUP BY 1) """ + _sql("arms", "c", [
+    ("arm_records_unpaired", "warn", "n = 0", "''"), ("arm_records", "ok", "n > 0 AND NOT bad", "n")]))
+def checks_agreed_cells(spark, sf):
+    """2.14 arm_records OK and arm_records_unpaired: toxic labels stand for failing pairs"""
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", F.col("source").alias("cell")), "doc_id")
+    found = C.findings(rows, "arms", [("arm_record_settings", C.FAIL, F.col("toxic") == 1, "")], sample_id=F.col("doc_id"))
+    pairs = rows.groupBy("cell").agg(F.count_if(F.col("quality") == 1).alias("pairs"))
+    return _short(C.agreed_cells(pairs, found, "arm_records"))
+
+
+@query("""WITH c AS (SELECT lang AS cell, NULL AS sample_id, count(*) AS r, count(*) FILTER (n_chars > 100) AS o, count(*) FILTER (n_chars > 100 AND source <> 'src1') AS j, min(doc_id) FILTER (lang = 'de') AS od, min(doc_id) FILTER (lang = 'es') AS jd FROM documents GROUP BY 1) """ + _sql("native", "c", [
+    ("outputs_not_retrieval_prefix", "fail", "od IS NOT NULL", "od"), ("judge_not_output_prefix", "fail", "jd IS NOT NULL", "jd"), ("output_count", "fail", "o <> r", "o || '/' || r"), ("judge_count", "fail", "j <> o", "j || '/' || o")]) + " UNION ALL " + _sql("judge", "c", [
+    ("rubric_file_missing", "fail", "cell = 'fr'", "'fr.txt'")]))
+def checks_native_cells(spark, sf):
+    """F20, 2.14 native order and counts, rubric_file_missing"""
+    lang = F.col("lang")
+    cells = table(spark, sf, "documents").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("retrieval_rows"), F.count_if(F.col("n_chars") > 100).alias("output_rows"),
+        F.count_if((F.col("n_chars") > 100) & (F.col("source") != "src1")).alias("judge_rows"), F.min("doc_id").alias("first"))
+    cells = cells.select(lang.alias("cell"), "retrieval_rows", "output_rows", "judge_rows", F.when(lang == "de", F.col("first")).alias("output_divergence"),
+                         F.when(lang == "es", F.col("first")).alias("judge_divergence"), F.concat(lang, F.lit(".txt")).alias("rubric_file"), (lang != "fr").alias("rubric_present"))
+    return _short(C.native_cell_checks(cells).unionByName(C.rubric_checks(cells)))
