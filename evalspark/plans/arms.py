@@ -77,8 +77,8 @@ def staged_arm(rows: DataFrame, done: DataFrame, prompts: dict[str, tuple[str, s
             "call_key", F.lit(stage).alias("stage"), F.lit("no valid reply").alias("error")))
         if stored is not None:
             cached = check(asked.join(stored, "sample_id")).where("problem IS NULL")
-            accepted = accepted.unionByName(cached.select(*accepted.columns))
-        todo = cut_lineage(accepted.withColumnRenamed("text", f"{stage}_raw").drop("problem", "call_key", "system", "user"))
+            accepted = accepted.unionByName(cut_lineage(cached.select(*accepted.columns)))
+        todo = accepted.withColumnRenamed("text", f"{stage}_raw").drop("problem", "call_key")
     last = STAGES[variant][-1]
     system, template = prompts[last]
     instructions = F.col("stage2_json") if "stage2" in STAGES[variant] else None
@@ -116,7 +116,7 @@ def intervention_arm(rows: DataFrame, done: DataFrame, method: str, prompt_of, f
         accepted, logs = validated_pass(asked, factory, method, check, 6 if partition else 1, **options)
         ledger = asked.join(accepted.select("call_key"), "call_key", "left_anti").select(
             "call_key", F.lit(method).alias("stage"), F.lit("no valid reply").alias("error"))
-        todo = accepted.withColumnRenamed("text", "intermediate_output").drop("problem", "call_key", "system", "user")
+        todo = accepted.withColumnRenamed("text", "intermediate_output").drop("problem", "call_key")
     elif method in ("anti_sycophancy", "memgate"):
         todo = todo.withColumns({"selected": ids, "intermediate_output": F.lit(None).cast("string")})
     else:

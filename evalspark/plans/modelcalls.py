@@ -105,13 +105,16 @@ def validated_pass(prompts: DataFrame, factory: ModelFactory, stage: str,
     for number in range(1, rounds + 1):
         log = cut_lineage(call_model(todo, factory, stage, **call_options).withColumn("round", F.lit(number)))
         replies = last_attempt(log.drop("round")).where("success").select("call_key", "text")
-        judged = cut_lineage(check(todo.join(replies, "call_key", "left")))
+        # the prompts are expressions over the rows, so their texts are not written again
+        judged = cut_lineage(check(todo.join(replies, "call_key", "left")).drop("system", "user"))
         good = judged.where("text IS NOT NULL AND problem IS NULL")
         accepted = good if accepted is None else accepted.unionByName(good)
         calls = log if calls is None else calls.unionByName(log)
-        todo = judged.where("text IS NULL OR problem IS NOT NULL").select(*prompts.columns)
-        if number < rounds and todo.isEmpty():
-            break
+        refused = judged.where("text IS NULL OR problem IS NOT NULL").select("call_key")
+        if number < rounds:
+            if refused.isEmpty():
+                break
+            todo = prompts.join(refused, "call_key", "left_semi")
     return accepted, calls
 
 

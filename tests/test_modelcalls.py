@@ -65,7 +65,7 @@ def test_schema_rounds_ask_only_refused_rows_again(spark, tmp_path):
         return rows.withColumn("problem", F.when(F.col("text") != "good", "bad reply"))
 
     accepted, calls = validated_pass(prompts(spark, ["easy", "slow", "never"]), factory, "stage1", check, rounds=3, attempts=1, **FAST)
-    assert sorted(r["user"] for r in accepted.collect()) == ["easy", "slow"]
+    assert sorted(r["call_key"] for r in accepted.collect()) == ["0", "1"]
     accepted.count(), calls.count()
     made = [n.split("-")[0] for n in os.listdir(folder)]
     # reading the results again called nothing again
