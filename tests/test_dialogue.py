@@ -1,4 +1,4 @@
-"""Window forms against plain loops on random dialogues."""
+"""Window and array forms against independent formulations on random dialogues."""
 
 import random
 import re
@@ -12,59 +12,37 @@ from evalspark.operators import dialogue as D, ordered as O
 ROLES = ["user", "assistant", "system"]
 
 
-def pairs_by_loop(messages):
-    out, waiting = [], None
-    for role, text in messages:
-        text = text.strip()
-        if not text:
-            continue
-        if role == "assistant":
-            out.append((waiting or "", text))
-            waiting = None
-        else:
-            if waiting is not None:
-                out.append((waiting, ""))
-            waiting = text
-    return out + ([(waiting, "")] if waiting is not None else [])
-
-
-def batch_indices_by_loop(messages):
-    out, waiting = [], False
-    for index, (role, text) in enumerate(messages):
-        if not text.strip():
-            continue
-        if role == "assistant":
-            out.append(index)
-            waiting = False
-        else:
-            if waiting:
-                out.append(index)
-            waiting = True
-    return out + ([len(messages)] if waiting else [])
-
-
-def parse_by_loop(text):
-    text = (text or "").strip()
-    if not text:
-        return []
-    marker = re.compile(r"^(user|assistant|system)\s*:\s*(.*)$", re.IGNORECASE)
-    done, role, held = [], None, []
-
-    def close():
-        body = "\n".join(held).strip()
-        if body:
-            done.append((role or "user", body))
-    for raw in re.split(r"\n+", text):
-        line = raw.strip()
-        found = marker.match(line)
-        if not line or found:
-            close()
-            role, held = (found.group(1).lower(), [found.group(2).strip()]) if found else (None, [])
+def pair_tokens(messages):
+    """Kept turns and the pattern matches over their role letters: ``ua``, a lone ``a``, a lone ``u``."""
+    kept = [(i, role, text.strip()) for i, (role, text) in enumerate(messages) if text.strip()]
+    letters = "".join("a" if role == "assistant" else "u" for _, role, _ in kept)
+    return kept, list(re.finditer("ua|a|u", letters))
+
+
+def expected_pairs(messages):
+    kept, tokens = pair_tokens(messages)
+    return [("" if t.group() == "a" else kept[t.start()][2], kept[t.end() - 1][2] if "a" in t.group() else "") for t in tokens]
+
+
+def expected_indices(messages):
+    kept, tokens = pair_tokens(messages)
+    after = [k[0] for k in kept] + [len(messages)]
+    return [after[t.end() - 1] if "a" in t.group() else after[t.end()] for t in tokens]
+
+
+def expected_parse(text):
+    groups = [("user", [])]
+    for piece in (x.strip() for x in text.strip().split("\n") if x):
+        head, colon, rest = piece.partition(":")
+        if colon and head.strip().lower() in ROLES:
+            groups.append((head.strip().lower(), [rest.strip()]))
+        elif piece:
+            groups[-1][1].append(piece)
         else:
-            role = role or "user"
-            held.append(line)
-    close()
-    return done or [("user", text)]
+            groups.append(("user", []))
+    found = [(role, "\n".join(lines).strip()) for role, lines in groups]
+    found = [m for m in found if m[1]]
+    return found or [("user", t) for t in [text.strip()] if t]
 
 
 @pytest.fixture(scope="module")
@@ -81,24 +59,24 @@ def test_pairs_and_batches(spark, dialogues, chunk):
     for r in D.turn_batches(table, chunk).orderBy("sample_id", "turn").collect():
         got.setdefault(r["sample_id"], []).append((r["query"], r["response"], r["batch_index"]))
     for i, dialogue in enumerate(dialogues):
-        assert [x[:2] for x in got.get(i, [])] == pairs_by_loop(dialogue)
-        assert [x[2] for x in got.get(i, [])] == batch_indices_by_loop(dialogue)
+        assert [x[:2] for x in got.get(i, [])] == expected_pairs(dialogue)
+        assert [x[2] for x in got.get(i, [])] == expected_indices(dialogue)
 
 
 def test_nested_pairs_equal_exploded_pairs(spark, dialogues):
     rows = [(i, [{"role": r, "content": t} for r, t in d]) for i, d in enumerate(dialogues)]
     table = spark.createDataFrame(rows, "i int, m array<struct<role:string,content:string>>")
     for r in table.select("i", D.pair_messages(F.col("m")).alias("p")).collect():
-        assert [tuple(x) for x in r["p"]] == pairs_by_loop(dialogues[r["i"]])
+        assert [tuple(x) for x in r["p"]] == expected_pairs(dialogues[r["i"]])
 
 
-def test_parser_equals_loop(spark):
+def test_parser_equals_line_groups(spark):
     rng = random.Random(3)
     pieces = ["User:", "assistant :", "SYSTEM:  ", "hello", "\n", "\n\n", "\n  \n", " ", "user: x", "\r\n", "mid user: y", "　"]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(2000)]
     table = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     for r in table.select("i", D.parse_dialogue(F.col("t")).alias("m")).collect():
-        assert [(m["role"], m["content"]) for m in r["m"]] == parse_by_loop(texts[r["i"]]), repr(texts[r["i"]])
+        assert [(m["role"], m["content"]) for m in r["m"]] == expected_parse(texts[r["i"]]), repr(texts[r["i"]])
 
 
 def test_round_trip_loss_equals_whole_sample_parse(spark, dialogues):
@@ -106,7 +84,7 @@ def test_round_trip_loss_equals_whole_sample_parse(spark, dialogues):
     lossy = 0
     for messages in clean:
         text = "\n\n".join(("User" if r == "user" else "Assistant") + ": " + t for r, t in messages)
-        lossy += bool(messages) and parse_by_loop(text) != messages
+        lossy += bool(messages) and expected_parse(text) != messages
     rows = [("t", i, r, t) for i, d in enumerate(clean) for r, t in d]
     table = spark.createDataFrame(rows, "task string, sample_id int, role string, content string")
     row = D.round_trip_loss(table, ["task"]).first()
