@@ -66,12 +66,12 @@ def retrieval_normalize_vectors(spark, sf):
 
 
 def _indexed(spark, sf):
-    """Stores by source and language; texts over 5,000 characters have no vector yet."""
-    docs = table(spark, sf, "documents").select("doc_id", F.concat("source", "lang").alias("digest"), "n_chars")
-    return docs, R.index_markers(docs, docs.where("n_chars <= 5000"), "MemoryBank")
+    """Stores by source and language; English texts over 5,000 characters have no vector yet."""
+    docs = table(spark, sf, "documents").select("doc_id", F.concat("source", "lang").alias("digest"), "n_chars", "lang")
+    return docs, R.index_markers(docs, docs.where("n_chars <= 5000 OR lang <> 'en'"), "MemoryBank")
 
 
-@query("""WITH s AS (SELECT source || lang AS digest, count(*) AS documents_count, count(*) FILTER (n_chars <= 5000) AS vectors_count FROM documents GROUP BY 1)
+@query("""WITH s AS (SELECT source || lang AS digest, count(*) AS documents_count, count(*) FILTER (n_chars <= 5000 OR lang <> 'en') AS vectors_count FROM documents GROUP BY 1)
 SELECT digest, documents_count FROM s WHERE documents_count <> vectors_count""")
 def retrieval_stores_to_build(spark, sf):
     """Stores whose vectors are incomplete are built again"""
@@ -80,7 +80,7 @@ def retrieval_stores_to_build(spark, sf):
     return R.stores_to_build(wanted, markers, "MemoryBank")
 
 
-@query("""SELECT doc_id, source || lang AS digest FROM documents WHERE source || lang NOT IN (SELECT source || lang FROM documents WHERE n_chars > 5000)""")
+@query("""SELECT doc_id, source || lang AS digest FROM documents WHERE source || lang NOT IN (SELECT source || lang FROM documents WHERE n_chars > 5000 AND lang = 'en')""")
 def retrieval_load_index(spark, sf):
     """Only stores with equal counts are loaded"""
     docs, markers = _indexed(spark, sf)
