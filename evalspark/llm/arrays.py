@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once.
 PIECE = 2 << 20
@@ -58,6 +59,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def stretches(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows with at most ``limit`` bytes of text, or one longer text."""
+    sizes = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(sizes):
+        before = int(sizes[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(sizes, before + limit, "right")))
+        yield first, last
+        first = last
+
+
 def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``(first row, bytes, offsets)`` of runs of rows; null texts are empty.
 

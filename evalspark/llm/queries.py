@@ -58,6 +58,19 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@query()
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every whole text, write grammar-compressed shards and read the documents back."""
+    import uuid
+
+    from evalspark.llm import token_files as tf
+    from evalspark.session import ensure_checkpoint_dir
+
+    folder = f"{ensure_checkpoint_dir(spark)}/token_files/{uuid.uuid4().hex}"
+    tf.write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), folder)
+    return tf.read_documents(spark, folder)
+
+
 BLANK_SQL = r"[^\x20\x09-\x0D]+"
 
 
