@@ -50,6 +50,14 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(rows.unionByName(extra), vocabulary("byte_bpe_50k.json")))
 
 
+@query()
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from evalspark.llm import main_text
+
+    return main_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text."""
