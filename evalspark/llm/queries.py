@@ -131,3 +131,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dc.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query()
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train on labelled rows outside the held-out fold and score every whole text."""
+    from evalspark.llm import quality_model as qm
+
+    documents = table(spark, sf_dir, "documents")
+    machine = qm.train(documents, table(spark, sf_dir, "labels"))
+    scored = qm.score(documents, machine, ["doc_id"])
+    return scored.select("doc_id", qm.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
