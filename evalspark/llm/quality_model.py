@@ -32,7 +32,7 @@ BUCKETS = 1 << 16
 RANK = 8
 #: Labelled documents used for training, at most.
 TRAIN_ROWS = 8_000
-EPOCHS = 4
+EPOCHS = 6
 BATCH = 256
 LEARNING_RATE = 0.05
 DECAY = 1e-5
@@ -230,5 +230,6 @@ def _scorer(machine: Machine, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 def score(documents: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of every document and its score."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
-    shared = documents.sparkSession.sparkContext.broadcast(machine)  # a few megabytes, whatever the corpus
-    return _inputs(documents, *keep).mapInArrow(lambda b: _scorer(shared.value, b), f"{kinds}, score double")
+    # a few megabytes, whatever the corpus
+    shared = documents.sparkSession.sparkContext.broadcast((machine.bias, machine.weights, machine.factors))
+    return _inputs(documents, *keep).mapInArrow(lambda b: _scorer(Machine(*shared.value), b), f"{kinds}, score double")
