@@ -143,3 +143,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = qm.score(documents, machine, ["doc_id"])
     return scored.select("doc_id", qm.held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents that share 90 percent of their three-word shingles."""
+    from evalspark.llm import jaccard_join
+
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
