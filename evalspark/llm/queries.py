@@ -151,3 +151,14 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalspark.llm import jaccard_join
 
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+@query()
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text: base formats and what the span classifier adds."""
+    from evalspark.llm import pii
+
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("bigint").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.span_texts(base), 256).alias("base_sha256"), pii.span_texts(F.col("spans")).alias("spans"))
