@@ -162,3 +162,11 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("bigint").alias(f"n_{k}") for k in pii.BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.span_texts(base), 256).alias("base_sha256"), pii.span_texts(F.col("spans")).alias("spans"))
+
+
+@query()
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every repeated 400-byte string from every whole text."""
+    from evalspark.llm import substring_dedup
+
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
