@@ -166,24 +166,29 @@ def with_text(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     return df.withColumn(text, decode(F.col(ids)))
 
 
-def _digester(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _digester(path: str, with_lists: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            counts, id_digests, text_digests = [], [], []
+            counts, id_digests, text_digests, lists = [], [], [], []
             for text in batch.column(1):
                 ids = bpe.encode(text.as_py() or "")
                 counts.append(len(ids))
                 id_digests.append(hashlib.sha256(",".join(map(bpe.names.__getitem__, ids)).encode()).hexdigest())
                 text_digests.append(hashlib.sha256(bpe.decode(ids).encode("utf-8", "replace")).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_lists:
+                    lists.append(ids)
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_lists:
+                columns.append(pa.array(lists, pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
     return run
 
 
-def round_trip_digests(df: DataFrame, path: str) -> DataFrame:
-    """Encode and decode every text and keep digests: one pass, ids never leave the worker."""
+def round_trip_digests(df: DataFrame, path: str, with_lists: bool = False) -> DataFrame:
+    """Encode and decode every text and keep digests, in one pass; ``with_lists`` also keeps the ids."""
     kind = df.schema["doc_id"].dataType.simpleString()
     return df.select("doc_id", "text").mapInArrow(
-        _digester(path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        _digester(path, with_lists), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_lists)

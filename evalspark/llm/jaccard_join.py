@@ -198,3 +198,12 @@ def similar_groups(documents: DataFrame, size: int = 5, percent: int = 80) -> Da
     named = classes.join(groups, "component", "left").select("set_key", F.coalesce("group_id", "first_id").alias("group_id"))
     return (described.join(named.withColumnRenamed("set_key", "_key"), (F.col("set_key") == F.col("_key")) & (F.col("n") > 0), "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("group_id", "doc_id").alias("component_id")))
+
+
+def one_per_group(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without those that are linked with a smaller id; of equal rows under one id one stays."""
+    groups = cut_lineage(similar_groups(documents, size, percent))
+    others = groups.where("doc_id != component_id").select("doc_id").distinct()
+    kept = documents.join(others, "doc_id", "left_anti").select(*documents.columns)
+    repeated = groups.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

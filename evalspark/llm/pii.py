@@ -150,12 +150,14 @@ VOTES = ["v_format", "v_gazetteer", "v_context", "v_border"]
 FEATURES = ["shape", *VOTES, "size"]
 
 
-def proposals(documents: DataFrame) -> DataFrame:
-    """``(doc_id, proposals)``: every document's proposals of all shapes, with votes."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.select("doc_id", text.alias("_text"))
-    found = rows.select("doc_id", *[matches(F.col("_text"), s).alias(s.name) for s in SHAPES])
-    return found.select("doc_id", F.sort_array(F.concat(*[_voted(F.col(s.name), s) for s in SHAPES])).alias("proposals"))
+def proposals(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` (the id) and ``proposals``: every document's proposals of all shapes, with votes."""
+    kept = [F.col(name).alias(f"_kept_{name}") for name in keep or ["doc_id"]]
+    rows = documents.select(*kept, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    names = [f"_kept_{name}" for name in keep or ["doc_id"]]
+    found = rows.select(*names, *[matches(F.col("_text"), s).alias(f"_{s.name}") for s in SHAPES])
+    return found.select(*[F.col(n).alias(n.removeprefix("_kept_")) for n in names],
+                        F.sort_array(F.concat(*[_voted(F.col(f"_{s.name}"), s) for s in SHAPES])).alias("proposals"))
 
 
 # --- the label model and the classifier: arithmetic over bounded tables of counts ------------
@@ -245,18 +247,31 @@ def train(found: DataFrame) -> Model:
     return Model(fit_classifier(table), {(VOTES[k], v): pair for (k, v), pair in likelihood.items()})
 
 
-def find_personal_data(documents: DataFrame) -> DataFrame:
-    """``(doc_id, spans)``: sorted structs ``(at, rank, until, kind, base)`` of every document."""
-    found = cut_lineage(proposals(documents))
-    model = train(found)
+def _kept_spans(model: Model) -> Column:
+    """The proposals in base formats and those the classifier is sure of, as sorted spans."""
     sure = math.log(SURE / (1 - SURE))
 
     def kept(p: Column) -> Column:
         return p["base"] | (~p["shape"].isin([s.name for s in SHAPES if s.base]) & (p["v_format"] == 1) & (model.margin(p) >= sure))
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    spans = F.transform(F.filter("proposals", kept), lambda p: F.struct(
-        p["at"].alias("at"), p["rank"].alias("rank"), p["until"].alias("until"), F.get(kinds, p["rank"]).alias("kind"), p["base"].alias("base")))
-    return found.select("doc_id", F.array_distinct(spans).alias("spans"))
+    return F.array_distinct(F.transform(F.filter("proposals", kept), lambda p: F.struct(
+        p["at"].alias("at"), p["rank"].alias("rank"), p["until"].alias("until"), F.get(kinds, p["rank"]).alias("kind"), p["base"].alias("base"))))
+
+
+def find_personal_data(documents: DataFrame) -> DataFrame:
+    """``(doc_id, spans)``: sorted structs ``(at, rank, until, kind, base)`` of every document."""
+    found = cut_lineage(proposals(documents))
+    return found.select("doc_id", _kept_spans(train(found)).alias("spans"))
+
+
+def mask_personal_data(documents: DataFrame) -> DataFrame:
+    """The documents with every span replaced by its kind in brackets; ``n_chars`` follows where there is one."""
+    names = [name for name in documents.columns if name != "proposals"]
+    found = cut_lineage(proposals(documents, names))
+    rows = found.select(*names, _kept_spans(train(found)).alias("_spans"))
+    text = F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("_spans")))
+    changed = {"text": text} | ({"n_chars": F.length(text).cast(documents.schema["n_chars"].dataType)} if "n_chars" in names else {})
+    return rows.withColumns(changed).select(*names)
 
 
 def span_texts(spans: Column) -> Column:

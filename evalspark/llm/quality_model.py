@@ -181,8 +181,8 @@ def _declared(column: pa.Array) -> np.ndarray:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        declared = _declared(batch.column("declared"))
-        for first, data, offsets in A.pieces(batch.column("text")):
+        declared = _declared(batch.column("_declared"))
+        for first, data, offsets in A.pieces(batch.column("_text")):
             n = len(offsets) - 1
             row, feature, value = features(data, offsets, declared[first:first + n])
             at = pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32())
@@ -198,7 +198,7 @@ def held_out(doc_id, folds: int = 5):
 
 def _inputs(df: DataFrame, *more: str) -> DataFrame:
     declared = F.col("n_chars").cast("double") if "n_chars" in df.columns else F.lit(None).cast("double")
-    return df.select(*more, "text", declared.alias("declared"))
+    return df.select(*more, F.col("text").alias("_text"), declared.alias("_declared"))
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
@@ -207,7 +207,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ma
              .groupBy("doc_id").agg(F.min("quality").cast("double").alias("label")))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # the limit bounds what is broadcast; a second one holds if an id stands on many rows
-    rows_of = _inputs(documents, "doc_id").join(F.broadcast(sample), "doc_id").select("text", "declared", "label").limit(rows)
+    rows_of = _inputs(documents, "doc_id").join(F.broadcast(sample), "doc_id").select("_text", "_declared", "label").limit(rows)
     found = rows_of.mapInArrow(_vectors, "label double, feature array<int>, value array<float>").toArrow().combine_chunks()
     if found.num_rows == 0:
         return Machine.empty()
@@ -219,16 +219,17 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ma
 
 def _scorer(machine: Machine, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        declared = _declared(batch.column("declared"))
+        declared = _declared(batch.column("_declared"))
         scores = [machine.scores(*features(data, offsets, declared[first:first + len(offsets) - 1]), len(offsets) - 1)
-                  for first, data, offsets in A.pieces(batch.column("text"))]
+                  for first, data, offsets in A.pieces(batch.column("_text"))]
         made = pa.array(np.concatenate(scores) if scores else np.zeros(0))
-        kept = [i for i, name in enumerate(batch.schema.names) if name not in ("text", "declared")]
+        kept = [i for i, name in enumerate(batch.schema.names) if name not in ("_text", "_declared")]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), made], [*(batch.schema.names[i] for i in kept), "score"])
 
 
 def score(documents: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of every document and its score."""
+    """Columns ``keep`` of every document and its score; a column of that name gives way."""
+    keep = [name for name in keep if name != "score"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
     # a few megabytes, whatever the corpus
     shared = documents.sparkSession.sparkContext.broadcast((machine.bias, machine.weights, machine.factors))
