@@ -32,7 +32,9 @@ BUCKETS = 1 << 16
 RANK = 8
 #: Labelled documents used for training, at most.
 TRAIN_ROWS = 8_000
+#: Passes over the sample; a small sample is passed over until it has made ``LEAST_STEPS`` steps.
 EPOCHS = 6
+LEAST_STEPS = 150
 BATCH = 256
 LEARNING_RATE = 0.05
 DECAY = 1e-5
@@ -150,7 +152,7 @@ def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, labels: np.ndar
     machine.bias = float(np.log(labels.mean() / (1 - labels.mean())))
     weight_sq, factor_sq = np.full(machine.weights.shape, 1e-6, np.float32), np.full(machine.factors.shape, 1e-6, np.float32)
     begin = np.searchsorted(row, np.arange(n + 1))
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // -(-n // BATCH)))):
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
             chosen = order[at:at + BATCH]
