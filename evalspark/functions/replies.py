@@ -96,7 +96,11 @@ def recover_outermost(text: Column) -> Column:
     """Strip fences, else everything from the first ``{`` to the last ``}``."""
     body = F.regexp_replace(strip(text), r"^```(?:json)?", "")
     body = F.when(body.endswith("```"), strip(F.regexp_replace(body, r"```$", ""))).otherwise(body)
-    return bind(body, lambda b: F.coalesce(parse_object(b), parse_object(F.regexp_extract(b, r"(?s)\{.*\}", 0))))
+    # a text that is JSON as a whole is taken as it is, so a list around an object is refused
+    def outermost(b: Column) -> Column:
+        return bind(parse_value(b), lambda value: F.when(_is_object(value), value).when(
+            value.isNull(), parse_object(F.regexp_extract(b, r"(?s)\{.*\}", 0))))
+    return bind(body, outermost)
 
 
 def declared_dimensions(template: Column) -> Column:
@@ -284,7 +288,8 @@ def selected_ids(text: Column, memory_ids: Column, partition: bool) -> Column:
     """``struct(ids, problem)`` of a selector reply.
 
     Keep-list: a subset, returned in memory order. Partition: every id exactly once, in
-    the order the groups name them.
+    the order the groups name them. An absent list is empty; a list that is present but no
+    list, and a group that is no object, are problems.
     """
     return bind(parse_object(strip(text)), lambda parsed: _selected(parsed, memory_ids, partition))
 
@@ -293,9 +298,18 @@ def _selected(parsed: Column, memory_ids: Column, partition: bool) -> Column:
     def as_texts(value: Column) -> Column:
         return F.transform(F.coalesce(_items(value), F.array().cast("array<variant>")), lambda v: _get(v, "$", "string"))
 
+    present = _get(parsed, "$", "map<string,variant>")
+    key = "groups" if partition else "keep_memory_ids"
+    listed = _get(parsed, f"$.{key}")
+    malformed = F.array_contains(F.map_keys(present), F.lit(key)) & ~_is_list(listed)
     if partition:
         groups = F.coalesce(_items(_get(parsed, "$.groups")), F.array().cast("array<variant>"))
         named = F.flatten(F.transform(groups, lambda g: as_texts(_get(g, "$.memory_ids"))))
+
+        def odd(group: Column) -> Column:
+            ids = F.array_contains(F.map_keys(_get(group, "$", "map<string,variant>")), F.lit("memory_ids"))
+            return ~_is_object(group) | (ids & ~_is_list(_get(group, "$.memory_ids")))
+        malformed = malformed | F.exists(groups, odd)
     else:
         named = as_texts(_get(parsed, "$.keep_memory_ids"))
 
@@ -303,12 +317,13 @@ def _selected(parsed: Column, memory_ids: Column, partition: bool) -> Column:
         unknown = F.size(F.array_except(proposed, memory_ids)) > 0
         if partition:
             problem = (
-                F.when(parsed.isNull(), "no JSON object")
+                F.when(parsed.isNull(), "no JSON object").when(malformed, "groups are malformed")
                 .when(F.size(F.array_distinct(proposed)) != F.size(proposed), "duplicate memory ids")
                 .when(unknown | (F.size(F.array_except(memory_ids, proposed)) > 0), "ids do not cover the memories"))
             chosen = proposed
         else:
-            problem = F.when(parsed.isNull(), "no JSON object").when(unknown, "unknown memory id")
+            problem = (F.when(parsed.isNull(), "no JSON object").when(malformed, "keep_memory_ids is not a list")
+                       .when(unknown, "unknown memory id"))
             chosen = F.array_intersect(memory_ids, proposed)
         return F.struct(F.when(problem.isNull(), chosen).alias("ids"), problem.alias("problem"))
 

@@ -29,6 +29,10 @@ def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def exact_mean(value: Column, scale: int = 3) -> Column:
-    """Mean of values with at most ``scale`` decimals, independent of summation order."""
-    return F.sum(value.cast(f"decimal(38,{scale})")).cast("double") / F.when(F.count(value) > 0, F.count(value))
+def rounded_mean(value: Column, digits: int = 3) -> Column:
+    """Mean of the values as they are, rounded once, halves up; NULL without values.
+
+    The sum of doubles depends on the order in its last bits, so the mean is read at six
+    digits before the one rounding that is reported.
+    """
+    return F.round(F.avg(value).cast("decimal(38,6)"), digits).cast("double")

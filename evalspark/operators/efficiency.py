@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evalspark.functions.stats import exact_mean
+from evalspark.functions.stats import rounded_mean
 from evalspark.operators.ordered import exact_quantiles, time_chunk, with_neighbours, with_position
 
 TOKENS = ["input_tokens", "output_tokens", "total_tokens", "cached_input_tokens", "reasoning_tokens"]
@@ -99,7 +99,7 @@ def sample_statistics(samples: DataFrame, keys: list[str]) -> DataFrame:
     base = samples.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("sample_count"), F.count_if(done).alias("completed_sample_count"),
         F.count_if(~done).alias("failed_sample_count"),
-        *[F.round(exact_mean(F.when(done, F.col(c))), 3).alias(f"mean_{label}") for c, label in STATISTICS.items()],
+        *[rounded_mean(F.when(done, F.col(c))).alias(f"mean_{label}") for c, label in STATISTICS.items()],
         F.round((F.unix_micros(F.max("sample_finished_at"))
                  - F.unix_micros(F.min(F.coalesce("run_started_at", "sample_started_at")))) / 1000.0, 3)
         .alias("batch_wall_time_ms"))
@@ -138,8 +138,14 @@ def throughput(run: DataFrame) -> DataFrame:
 
 
 def run_report(samples: DataFrame, calls: DataFrame) -> DataFrame:
-    """Run totals by ``(phase, run_id)`` and again by task inside it (task NULL = all tasks)."""
+    """Run totals by ``(phase, run_id)`` and again by task inside it (task NULL = all tasks).
+
+    A call belongs to the sample with its id, phase and run, and counts under that sample's
+    task; calls without a sample count nowhere. A sample without a wall time took 0 ms.
+    """
     keys = ["phase", "run_id", "task"]
-    totals = aggregate_calls(calls, keys, total_over="task")
+    owners = samples.select("sample_id", "phase", "run_id", "task").distinct()
+    totals = aggregate_calls(calls.drop("task").join(owners, ["sample_id", "phase", "run_id"]), keys, total_over="task")
+    samples = samples.withColumn("sample_wall_time_ms", F.coalesce("sample_wall_time_ms", F.lit(0.0)))
     with_total = samples.withColumn("task", F.explode(F.array(F.lit(None).cast("string"), F.col("task"))))
     return throughput(join_null_safe(sample_statistics(with_total, keys), totals, keys))

@@ -27,7 +27,7 @@ def run_configs(cells: DataFrame, generation_model: str, base_url: str, retrieva
 
     ``retrieval(task, system, retrieval_sha256)`` adds the frozen file's digest.
     """
-    joined = registry.with_task(cells)
+    joined = registry.refuse_unknown_tasks(registry.with_task(cells))
     if retrieval is not None:
         joined = joined.join(retrieval, ["task", "system"], "left")
     else:

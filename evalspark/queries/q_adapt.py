@@ -236,16 +236,16 @@ def adapt_json_safe_memories(spark, sf):
     return messages(spark, sf).select("sample_id", "turn", F.to_json(F.struct("role", "content", F.col("turn").alias("rank"))).alias("memory_json"))
 
 
-@query("""SELECT c.conv_id, r.task, r.dataset, r.category, r.top_k FROM conversations c JOIN (VALUES
+@query("""SELECT c.conv_id, r.task, r.dataset, r.category, r.top_k, CASE WHEN r.task IS NULL THEN 'unknown task' END AS task_problem FROM conversations c LEFT JOIN (VALUES
  (0,'memtrap_poison','memtrapbench','Safety',10),(1,'memtrap_number_game','memtrapbench','Cognitive Bias',10),(2,'memtrap_hurt','memtrapbench','Trauma',10),
  (3,'memtrap_hallucination','memtrapbench','Task Boundary',10),(4,'memtrap_inertia','memtrapbench','Cognitive Bias',10),(5,'memtrap_unclear','memtrapbench','Task Boundary',10),
  (6,'persist_cross_domain','persistbench',NULL,NULL),(7,'persist_sycophancy','persistbench',NULL,NULL),(8,'persist_beneficial_memory_usage','persistbench',NULL,NULL)) r(i, task, dataset, category, top_k)
- ON r.i = c.conv_id % 10""".replace("SELECT c.conv_id, r.task", "SELECT c.conv_id, c.turn, r.task"))
+ ON r.i = c.conv_id % 10""".replace("SELECT c.conv_id, r.task", "SELECT c.conv_id, c.turn, coalesce(r.task, 'unheard_of') AS task"))
 def adapt_registry_join(spark, sf):
     """Every conversation gets a task name; the tenth name is unknown and drops out"""
     names = F.array(*[F.lit(t[0]) for t in registry.TASKS], F.lit("unheard_of"))
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.get(names, (F.col("conv_id") % 10).cast("int")).alias("task"))
-    return registry.with_task(rows).select("conv_id", "turn", "task", "dataset", registry.category(F.col("subset")).alias("category"), "top_k")
+    return registry.with_task(rows).select("conv_id", "turn", "task", "dataset", registry.category(F.col("subset")).alias("category"), "top_k", "task_problem")
 
 
 @query("SELECT DISTINCT 'unheard_of' AS task FROM conversations WHERE conv_id % 10 = 9")

@@ -70,12 +70,14 @@ def efficiency_keep_recorded_runs(spark, sf):
 
 
 _STATS = ", ".join(
-    f"round((sum({c}::DECIMAL(38,3)) FILTER (success))::DOUBLE / count({c}) FILTER (success), 3) AS mean_{l}, round(CAST(median({c}) FILTER (success) AS DECIMAL(38,4)), 3)::DOUBLE AS median_{l}, quantile_disc({c}, 0.95) FILTER (success)::DOUBLE AS p95_{l}"
+    f"round(CAST(avg({c}) FILTER (success) AS DECIMAL(38,6)), 3)::DOUBLE AS mean_{l}, round(CAST(median({c}) FILTER (success) AS DECIMAL(38,4)), 3)::DOUBLE AS median_{l}, quantile_disc({c}, 0.95) FILTER (success)::DOUBLE AS p95_{l}"
     for c, l in E.STATISTICS.items())
 
 
 @query(f"""WITH {CALLS_SQL}, {SAMPLES_SQL},
-wide AS (SELECT * REPLACE (t AS task) FROM samples, LATERAL (SELECT unnest([NULL, samples.task]) AS t)), wcalls AS (SELECT * REPLACE (t AS task) FROM calls, LATERAL (SELECT unnest([NULL, calls.task]) AS t)),
+owners AS (SELECT * REPLACE (CASE WHEN sample_id % 13 = 0 THEN 'moved' ELSE task END AS task) FROM samples),
+owned AS (SELECT c.* REPLACE (o.task AS task) FROM calls c JOIN owners o ON o.sample_id = c.sample_id AND o.run_id = c.run_id AND o.phase = CASE WHEN NOT c.success AND c.attempt = 4 THEN 'replay' ELSE c.phase END),
+wide AS (SELECT * REPLACE (t AS task) FROM owners, LATERAL (SELECT unnest([NULL, owners.task]) AS t)), wcalls AS (SELECT * REPLACE (t AS task) FROM owned, LATERAL (SELECT unnest([NULL, owned.task]) AS t)),
 s AS (SELECT phase, run_id, task, count(*) AS sample_count, count(*) FILTER (success) AS completed_sample_count, count(*) FILTER (NOT success) AS failed_sample_count, {_STATS},
   round((epoch_us(max(sample_finished_at)) - epoch_us(min(run_started_at))) / 1000.0, 3) AS batch_wall_time_ms FROM wide GROUP BY ALL),
 c AS (SELECT phase, run_id, task, {_SUMS} FROM wcalls GROUP BY ALL),
@@ -83,8 +85,10 @@ st AS (SELECT phase, run_id, task, sum(r)::BIGINT AS retry_count FROM (SELECT ph
 ss AS (SELECT phase, run_id, task, sum(r)::BIGINT AS retry_total FROM (SELECT phase, run_id, task, stage, sample_id, max(attempt) - 1 AS r FROM wcalls GROUP BY ALL) GROUP BY ALL)
 SELECT s.*, c.* EXCLUDE (phase, run_id, task), st.retry_count, ss.retry_total, round(completed_sample_count / (batch_wall_time_ms / 1000), 6) AS samples_per_second,
  round(output_tokens / (batch_wall_time_ms / 1000), 6) AS output_tokens_per_second, round(total_tokens / (batch_wall_time_ms / 1000), 6) AS total_tokens_per_second
-FROM s JOIN c ON s.run_id = c.run_id AND s.task IS NOT DISTINCT FROM c.task JOIN st ON s.run_id = st.run_id AND s.task IS NOT DISTINCT FROM st.task JOIN ss ON s.run_id = ss.run_id AND s.task IS NOT DISTINCT FROM ss.task""")
+FROM s LEFT JOIN c ON s.run_id = c.run_id AND s.task IS NOT DISTINCT FROM c.task LEFT JOIN st ON s.run_id = st.run_id AND s.task IS NOT DISTINCT FROM st.task LEFT JOIN ss ON s.run_id = ss.run_id AND s.task IS NOT DISTINCT FROM ss.task""")
 def efficiency_run_report(spark, sf):
-    """F8, F9, N11"""
-    out = E.run_report(samples(spark, sf).drop("api_call_count"), calls(spark, sf))
+    """Some samples carry another task than their calls, and some calls have no sample"""
+    owners = samples(spark, sf).drop("api_call_count").withColumn("task", F.when(F.col("sample_id") % 13 == 0, "moved").otherwise(F.col("task")))
+    log = calls(spark, sf).withColumn("phase", F.when(~F.col("success") & (F.col("attempt") == 4), "replay").otherwise(F.col("phase")))
+    out = E.run_report(owners, log)
     return out.withColumns({"retry_count": F.col("retry_count").cast("bigint"), "retry_total": F.col("retry_total").cast("bigint")})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalspark.functions.stats import exact_mean, wilson_interval
+from evalspark.functions.stats import rounded_mean, wilson_interval
 from evalspark.operators import metrics as M
 from evalspark.operators.ordered import exact_quantiles
 from evalspark.queries import query, table
@@ -193,12 +193,12 @@ def metrics_missing_ids(spark, sf):
     return M.missing_ids(expected_samples(spark, sf), done, ["task"]).select("task", "sample_id")
 
 
-@query("""SELECT event_type, round(sum(value::DECIMAL(38,3))::DOUBLE / count(*), 3) AS mean, round(median(value), 3) AS median, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1""")
+@query("""SELECT event_type, round(avg(value)::DECIMAL(38,6), 3)::DOUBLE AS mean, round(median(value), 3) AS median, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1""")
 def metrics_quantiles(spark, sf):
     """F9"""
     events = table(spark, sf, "events")
     exact = exact_quantiles(events, ["event_type"], "value", {"median": ("cont", 0.5), "p95": ("disc", 0.95)})
-    means = events.groupBy("event_type").agg(F.round(exact_mean(F.col("value")), 3).alias("mean"))
+    means = events.groupBy("event_type").agg(rounded_mean(F.col("value")).alias("mean"))
     return exact.join(means, "event_type").select("event_type", "mean", F.round("median", 3).alias("median"), "p95")
 
 

@@ -125,14 +125,14 @@ _BUDGET = f"""{_COUNTS}, b AS (SELECT task, system, arm, sample_count, CAST(CASE
 @query(f"WITH {_BUDGET} SELECT * FROM b")
 def budget_call_matrix(spark, sf):
     """E13, F11, N12"""
-    budget = B.call_budget(registry.with_task(cells(spark, sf)))
+    budget = B.call_budget(registry.refuse_unknown_tasks(registry.with_task(cells(spark, sf))))
     return budget.select("task", "system", "arm", "sample_count", "stages_per_sample", "generation_calls", "judge_calls", "total_calls")
 
 
 @query(f"WITH {_BUDGET} SELECT arm, count(*) AS cells, sum(generation_calls)::BIGINT AS generation_calls, sum(judge_calls)::BIGINT AS judge_calls, sum(total_calls)::BIGINT AS total_calls FROM b GROUP BY ROLLUP (arm)")
 def budget_totals(spark, sf):
     """F11"""
-    return B.budget_totals(B.call_budget(registry.with_task(cells(spark, sf))))
+    return B.budget_totals(B.call_budget(registry.refuse_unknown_tasks(registry.with_task(cells(spark, sf)))))
 
 
 @query(f"""WITH {_COUNTS} SELECT task, system, sample_count AS samples, messages, messages * rate AS estimated_calls FROM counts, (VALUES ('AMEM', 2.0::DOUBLE), ('Mem0', 2.0::DOUBLE), ('naiveRAG', 0.0::DOUBLE)) r(system, rate)""")

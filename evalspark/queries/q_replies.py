@@ -212,7 +212,7 @@ def reply_selected_ids(spark, sf):
     keep_reply = F.when(k == 3, "I would keep all").otherwise(F.to_json(F.struct(keep.alias("keep_memory_ids"))))
     even = F.filter(ids, lambda _m, i: i % 2 == 1)
     second = (F.when(k == 2, F.concat(even, F.array(F.lit("m1")))).when(k == 4, F.concat(even, F.array(F.lit("mx")))).otherwise(even))
-    first = F.when(k == 5, F.slice(odd, 2, 100000)).otherwise(odd)
+    first = F.when(k == 5, F.slice(odd, 2, F.size(odd))).otherwise(odd)
     groups = F.array(F.struct(F.lit("a").alias("domain"), first.alias("memory_ids")), F.struct(F.lit("b").alias("domain"), second.alias("memory_ids")))
     part_reply = F.when(k == 3, "{").otherwise(F.to_json(F.struct(groups.alias("groups"))))
     docs = table(spark, sf, "documents").select("doc_id", ids.alias("ids"), keep_reply.alias("kr"), part_reply.alias("pr"))

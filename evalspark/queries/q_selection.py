@@ -156,13 +156,13 @@ r AS (SELECT cell, CASE WHEN cell = 'P' AND position >= 40 THEN id + 1 ELSE id E
 
 
 @query(f"""WITH {_LISTS} SELECT l.cell, count(*) AS rows, min(l.position) FILTER (r.id IS DISTINCT FROM l.id) AS first_divergence
- FROM (SELECT * FROM l WHERE position < 900 OR cell <> 'F') l LEFT JOIN r ON r.cell = l.cell AND r.position = l.position GROUP BY 1""")
+ FROM l LEFT JOIN r ON r.cell = l.cell AND r.position = l.position GROUP BY 1""")
 def selection_first_divergence(spark, sf):
     """Positions are dense row numbers per order status"""
     base = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("cell"), F.col("o_orderkey").alias("sample_id"))
     left = with_position(base, ["cell"], ["sample_id"], int_chunk(F.col("sample_id")))
     right = left.withColumn("sample_id", F.when((F.col("cell") == "P") & (F.col("position") >= 40), F.col("sample_id") + 1).otherwise(F.col("sample_id")))
-    return S.first_divergence(left.where("position < 900 OR cell <> 'F'"), right, ["cell"])
+    return S.first_divergence(left, right, ["cell"])
 
 
 @query("""WITH p AS (SELECT o_orderstatus AS cell, o_orderkey, o_custkey, lag(o_custkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS before FROM orders)
@@ -229,10 +229,10 @@ def selection_manifest(spark, sf):
         F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).orderBy("task")
 
 
-@query("""SELECT cell, unnest(list_sort(list_distinct(list_append(list(DISTINCT run_index), 0)))) AS run_index FROM (SELECT event_type AS cell, CAST(user_id % 40 + 1 AS INTEGER) AS run_index FROM events WHERE value > 150) GROUP BY cell""")
+@query("""SELECT cell, unnest(list_sort(list_distinct(list_append(list(DISTINCT run_index), 0)))) AS run_index FROM (SELECT event_type AS cell, CAST(user_id % 40 + 1 AS INTEGER) AS run_index FROM events) GROUP BY cell""")
 def selection_run_indices(spark, sf):
     """Run indices present per cell, always with 0"""
-    present = table(spark, sf, "events").where("value > 150").select(F.col("event_type").alias("cell"), (F.col("user_id") % 40 + 1).cast("int").alias("run_index"))
+    present = table(spark, sf, "events").select(F.col("event_type").alias("cell"), (F.col("user_id") % 40 + 1).cast("int").alias("run_index"))
     from evalspark.sources.files import run_indices
     return run_indices(present, ["cell"])
 

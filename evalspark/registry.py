@@ -86,9 +86,22 @@ def category(subset: Column) -> Column:
 
 
 def with_task(df: DataFrame, task_column: str = "task") -> DataFrame:
-    """Join registry columns; the registry has nine rows, so it is always broadcast."""
+    """Join registry columns; the registry has nine rows, so it is always broadcast.
+
+    Rows of a task that is not registered stay, without registry columns and with a
+    ``task_problem``; :func:`refuse_unknown_tasks` fails on them.
+    """
     registry = task_registry(df.sparkSession).withColumnRenamed("task", "_task")
-    return df.join(F.broadcast(registry), F.col(task_column) == F.col("_task")).drop("_task")
+    joined = df.join(F.broadcast(registry), F.col(task_column) == F.col("_task"), "left")
+    return joined.withColumn("task_problem", F.when(F.col("_task").isNull(), "unknown task")).drop("_task")
+
+
+def refuse_unknown_tasks(df: DataFrame, task_column: str = "task") -> DataFrame:
+    """Rows from :func:`with_task`, failing the job on the first unknown task instead of losing its rows."""
+    name = F.coalesce(F.col(task_column), F.lit("NULL"))
+    checked = F.when(F.col("task_problem").isNull(), F.col(task_column)).otherwise(
+        F.raise_error(F.concat(F.lit("unknown task: "), name)).cast("string"))
+    return df.withColumn(task_column, checked).drop("task_problem")
 
 
 def unknown_tasks(df: DataFrame, task_column: str = "task") -> DataFrame:

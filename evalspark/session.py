@@ -31,7 +31,11 @@ def build_session(app: str = "evalspark", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only where none is named."""
+    """The shared folder the session names.
+
+    Where none is named, a local master gets a temporary one; any other master is refused,
+    because its executors would each write to a disk of their own.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -40,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         current = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(current)
     return current

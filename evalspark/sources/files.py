@@ -37,15 +37,29 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 
 def lenient_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """JSONL without torn or invalid lines, so their samples are done again."""
-    with_corrupt = StructType([*schema.fields]).add("_corrupt_record", "string")
-    rows = spark.read.schema(with_corrupt).option("mode", "PERMISSIVE").json(path)
-    return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    """JSONL without torn or invalid lines and lines that are no object, so their samples are done again."""
+    good = audit_lines(spark.read.text(path)).where("problem IS NULL")
+    return _typed(good, schema).where(F.col("row").isNotNull()).select("row.*")
 
 
 def strict_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """JSONL that fails the job on the first invalid line."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """JSONL that fails the job on the first line that is no JSON object of the schema."""
+    lines = audit_lines(spark.read.text(path))
+    checked = F.when(F.col("problem").isNull(), F.col("value")).otherwise(
+        F.raise_error(F.concat(F.lit("bad line ("), F.col("problem"), F.lit("): "), F.left("value", F.lit(200)))).cast("string"))
+    rows = _typed(lines.withColumn("value", checked), schema)
+    # the filter reads every row, so a count fails as well
+    fits = F.col("row").isNotNull() | F.raise_error(F.lit("a line does not fit the schema")).cast("boolean")
+    return rows.where(fits).select("row.*")
+
+
+def _typed(lines: DataFrame, schema: StructType) -> DataFrame:
+    """Lines with ``row``, NULL where a field has another type than the schema's."""
+    corrupt = "_corrupt_record"
+    parsed = F.from_json("value", StructType([*schema.fields]).add(corrupt, "string"), {"columnNameOfCorruptRecord": corrupt})
+    rows = lines.withColumn("_row", parsed)
+    fields = F.struct(*[F.col("_row")[f.name].alias(f.name) for f in schema.fields])
+    return rows.withColumn("row", F.when(F.col("_row")[corrupt].isNull(), fields)).drop("_row")
 
 
 def audit_lines(lines: DataFrame, value: str = "value") -> DataFrame:

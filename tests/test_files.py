@@ -45,6 +45,16 @@ def test_lenient_and_strict_lines(spark, tmp_path):
         S.strict_lines(spark, path, SCHEMA).collect()
 
 
+def test_lines_that_are_no_object(spark, tmp_path):
+    path = write(f"{tmp_path}/a.jsonl", '{"sample_id": "x", "n": 1}\n[{"sample_id": "y"}]\n{"sample_id":\n{"sample_id": "z"}\n')
+    lenient = S.lenient_lines(spark, path, SCHEMA)
+    assert lenient.count() == 2 and sorted(pairs(lenient, "sample_id")) == [("x",), ("z",)]
+    bad = S.strict_lines(spark, write(f"{tmp_path}/b.jsonl", '{"sample_id": "x"}\n[{"sample_id": "y"}]\n'), SCHEMA)
+    for action in (bad.count, bad.collect):
+        with pytest.raises(Exception, match="not an object"):
+            action()
+
+
 def test_audit_lines(spark, tmp_path):
     path = write(f"{tmp_path}/a.jsonl", '{"a": 1}\n[1]\n{"a": 1} tail\n\n"text"\nnope\n')
     rows = S.audit_lines(S.numbered_lines(spark, path)).orderBy("line_number").collect()

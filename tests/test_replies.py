@@ -87,3 +87,31 @@ def test_stage_two_reattaches_ids_only_when_all_are_absent(spark):
     assert check([text, {**text, "memory_id": "b"}])["problem"] == "memory ids differ"
     assert check([{**text, "memory_id": "a"}, {**text, "memory_id": "a"}])["problem"] == "memory ids differ"
     assert check([{"memory_id": "a", "use_instruction": "u"}, {**text, "memory_id": "b"}])["problem"] == "rationale"
+
+
+def test_outermost_refuses_a_list_around_an_object(spark):
+    rows = ['[{"memory_use_instructions": []}]', 'so: {"a": 1} done', '```json\n{"a": 2}\n```', '"text"']
+    frame = spark.createDataFrame([(r,) for r in rows], "t string")
+    assert [r[0] for r in frame.select(F.to_json(R.recover_outermost(F.col("t")))).collect()] == [None, '{"a":1}', '{"a":2}', None]
+
+
+def test_selections_of_the_wrong_type(spark):
+    ids = F.array(F.lit("m1"), F.lit("m2"))
+
+    def problems(rows, partition):
+        frame = spark.createDataFrame([(r,) for r in rows], "t string")
+        return [tuple(r[0]) for r in frame.select(R.selected_ids(F.col("t"), ids, partition)).collect()]
+
+    wrong = "keep_memory_ids is not a list"
+    assert problems(['{"keep_memory_ids": null}', '{"keep_memory_ids": "m1"}', '{"keep_memory_ids": 5}', "{}", '{"keep_memory_ids": ["m2"]}'], False) == [
+        (None, wrong), (None, wrong), (None, wrong), ([], None), (["m2"], None)]
+    wrong = "groups are malformed"
+    assert problems(['{"groups": [{"memory_ids": ["m1"]}, 5, {"memory_ids": ["m2"]}]}', '{"groups": {"a": 1}}', '{"groups": [{"memory_ids": "m1"}]}',
+                     '{"groups": [{"memory_ids": ["m1", "m2"]}]}'], True) == [(None, wrong), (None, wrong), (None, wrong), (["m1", "m2"], None)]
+
+
+def test_mean_is_rounded_once(spark):
+    from evalspark.functions.stats import rounded_mean
+
+    frame = spark.createDataFrame([(0.0004,), (0.0004,), (0.0008,), (None,)], "v double")
+    assert frame.select(rounded_mean(F.col("v"))).first()[0] == 0.001
