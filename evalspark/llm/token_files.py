@@ -22,6 +22,7 @@ ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -77,6 +78,10 @@ class WordEncoder:
         self.size = self._tokenizer.get_vocab_size()
         #: A digit is a word of one id; it parts the words of one call.
         self._parting = self._plain(["0"])[0]
+        suffix = json.loads(self._tokenizer.to_str())["model"].get("end_of_word_suffix")
+        #: Whether an id ends a run of letters.
+        self._ends = np.zeros(self.size + 1, bool)
+        self._ends[[i for token, i in self._tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
         self._known: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
@@ -90,6 +95,16 @@ class WordEncoder:
             known.update(newest)
         alone = [w for w in words if len(self._parting) != 1 or _APART.search(w)]
         known.update(zip(alone, (ids.tobytes() for ids in self._plain(alone))))
+        # words of letters end with their only id of that kind, so nothing need part them
+        letters = [w for w in words if w.isalpha() and w.lower().isalpha()]
+        groups = [letters[i:i + 200] for i in range(0, len(letters), 200)]
+        for group, ids in zip(groups, self._plain([" ".join(g) for g in groups])):
+            ends = (np.flatnonzero(self._ends[ids]) + 1).tolist()
+            if len(ends) == len(group):
+                raw, start = ids.tobytes(), 0
+                for word, end in zip(group, ends):
+                    known[word] = raw[4 * start:4 * end]
+                    start = end
         together = [w for w in words if w not in known]
         groups = [together[i:i + 200] for i in range(0, len(together), 200)]
         for group, ids in zip(groups, self._plain([" 0 ".join(g) for g in groups])):
