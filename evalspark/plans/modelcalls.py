@@ -1,6 +1,6 @@
 """Model-call passes: a user's function applied to prompt rows, partition by partition.
 
-A :class:`ModelFn` factory runs once per partition (one client each). A failed call never
+A factory runs once per thread of a task (one client each). A failed call never
 fails a task: it becomes an ``error`` column. The pass output is checkpointed before it is
 read twice, because calling a model again would give other rows and cost money.
 """
@@ -8,15 +8,21 @@ read twice, because calling a model again would give other rows and cost money.
 from __future__ import annotations
 
 import re
+import threading
 import time
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from evalspark.functions.replies import TRANSIENT_MARKERS
 from evalspark.session import cut_lineage
 
+#: Rows a task gathers before it hands them on.
+FLUSH = 256
 #: ``factory()`` returns ``call(system, user, stage) -> str | dict``. A dict may hold ``text``
 #: and the token counts of ``USAGE``.
 ModelFactory = Callable[[], Callable[[str, str, str], "str | dict"]]
@@ -34,52 +40,99 @@ def backoff_seconds(attempt: int, error: str, max_wait: float = 120.0) -> float:
     return min(max_wait, max(wait, float(hint.group(1)))) if hint else wait
 
 
+def worth_retrying(error: Exception) -> bool:
+    """An empty reply, or a transient failure by its status or its message."""
+    status = getattr(error, "status_code", None)
+    if isinstance(error, EmptyReply) or status == 429 or (isinstance(status, int) and 500 <= status <= 599):
+        return True
+    return any(marker in str(error).lower() for marker in TRANSIENT_MARKERS)
+
+
+class EmptyReply(ValueError):
+    """The model answered with nothing but white space."""
+
+
+def _readable(error: Exception, secrets: Iterable[str], limit: int = 2000) -> str:
+    text = str(error)
+    for secret in secrets:
+        if len(secret) > 8:
+            text = text.replace(secret, "[REDACTED]")
+    return text[:limit]
+
+
 def call_model(prompts: DataFrame, factory: ModelFactory, stage: str, attempts: int = 5,
-               wait_seconds: Callable[[int, str], float] = backoff_seconds,
-               partitions: int | None = None) -> DataFrame:
+               wait_seconds: Callable[[int, str], float] = backoff_seconds, partitions: int | None = None,
+               concurrency: int = 8, secrets: Iterable[str] = (),
+               retry: Callable[[Exception], bool] = worth_retrying) -> DataFrame:
     """Call the model for ``prompts(call_key, system, user)``; one row per attempt.
 
-    An empty reply counts as a failure. The last attempt of a key tells whether it
-    succeeded. Rows are spread by key over ``partitions`` tasks (the session's cores by
-    default), because a call costs far more than moving its prompt; the number of tasks
-    also bounds the concurrent calls.
+    An empty reply counts as a failure, and only failures that ``retry`` accepts are tried
+    again. The last attempt of a key tells whether it succeeded. Rows are spread by key over
+    ``partitions`` tasks (the session's shuffle partitions by default, which follow the size
+    of the data), and each task keeps up to ``concurrency`` calls open, each thread with a
+    client of its own. A task holds only the open calls and a batch of ``FLUSH`` rows, and
+    hands rows on as they come. ``secrets`` are struck out of error texts.
     """
-    prompts = prompts.select("call_key", "system", "user").repartition(
-        partitions or prompts.sparkSession.sparkContext.defaultParallelism, "call_key")
+    session = prompts.sparkSession
+    spread = partitions or max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    prompts = prompts.select("call_key", "system", "user").repartition(spread, "call_key")
+    hidden = tuple(secrets)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = factory()
-        for batch in batches:
+        local = threading.local()
+
+        def ask(key: str, system: str, user: str) -> list[dict]:
+            if not hasattr(local, "call"):
+                local.call = factory()
             rows = []
-            for key, system, user in zip(batch["call_key"], batch["system"], batch["user"]):
-                for attempt in range(1, attempts + 1):
-                    started, clock = datetime.now(timezone.utc), time.perf_counter()
-                    row = {"call_key": key, "stage": stage, "attempt": attempt, "retry_sleep_ms": 0.0,
-                           "usage_available": False, **dict.fromkeys(USAGE)}
-                    try:
-                        reply = call(system, user, stage)
-                        reply = reply if isinstance(reply, dict) else {"text": reply}
-                        text = str(reply.get("text") or "").strip()
-                        if not text:
-                            raise ValueError("empty response")
-                        row.update(success=True, text=text, error_type=None, error=None)
-                        row.update({u: reply.get(u) for u in USAGE})
-                        row["usage_available"] = any(reply.get(u) is not None for u in USAGE[:3])
-                    except Exception as exc:  # noqa: BLE001 - the error is data
-                        row.update(success=False, text=None, error_type=type(exc).__name__, error=str(exc))
-                    row.update(request_started_at=started, response_received_at=datetime.now(timezone.utc),
-                               latency_ms=round((time.perf_counter() - clock) * 1000, 3))
-                    rows.append(row)
-                    if row["success"]:
-                        break
-                    if attempt < attempts:
-                        pause = wait_seconds(attempt, row["error"])
-                        row["retry_sleep_ms"] = pause * 1000.0
-                        time.sleep(pause)
+            for attempt in range(1, attempts + 1):
+                started, clock, again = datetime.now(timezone.utc), time.perf_counter(), False
+                row = {"call_key": key, "stage": stage, "attempt": attempt, "retry_sleep_ms": 0.0,
+                       "usage_available": False, **dict.fromkeys(USAGE)}
+                try:
+                    reply = local.call(system, user, stage)
+                    reply = reply if isinstance(reply, dict) else {"text": reply}
+                    text = str(reply.get("text") or "").strip()
+                    if not text:
+                        raise EmptyReply("empty response")
+                    row.update(success=True, text=text, error_type=None, error=None)
+                    row.update({u: reply.get(u) for u in USAGE})
+                    row["usage_available"] = any(reply.get(u) is not None for u in USAGE[:3])
+                except Exception as exc:  # noqa: BLE001 - the error is data
+                    again = attempt < attempts and retry(exc)
+                    kind = "ValueError" if isinstance(exc, EmptyReply) else type(exc).__name__
+                    row.update(success=False, text=None, error_type=kind, error=_readable(exc, hidden))
+                row.update(request_started_at=started, response_received_at=datetime.now(timezone.utc),
+                           latency_ms=round((time.perf_counter() - clock) * 1000, 3))
+                rows.append(row)
+                if not again:
+                    return rows
+                pause = wait_seconds(attempt, row["error"])
+                row["retry_sleep_ms"] = pause * 1000.0
+                time.sleep(pause)
+            return rows
+
+        def framed(rows: list[dict]) -> pd.DataFrame:
             frame = pd.DataFrame(rows, columns=[f.split()[0] for f in CALL_SCHEMA.split(", ")])
             for name in USAGE:
                 frame[name] = frame[name].astype("Int64")
-            yield frame
+            return frame
+
+        done: list[dict] = []
+        with ThreadPoolExecutor(concurrency) as pool:
+            open_calls: deque = deque()
+            for batch in batches:
+                for row in zip(batch["call_key"], batch["system"], batch["user"]):
+                    open_calls.append(pool.submit(ask, *row))
+                    while len(open_calls) >= 2 * concurrency:
+                        done += open_calls.popleft().result()
+                        if len(done) >= FLUSH:
+                            yield framed(done)
+                            done = []
+            while open_calls:
+                done += open_calls.popleft().result()
+        if done:
+            yield framed(done)
 
     return prompts.mapInPandas(run, CALL_SCHEMA)
 

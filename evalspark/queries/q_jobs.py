@@ -302,5 +302,5 @@ def jobs_daily_summaries(spark, sf):
                        F.struct(F.lit("2024-01-02").alias("date"), F.slice("l", half + 1, F.size("l")).alias("part")))
     halves = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), lines(F.col("text")).alias("l")).select("sample_id", F.inline(parts_of))
     pairs = F.transform("part", lambda x: F.struct(x.alias("query"), F.lit("").alias("response")))
-    daily, overall, _ = daily_and_overall(halves.select("sample_id", "date", pairs.alias("pairs")), "sum", digest_model, **NO_WAIT)
+    daily, overall, _, _ = daily_and_overall(halves.select("sample_id", "date", pairs.alias("pairs")), "sum", digest_model, **NO_WAIT)
     return daily.unionByName(overall.withColumn("date", F.lit(None).cast("string")))

@@ -3,14 +3,17 @@
 import json
 import os
 import sys
+import time
 import uuid
 
+import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from evalspark.functions import replies as R
 from evalspark.plans import arms as A, prompts as P
 from evalspark.plans.modelcalls import backoff_seconds, call_model, failure_ledger, last_attempt, validated_pass
+from evalspark.plans.summaries import daily_and_overall
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FAST = {"wait_seconds": lambda attempt, error: 0.0}
@@ -138,14 +141,55 @@ def test_format_once_ignores_braces_in_values(spark):
     assert got == "A {user_query} B q {x}"
 
 
-def test_rubric_placeholders_are_checked_before_filling():
-    P.check_rubric("{final_trigger} {ij} {aligned}".replace("{ij} {aligned}", ""), "shared")
-    try:
-        P.check_rubric("{final_trigger} {gold_standard}", "shared")
-    except ValueError as exc:
-        assert "gold_standard" in str(exc)
-    else:
-        raise AssertionError("placeholder accepted")
+def test_rubric_placeholders_are_checked_before_filling(spark):
+    rubrics = [("shared", "{final_trigger} {assistant_response} {{not_a}} {X}"), ("shared", "{gold_standard} {other}"), ("number_game", "{gold_standard}"),
+               ("unheard_of", "{poisoned_fact}")]
+    found = P.rubric_findings(spark.createDataFrame(rubrics, "family string, template string")).collect()
+    assert sorted((r["family"], r["field"]) for r in found) == [("shared", "gold_standard"), ("shared", "not_a"), ("shared", "other"), ("unheard_of", "poisoned_fact")]
+    row = spark.range(1).select(F.lit("t").alias("final_trigger"), F.lit("a").alias("assistant_response"))
+    fields = {c: F.col(c) for c in row.columns}
+    assert row.select(P.dialogue_judge_prompt("{final_trigger}-{assistant_response}", "shared", fields)["user"]).first()[0] == "t-a"
+    with pytest.raises(Exception, match="gold_standard"):
+        row.select(P.dialogue_judge_prompt("{final_trigger} {gold_standard}", "shared", fields)).collect()
+
+
+def test_a_stage_refuses_a_template_it_cannot_fill():
+    with pytest.raises(ValueError, match="MEMORY_BOUNDARY_CARDS"):
+        P.stage_prompt("s", "{{CURRENT_QUERY}} {{MEMORY_BOUNDARY_CARDS}}", F.lit("q"), F.lit("m"))
+
+
+def test_only_transient_errors_are_tried_again_and_secrets_are_struck_out(spark):
+    def factory():
+        def call(system, user, stage):
+            raise RuntimeError(f"{user}: key sk-123456789 refused" + "x" * 3000)
+        return call
+    log = call_model(prompts(spark, ["bad request", "HTTP 503"]), factory, "answer", attempts=3, secrets=["sk-123456789"], **FAST).collect()
+    assert sorted((r["call_key"], r["attempt"]) for r in log) == [("0", 1), ("1", 1), ("1", 2), ("1", 3)]
+    assert all("sk-123456789" not in r["error"] and "[REDACTED]" in r["error"] and len(r["error"]) == 2000 for r in log)
+
+
+def test_calls_of_a_task_run_side_by_side(spark):
+    def factory():
+        return lambda system, user, stage: time.sleep(0.2) or "ok"
+    started = time.perf_counter()
+    rows = call_model(prompts(spark, ["q"] * 40), factory, "answer", partitions=1, concurrency=20, **FAST).collect()
+    assert len(rows) == 40 and all(r["success"] for r in rows) and time.perf_counter() - started < 6
+
+
+def test_an_incomplete_sample_gets_no_overall_summary(spark):
+    def factory():
+        def call(system, user, stage):
+            if "broken" in user:
+                raise RuntimeError("no")
+            return user.count("\n") * "line " + "done"
+        return call
+    rows = [(1, "2024-01-01", [("a", "b")]), (1, "2024-01-02", [("broken", "b")]), (2, "2024-01-01", [("c", "d")])]
+    records = spark.createDataFrame(rows, "sample_id int, date string, pairs array<struct<query:string,response:string>>")
+    daily, overall, log, failures = daily_and_overall(records, "sum", factory, **FAST)
+    assert sorted((r["sample_id"], r["date"]) for r in daily.collect()) == [(1, "2024-01-01"), (2, "2024-01-01")]
+    assert [r["sample_id"] for r in overall.collect()] == [2]
+    assert [(r["sample_id"], r["stage"], r["error"]) for r in failures.orderBy("stage").collect()] == [
+        (1, "daily_summary", "no"), (1, "overall_summary", "daily summaries are missing")]
 
 
 def test_recover_outermost_strips_fences(spark):
