@@ -12,15 +12,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Positions per chunk for dense integer orders.
+#: Positions per chunk for dense integer orders, and chunks per block of totals.
 CHUNK = 65536
+BLOCK = 4096
 
 
 def int_chunk(position: Column, size: int = CHUNK) -> Column:
     return F.floor(position / F.lit(size)).cast("bigint")
 
 
-def time_chunk(ts: Column, seconds: int = 3600) -> Column:
+def time_chunk(ts: Column, seconds: int = 60) -> Column:
     return F.floor(F.unix_seconds(ts) / F.lit(seconds)).cast("bigint")
 
 
@@ -50,13 +51,22 @@ def with_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], ch
 
 def with_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
                      value: Column, name: str) -> DataFrame:
-    """Add the inclusive running sum of ``value`` along the key's order."""
+    """Add the inclusive running sum of ``value`` along the key's order.
+
+    Chunk totals are summed in blocks of ``BLOCK`` chunks, and only block totals are windowed
+    over the key, so no task holds more than a chunk, a block, or one row per block.
+    """
     df = df.withColumn("_chunk", chunk).withColumn("_v", value)
     inner = (W.partitionBy(*keys, "_chunk").orderBy(*order)
              .rowsBetween(W.unboundedPreceding, W.currentRow))
     totals = df.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_t"))
-    before = _keyed_window(keys, F.col("_chunk")).rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_chunk", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_offset"))
+    totals = totals.withColumn("_block", int_chunk(F.col("_chunk"), BLOCK))
+    blocks = totals.groupBy(*keys, "_block").agg(F.sum("_t").alias("_b"))
+    before = _keyed_window(keys, F.col("_block")).rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "_block", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_base"))
+    within = W.partitionBy(*keys, "_block").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    totals = (totals.withColumn("_in", F.coalesce(F.sum("_t").over(within), F.lit(0))).join(blocks, [*keys, "_block"])
+              .select(*keys, "_chunk", (F.col("_in") + F.col("_base")).alias("_offset")))
     return (
         df.withColumn(name, F.sum("_v").over(inner))
         .join(totals, [*keys, "_chunk"])

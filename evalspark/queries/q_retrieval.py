@@ -110,28 +110,30 @@ def retrieval_hashed_embedding(spark, sf):
 def frozen_rows(spark, sf, top_k: int = 4):
     """Retrieval per conversation: pairs become documents, the last user turn asks.
 
-    The question is excluded from no store: a store holds the whole conversation.
+    The question is excluded from no store: a store holds the whole conversation. A
+    conversation without a user turn stays as a refused row without memories.
     """
     chat = messages(spark, sf)
     pairs = dialogue_pairs(chat).select(
         F.col("sample_id").alias("store_id"), F.col("turn").alias("ordinal"), "query", "response",
-        F.concat(F.lit("2024-03-0"), (F.floor(F.col("turn") / 3) + 1).cast("string")).alias("date"))
+        F.date_format(F.date_add(F.lit("2024-03-01").cast("date"), F.floor(F.col("turn") / 3).cast("int")), "yyyy-MM-dd").alias("date"))
     documents = R.pair_documents(pairs).withColumn("vector", hashed_words(F.col("page_content")))
-    asked = chat.where("role = 'user'").groupBy(F.col("sample_id").alias("store_id")).agg(F.max_by("content", "turn").alias("request"))
-    asking = asked.select("store_id", F.col("store_id").alias("sample_id"), "request", hashed_words(F.col("request")).alias("query_vector"), F.lit(top_k).alias("top_k"))
+    user_turn = F.when(F.col("role") == "user", F.col("turn"))
+    asked = chat.groupBy(F.col("sample_id").alias("store_id")).agg(F.max_by("content", user_turn).alias("request"))
+    asking = asked.where("request IS NOT NULL").select("store_id", F.col("store_id").alias("sample_id"), "request", hashed_words(F.col("request")).alias("query_vector"), F.lit(top_k).alias("top_k"))
     hits = R.nearest_documents(documents, asking.drop("request"), max_k=top_k)
     merged = R.merge_by_date(hits)
     listed = merged.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("memory_rank", "date", "content"))).alias("memories"))
-    return asked.select(F.col("store_id").alias("sample_id"), "request").join(listed, "sample_id", "left").withColumn(
+    return asked.select(F.col("store_id").alias("sample_id"), "request", F.when(F.col("request").isNull(), "empty request").alias("problem")).join(listed, "sample_id", "left").withColumn(
         "memories", F.coalesce("memories", F.array().cast("array<struct<memory_rank:int,date:string,content:string>>")))
 
 
-_FROZEN = f"""{_PAIRS}, docs AS (SELECT sample_id AS store, turn, '2024-03-0' || (turn // 3 + 1) AS date, 'Conversation content on 2024-03-0' || (turn // 3 + 1) || ':' AS prefix,
+_FROZEN = f"""{_PAIRS}, docs AS (SELECT sample_id AS store, turn, strftime(DATE '2024-03-01' + CAST(turn // 3 AS INTEGER), '%Y-%m-%d') AS date, 'Conversation content on ' || strftime(DATE '2024-03-01' + CAST(turn // 3 AS INTEGER), '%Y-%m-%d') || ':' AS prefix,
   '[|User|]: ' || {sql_strip('query')} || '; [|AI|]: ' || {sql_strip('response')} AS body FROM pairs),
-ask AS (SELECT conv_id AS store, arg_max(text, turn) AS request FROM conversations WHERE role = 'user' GROUP BY 1),
-texts AS (SELECT store * 100000 + turn AS id, prefix || body AS t FROM docs UNION ALL SELECT -1 - store, request FROM ask), {_EMBED},
-dots AS (SELECT d.store, d.turn, round(coalesce((SELECT sum(a.tf * b.tf) FROM emb a JOIN emb b ON a.bucket = b.bucket WHERE a.id = d.store * 100000 + d.turn AND b.id = -1 - d.store), 0) / (nd.n * nq.n), 9) AS score
-  FROM docs d JOIN ask USING (store) JOIN norms nd ON nd.id = d.store * 100000 + d.turn JOIN norms nq ON nq.id = -1 - d.store),
+asked AS (SELECT conv_id AS store, arg_max(text, turn) FILTER (role = 'user') AS request FROM conversations GROUP BY 1), ask AS (SELECT * FROM asked WHERE request IS NOT NULL),
+texts AS (SELECT store || ':' || turn AS id, prefix || body AS t FROM docs UNION ALL SELECT 'asks ' || store, request FROM ask), {_EMBED},
+dots AS (SELECT d.store, d.turn, round(coalesce((SELECT sum(a.tf * b.tf) FROM emb a JOIN emb b ON a.bucket = b.bucket WHERE a.id = d.store || ':' || d.turn AND b.id = 'asks ' || d.store), 0) / (nd.n * nq.n), 9) AS score
+  FROM docs d JOIN ask USING (store) JOIN norms nd ON nd.id = d.store || ':' || d.turn JOIN norms nq ON nq.id = 'asks ' || d.store),
 rk AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY score DESC, turn) AS r FROM dots),
 byday AS (SELECT rk.store, date, string_agg({sql_strip('body')}, chr(10) ORDER BY r) AS content FROM rk JOIN docs ON docs.store = rk.store AND docs.turn = rk.turn WHERE r <= 4 GROUP BY ALL),
 frozen AS (SELECT store, date, content, row_number() OVER (PARTITION BY store ORDER BY date) AS memory_rank FROM byday)"""
@@ -146,13 +148,13 @@ def retrieval_frozen_memories(spark, sf):
 
 
 @query(f"""WITH {_FROZEN}, c AS (SELECT store, count(*) AS n, string_agg('### Memory ' || memory_rank || ' (' || date || '):' || chr(10) || {sql_strip('content')}, chr(10) || chr(10) ORDER BY memory_rank) AS body FROM frozen GROUP BY 1)
-SELECT a.store AS sample_id, coalesce(n, 0) AS retrieved_count, md5(CASE WHEN n IS NULL THEN '[NO RETRIEVED MEMORIES]' ELSE 'Based on the current question, the most relevant [memories] are:' || chr(10) || chr(10) || body END) AS context_digest
-FROM ask a LEFT JOIN c USING (store)""")
+SELECT a.store AS sample_id, CASE WHEN a.request IS NULL THEN 'empty request' END AS problem, coalesce(n, 0) AS retrieved_count, md5(CASE WHEN n IS NULL THEN '[NO RETRIEVED MEMORIES]' ELSE 'Based on the current question, the most relevant [memories] are:' || chr(10) || chr(10) || body END) AS context_digest
+FROM asked a LEFT JOIN c USING (store)""")
 def retrieval_frozen_context(spark, sf):
     """Context text of the frozen row"""
     rows = frozen_rows(spark, sf)
     none = non_blank(F.lit(""))
-    return rows.select("sample_id", F.size("memories").cast("bigint").alias("retrieved_count"),
+    return rows.select("sample_id", "problem", F.size("memories").cast("bigint").alias("retrieved_count"),
                        F.md5(dated_context(none, none, F.col("memories"))).alias("context_digest"))
 
 
