@@ -5,11 +5,13 @@ the same document or another. All such strings are found, in these steps:
 
 1. Routing. Every window of ``length`` bytes is named by the smallest hash of the ``ROUTE``
    byte strings inside it. Equal windows have equal names, so windows are only compared
-   under one name. A scan counts the names' occurrences; a name met once names no repeat.
-2. Segments. Consecutive windows under one name form a segment. A second scan cuts out the
-   segments whose name was met again (a bitmap of fixed size decides; it only ever lets too
-   much through). Equal segments become one row with a count.
-3. Shards. Segments are dealt by name into shards of bounded size. Each shard gets a suffix
+   under one name. A scan counts the naming strings with what stands half a window to their
+   left or right; equal windows agree on one of the two, so what is met once repeats nowhere.
+2. Segments. Consecutive windows under one name form a segment. A second scan notes where
+   segments stand whose surroundings were met again (a bitmap of fixed size decides; it only
+   ever lets too much through). Equal segments are one segment with a count.
+3. Shards. A third scan cuts out the bytes of the segments that share their name with others
+   and deals them by name into shards of bounded size. Each shard gets a suffix
    array by Larsson-Sadakane refinement: ranks by the first 7 bytes, then ranks of twice the
    depth from pairs of ranks, touching only groups that are not yet single. Common prefixes
    follow Kasai: along the text the value falls by one while the predecessor moves along, so
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evalspark.llm import arrays as A
 from evalspark.session import cut_lineage
@@ -88,55 +90,96 @@ def _long_texts(column: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray
             yield first, data, offsets
 
 
-def _count_names(length: int, route: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    width = length - route + 1
+def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, route: int) -> tuple[np.ndarray, ...]:
+    """Names and validity of all windows; the places that name some window, and two hashes around each.
+
+    A window reaches at least half of what it has beside its naming bytes to their left or to
+    their right. So two equal windows also agree on the hash that is extended to the left, or
+    on the one extended to the right, which few unequal windows do.
+    """
+    width, half = length - route + 1, (length - route) // 2
+    names, inside, hashes = _names(data, offsets, length, route)
+    # a place names a window if its hash is the largest name among the windows over it
+    over = np.zeros(len(names) + 2 * (width - 1), np.uint64)
+    over[width - 1:len(names) + width - 1] = np.where(inside, names, np.uint64(0))
+    named = _sliding(over, width, False)
+    places = np.flatnonzero(hashes[:len(named)] == named[:len(hashes)])
+    text = np.searchsorted(offsets, places, "right") - 1
+    running = A.prefix_hash(data)
+    leftward = A.span_hashes(running, np.maximum(places - half, 0), places + route)
+    leftward = np.where(places - half >= offsets[text], leftward, np.uint64(0))
+    until = np.minimum(places + route + half, len(data))
+    rightward = np.where(places + route + half <= offsets[text + 1], A.mix(~A.span_hashes(running, places, until)), np.uint64(0))
+    return names, inside, places, leftward, rightward
+
+
+def _count_anchors(length: int, route: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, data, offsets in _long_texts(batch.column(0), length):
-            names, inside, hashes = _names(data, offsets, length, route)
-            valid = np.where(inside, names, np.uint64(0))
-            # the places that name some window: their hash is the largest name among the windows over them
-            over = np.zeros(len(valid) + 2 * (width - 1), np.uint64)
-            over[width - 1:len(valid) + width - 1] = valid
-            named = _sliding(over, width, False)
-            values, counts = np.unique(hashes[:len(named)][hashes[:len(named)] == named[:len(hashes)]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["name", "n"])
+            _, _, _, leftward, rightward = _anchors(data, offsets, length, route)
+            both = np.concatenate([leftward, rightward])
+            values, counts = np.unique(both[both != 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["anchor", "n"])
 
 
 def _text_key(text: bytes) -> bytes:
     return hashlib.blake2b(text, digest_size=16).digest()
 
 
-def _cut_segments(length: int, route: int, packed: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(length: int, route: int, bitmap: np.ndarray, column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """``(bytes, offsets, name per window, first window, last window, text)`` of the segments worth comparing."""
+    width = length - route + 1
+    for _, data, offsets in _long_texts(column, length):
+        names, inside, places, leftward, rightward = _anchors(data, offsets, length, route)
+        met = np.zeros(len(data) + 1, np.int64)
+        known = [(h != 0) & bitmap[(h >> np.uint64(64 - ROUTE_BITS)).astype(np.int64)] for h in (leftward, rightward)]
+        met[places[known[0] | known[1]] + 1] = 1
+        met = np.cumsum(met)
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | (names[1:] != names[:-1])
+        ends = inside.copy()
+        ends[:-1] &= ~inside[1:] | (names[1:] != names[:-1])
+        starts, lasts = np.flatnonzero(begins), np.flatnonzero(ends)
+        worth = met[np.minimum(lasts + width, len(data))] > met[starts]
+        starts, lasts = starts[worth], lasts[worth]
+        yield data, offsets, names, starts, lasts, np.searchsorted(offsets, starts, "right") - 1
+
+
+def _segment_key(piece: bytes) -> bytes:
+    return hashlib.blake2b(piece, digest_size=16).digest()
+
+
+def _place_segments(length: int, route: int, packed: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where the segments stand; their bytes stay where they are."""
     bitmap = np.unpackbits(packed).view(bool)
+    for batch in batches:
+        for data, offsets, names, starts, lasts, texts in _segments(length, route, bitmap, batch.column(0)):
+            keys = {t: _text_key(data[offsets[t]:offsets[t + 1]].tobytes()) for t in np.unique(texts).tolist()}
+            pieces = [_segment_key(data[a:b + length].tobytes()) for a, b in zip(starts.tolist(), lasts.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([keys[t] for t in texts.tolist()], pa.binary()), pa.array((starts - offsets[texts]).astype(np.int32)),
+                 pa.array((lasts - starts + 1).astype(np.int32)), pa.array(names[starts].view(np.int64)), pa.array(pieces, pa.binary())],
+                ["text_key", "start", "windows", "name", "segment"])
+
+
+def _cut_segments(length: int, route: int, packed: np.ndarray, wanted: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the wanted segments, once per task as far as it remembers."""
+    bitmap, asked = np.unpackbits(packed).view(bool), np.unpackbits(wanted).view(bool)
     sent: set[bytes] = set()
     for batch in batches:
-        for _, data, offsets in _long_texts(batch.column(0), length):
-            names, inside, _ = _names(data, offsets, length, route)
-            wanted = inside & bitmap[(names >> np.uint64(64 - ROUTE_BITS)).astype(np.int64)]
-            begins = wanted.copy()
-            begins[1:] &= ~wanted[:-1] | (names[1:] != names[:-1])
-            starts = np.flatnonzero(begins)
-            ends = wanted.copy()
-            ends[:-1] &= ~wanted[1:] | (names[1:] != names[:-1])
-            lasts = np.flatnonzero(ends)
-            texts = np.searchsorted(offsets, starts, "right") - 1
-            keys: dict[int, bytes] = {}
-            columns: list[list] = [[], [], []]
-            for a, b, t in zip(starts.tolist(), lasts.tolist(), texts.tolist()):
-                if t not in keys:
-                    keys[t] = _text_key(data[offsets[t]:offsets[t + 1]].tobytes())
+        for data, _, names, starts, lasts, _ in _segments(length, route, bitmap, batch.column(0)):
+            out: list[list] = [[], [], []]
+            for a, b in zip(starts.tolist(), lasts.tolist()):
                 piece = data[a:b + length].tobytes()
-                key = hashlib.blake2b(piece, digest_size=16).digest()
-                columns[0].append(keys[t])
-                columns[1].append(key)
-                columns[2].append(None if key in sent else piece)
-                if len(sent) >= RECENT:
-                    sent.clear()
-                sent.add(key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.binary()), pa.array((starts - offsets[texts]).astype(np.int32)), pa.array((lasts - starts + 1).astype(np.int32)),
-                 pa.array(names[starts].view(np.int64)), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())],
-                ["text_key", "start", "windows", "name", "segment", "bytes"])
+                key = _segment_key(piece)
+                if key not in sent and asked[_key_slots([key], ROUTE_BITS)[0]]:
+                    if len(sent) >= RECENT:
+                        sent.clear()
+                    sent.add(key)
+                    for column, value in zip(out, (int(names[a].astype(np.int64)), key, piece)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())],
+                                             ["name", "segment", "bytes"])
 
 
 # --- suffix arrays ---------------------------------------------------------------------------
@@ -238,30 +281,30 @@ def _meeting(keys: list[bytes], begins: np.ndarray, order: np.ndarray, fresh: np
 
 
 def _solve(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards from rows sorted by name, part and segment; several tasks may have sent one segment."""
     held: list[tuple] = []
     size = 0
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         keys = [r[2] for r in rows]
         repeat, order, fresh, begins, data = repeated_windows([r[3] for r in rows], length)
-        spans = []
-        for (_, _, _, piece, copies), at in zip(rows, begins.tolist()):
-            windows = len(piece) - length + 1
-            spans.append([{"a": 0, "b": windows - 1}] if copies > 1 else _runs(repeat[at:at + windows]))
+        spans = [_runs(repeat[at:at + len(r[3]) - length + 1]) for r, at in zip(rows, begins.tolist())]
         meeting: list = [None] * len(rows)
         if rows[0][1]:
             meeting[0] = _meeting(keys, begins, order, fresh, repeat, data, length)
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(spans, _SPANS), pa.array(meeting, _MEETING)], ["segment", "spans", "meeting"])
 
     for batch in batches:
-        fields = (batch.column(c).to_pylist() for c in ("name", "salt", "is_split", "segment", "bytes", "copies"))
-        for name, salt, is_split, segment, piece, copies in zip(*fields):
-            # a split name's shard stands alone; other names share shards, each whole
+        fields = (batch.column(c).to_pylist() for c in ("name", "salt", "is_split", "segment", "bytes"))
+        for name, salt, is_split, segment, piece in zip(*fields):
             group = (name, salt)
-            if held and ((group != held[-1][0] and (size >= SHARD_BYTES or is_split or held[-1][1]))):
+            if held and group == held[-1][0] and segment == held[-1][2]:
+                continue
+            # a split name's shard stands alone; other names share shards, each whole
+            if held and group != held[-1][0] and (size >= SHARD_BYTES or is_split or held[-1][1]):
                 yield solve(held)
                 held, size = [], 0
-            held.append((group, is_split, segment, piece, copies))
+            held.append((group, is_split, segment, piece))
             size += len(piece)
     if held:
         yield solve(held)
@@ -341,32 +384,39 @@ def _cut(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                                           pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _head(key: str) -> Column:
+    """The first eight bytes of a key as a number."""
+    return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("bigint")
+
+
 def repeated_segments(documents: DataFrame, length: int = LENGTH, route: int = ROUTE, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
     """``(places, repeats)``: where segments stand in texts, and the repeated windows of each segment."""
     texts = documents.select("text")
-    names = texts.mapInArrow(lambda b: _count_names(length, route, b), "name long, n long")
-    again = names.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("name").alias("hash"))
+    anchors = texts.mapInArrow(lambda b: _count_anchors(length, route, b), "anchor long, n long")
+    again = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("anchor").alias("hash"))
     packed = _bitmap(again, ROUTE_BITS)
-    cut = cut_lineage(texts.mapInArrow(lambda b: _cut_segments(length, route, packed, b),
-                                       "text_key binary, start int, windows int, name long, segment binary, bytes binary"))
-    distinct = cut_lineage(cut.groupBy("name", "segment").agg(
-        F.count(F.lit(1)).alias("copies"), F.max("windows").alias("windows"), F.first("bytes", ignorenulls=True).alias("bytes")))
-    per_name = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("n_segments"))
-    counted = distinct.join(per_name, "name")
-    # one segment under its name that stands in several places: every window repeats
-    alone = (F.col("n_segments") == 1) & (F.col("copies") > 1)
-    whole = counted.where(alone).select("segment", F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).alias("b"))).alias("spans"))
-    shards = F.ceil(F.col("n_segments") / split)
-    dealt = (counted.where(~alone)
-             .select("name", F.pmod(F.xxhash64("segment"), shards).alias("salt"), (F.col("n_segments") > split).alias("is_split"),
-                     "segment", "bytes", "copies")
-             .repartition("name", "salt").sortWithinPartitions("name", "salt"))
+    places = cut_lineage(texts.mapInArrow(lambda b: _place_segments(length, route, packed, b),
+                                          "text_key binary, start int, windows int, name long, segment binary"))
+    segments = places.groupBy("name", "segment").agg(F.count(F.lit(1)).alias("copies"), F.max("windows").alias("windows"))
+    per_name = segments.groupBy("name").agg(F.count(F.lit(1)).alias("n_segments"))
+    counted = cut_lineage(segments.join(per_name, "name"))
+    # every window of a segment that stands in several places repeats
+    whole = counted.where("copies > 1").select("segment", F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).alias("b"))).alias("spans"))
+    # one segment under its name, in several places, has nothing else to be compared with
+    compared = counted.where("n_segments > 1 OR copies = 1")
+    wanted = _bitmap(compared.select(_head("segment").alias("hash")), ROUTE_BITS)
+    large = counted.where(F.col("n_segments") > split).select("name", "n_segments").distinct()
+    shards = F.ceil(F.coalesce("n_segments", F.lit(1)) / split)
+    dealt = (texts.mapInArrow(lambda b: _cut_segments(length, route, packed, wanted, b), "name long, segment binary, bytes binary")
+             .join(large, "name", "left")
+             .select("name", F.pmod(F.xxhash64("segment"), shards).alias("salt"), F.col("n_segments").isNotNull().alias("is_split"), "segment", "bytes")
+             .repartition("name", "salt").sortWithinPartitions("name", "salt", "segment"))
     solved = cut_lineage(dealt.mapInArrow(lambda b: _solve(length, b), SHARD_SCHEMA))
     met = (solved.where("meeting is not null").select(F.inline("meeting"))
            .repartitionByRange("hi", "lo").sortWithinPartitions("hi", "lo").mapInArrow(_meet, "segment binary, at int"))
     crossing = met.select("segment", F.array(F.struct(F.col("at").alias("a"), F.col("at").alias("b"))).alias("spans"))
     repeats = solved.select("segment", "spans").where(F.size("spans") > 0).unionByName(whole).unionByName(crossing)
-    return cut.select("text_key", "start", "segment"), repeats
+    return places.select("text_key", "start", "segment"), repeats
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, route: int = ROUTE, split: int = SPLIT) -> DataFrame:
@@ -374,8 +424,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, route: int = ROUT
     places, repeats = repeated_segments(documents, length, route, split)
     found = cut_lineage(places.distinct().join(repeats, "segment").groupBy("text_key")
                         .agg(F.collect_list(F.struct("start", "spans")).alias("found")))
-    head = F.conv(F.hex(F.substring("text_key", 1, 8)), 16, -10).cast("bigint")
-    packed = _bitmap(found.select(head.alias("hash")), TEXT_BITS)
+    packed = _bitmap(found.select(_head("text_key").alias("hash")), TEXT_BITS)
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", "text").mapInArrow(
         lambda b: _with_keys(packed, b), f"doc_id {kind}, n_bytes long, text_key binary, bytes binary, whole_sha256 string")
