@@ -160,8 +160,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("bigint").alias(f"n_{k}") for k in pii.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.span_texts(base), 256).alias("base_sha256"), pii.span_texts(F.col("spans")).alias("spans"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == F.lit(kind)))).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.BASE_KINDS], F.sha2(pii.span_texts(base), 256).alias("base_sha256"), pii.span_texts(F.col("spans")).alias("spans"))
 
 
 @query()

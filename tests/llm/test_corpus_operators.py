@@ -110,6 +110,20 @@ def test_personal_data_of_documents_and_masks(spark):
         assert masked[k].text == want + text[end:] and masked[k].n_chars == len(masked[k].text)
 
 
+def test_personal_data_query(spark):
+    from evalspark.llm.queries import QUERIES
+
+    texts = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
+    rows = QUERIES["op4_personal_data"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        spans = brute.personal(texts[r.doc_id])
+        kinds = list(brute.PATTERNS)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[1] == i for s in spans) for i in range(4))
+        names = [f"{kinds[k]}:{a}:{b}" for a, k, b in spans]
+        assert r.base_sha256 == brute.sha(",".join(names)) and set(names) <= set(r.spans.split(","))  | ({""} if not names else set())
+
+
 def test_label_model_finds_the_reliable_labeler():
     counts = [("ip", (1, 1, 1, 1), 300), ("ip", (1, -1, 0, 1), 40), ("ip", (-1, -1, -1, 1), 200), ("ip", (-1, 1, -1, 1), 90)]
     posterior, likelihood = pii.label_model(counts)
