@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 #: Fixed value: the split pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts a worker remembers; this bounds its memory, not the input.
-RECENT_PIECES = 500_000
-RECENT_CHUNKS = 500_000
+RECENT_PIECES = 250_000
+RECENT_CHUNKS = 200_000
 #: A longer text is encoded but not remembered.
 RECENT_CHARS = 64
 #: Bits of a token id inside a pair's key.

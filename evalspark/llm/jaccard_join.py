@@ -4,7 +4,7 @@ Two documents link when ``percent`` of their shingles' union is shared. The work
 down in steps that never lose a link:
 
 1. equal shingle sets collapse into one class (copies, however many, are one row);
-2. order one, ascending hash: of a set's first ``d + m`` shingles (d may differ, m = 2d + 1)
+2. order one, ascending hash: of a set's first ``d + m`` shingles (d may differ, m = depth * d + 1)
    at least ``m`` of the partner's size must also stand in another class's first ones.
    Sets below that leave;
 3. order two, rarity among the sets that are left: partners share a shingle of their
@@ -71,11 +71,11 @@ def _describe(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
                 ["doc_id", "n", "set_key"])
 
 
-def _first_tokens(size: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_tokens(size: int, percent: int, depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The ``d + m`` smallest hashes of every set, with the set's short key."""
     for batch in batches:
         for _, sets in _shingle_sets(batch.column(0), size):
-            heads = [s[:3 * _slack(len(s), percent) + 1] for s in sets if len(s)]
+            heads = [s[:(depth + 1) * _slack(len(s), percent) + 1] for s in sets if len(s)]
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8] for s in sets if len(s)]
             tokens = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
             owners = np.repeat(np.frombuffer(b"".join(keys), ">i8").astype(np.int64), [len(h) for h in heads])
@@ -125,15 +125,15 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return lengths & (F.least(n_a - F.col(f"{a}.at"), n_b - F.col(f"{b}.at")) >= _needed(n_a, n_b, percent))
 
 
-def near_sets(documents: DataFrame, described: DataFrame, size: int, percent: int) -> DataFrame:
+def near_sets(documents: DataFrame, described: DataFrame, size: int, percent: int, depth: int) -> DataFrame:
     """Sets that can have a partner: ``(id, set_key, n, tokens)``, one row per class."""
     classes = (described.where("n > 0").groupBy("set_key")
                .agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
     classes = cut_lineage(classes.withColumn("owner", F.conv(F.hex(F.substring("set_key", 1, 8)), 16, -10).cast("bigint")))
-    heads = documents.select("text").mapInArrow(lambda b: _first_tokens(size, percent, b), "token long, owner long")
+    heads = documents.select("text").mapInArrow(lambda b: _first_tokens(size, percent, depth, b), "token long, owner long")
     shared = heads.groupBy("token").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo != hi").select("token")
     smallest = F.ceil(F.col("n") * percent / 100)
-    least = 2 * _slack_column(smallest, percent) + 1
+    least = depth * _slack_column(smallest, percent) + 1
     met = heads.join(shared, "token").groupBy("owner").agg(F.count(F.lit(1)).alias("met"))
     # copies emit the same rows; two classes under one short key both stay
     owners = classes.groupBy("owner").agg(F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("n_classes"))
@@ -162,9 +162,9 @@ def postings(sets: DataFrame, percent: int) -> DataFrame:
             .select(F.col("entry.token").alias("token"), "id", "n", (F.col("alone") + F.col("place")).alias("at")))
 
 
-def set_components(documents: DataFrame, described: DataFrame, size: int, percent: int) -> DataFrame:
+def set_components(documents: DataFrame, described: DataFrame, size: int, percent: int, depth: int) -> DataFrame:
     """``(set_key, component)`` of the classes that link with another class; a component is a number."""
-    sets = near_sets(documents, described, size, percent)
+    sets = near_sets(documents, described, size, percent, depth)
     lists = cut_lineage(postings(sets, percent))
     pivots = lists.groupBy("token").agg(F.min(F.struct("at", "id", "n")).alias("p")).select("token", "p.*")
     star = (lists.alias("x").join(pivots.alias("y"), "token").where((F.col("x.id") != F.col("y.id")) & _possible("x", "y", percent))
@@ -187,12 +187,16 @@ def set_components(documents: DataFrame, described: DataFrame, size: int, percen
     return sets.select("id", "set_key").join(final, "id").select("set_key", "component")
 
 
-def similar_groups(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: its number of distinct shingles and the smallest id it is linked with, over any path."""
+def similar_groups(documents: DataFrame, size: int = 5, percent: int = 80, depth: int = 1) -> DataFrame:
+    """Per document: its number of distinct shingles and the smallest id it is linked with, over any path.
+
+    ``depth`` only moves work: a larger one ships more shingles in the first filter and lets
+    fewer sets pass it, which pays for short shingles that many texts share.
+    """
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select("doc_id", "text")
     described = cut_lineage(docs.mapInArrow(lambda b: _describe(size, b), f"doc_id {kind}, n long, set_key binary"))
-    linked = set_components(docs, described, size, percent)
+    linked = set_components(docs, described, size, percent, depth)
     classes = described.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("first_id")).join(linked, "set_key", "left")
     groups = classes.where("component is not null").groupBy("component").agg(F.min("first_id").alias("group_id"))
     named = classes.join(groups, "component", "left").select("set_key", F.coalesce("group_id", "first_id").alias("group_id"))

@@ -150,7 +150,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents that share 90 percent of their three-word shingles."""
     from evalspark.llm import jaccard_join
 
-    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"), size=3, percent=90, depth=2)
 
 
 @query()
