@@ -1,7 +1,7 @@
 """Numpy helpers for text in Arrow batches: word bounds, word hashes, n-gram hashes.
 
 Texts stay one byte buffer with offsets, as Arrow holds them, and every step is a vector
-operation over the buffer. Batches are cut into pieces of a few megabytes, so that a
+operation over the buffer. Batches are cut into pieces of a megabyte, so that a
 worker's memory follows the piece (or the longest single text), not the batch.
 """
 
@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once.
-PIECE = 2 << 20
+#: Bytes of text handled at once; up to ten arrays of eight bytes a byte live with them.
+PIECE = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -51,7 +51,7 @@ TEXT_BITS = 24
 SHARD_BYTES = 2 << 20
 SPLIT = 2000
 #: Segments whose bytes a worker knows it has already sent; bounds memory only.
-RECENT = 300_000
+RECENT = 200_000
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -84,6 +84,11 @@ def _names(data: np.ndarray, offsets: np.ndarray, length: int, route: int) -> tu
     return names, left[:n - length + 1] >= length, hashes
 
 
+def _has(packed: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Bits of a packed bitmap, which stays packed."""
+    return (packed[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 > 0
+
+
 def _long_texts(column: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for first, data, offsets in A.pieces(column):
         if (np.diff(offsets) >= length).any():
@@ -126,13 +131,13 @@ def _text_key(text: bytes) -> bytes:
     return hashlib.blake2b(text, digest_size=16).digest()
 
 
-def _segments(length: int, route: int, bitmap: np.ndarray, column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+def _segments(length: int, route: int, packed: np.ndarray, column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
     """``(bytes, offsets, name per window, first window, last window, text)`` of the segments worth comparing."""
     width = length - route + 1
     for _, data, offsets in _long_texts(column, length):
         names, inside, places, leftward, rightward = _anchors(data, offsets, length, route)
         met = np.zeros(len(data) + 1, np.int64)
-        known = [(h != 0) & bitmap[(h >> np.uint64(64 - ROUTE_BITS)).astype(np.int64)] for h in (leftward, rightward)]
+        known = [(h != 0) & _has(packed, (h >> np.uint64(64 - ROUTE_BITS)).astype(np.int64)) for h in (leftward, rightward)]
         met[places[known[0] | known[1]] + 1] = 1
         met = np.cumsum(met)
         begins = inside.copy()
@@ -151,9 +156,8 @@ def _segment_key(piece: bytes) -> bytes:
 
 def _place_segments(length: int, route: int, packed: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Where the segments stand; their bytes stay where they are."""
-    bitmap = np.unpackbits(packed).view(bool)
     for batch in batches:
-        for data, offsets, names, starts, lasts, texts in _segments(length, route, bitmap, batch.column(0)):
+        for data, offsets, names, starts, lasts, texts in _segments(length, route, packed, batch.column(0)):
             keys = {t: _text_key(data[offsets[t]:offsets[t + 1]].tobytes()) for t in np.unique(texts).tolist()}
             pieces = [_segment_key(data[a:b + length].tobytes()) for a, b in zip(starts.tolist(), lasts.tolist())]
             yield pa.RecordBatch.from_arrays(
@@ -164,15 +168,14 @@ def _place_segments(length: int, route: int, packed: np.ndarray, batches: Iterat
 
 def _cut_segments(length: int, route: int, packed: np.ndarray, wanted: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted segments, once per task as far as it remembers."""
-    bitmap, asked = np.unpackbits(packed).view(bool), np.unpackbits(wanted).view(bool)
     sent: set[bytes] = set()
     for batch in batches:
-        for data, _, names, starts, lasts, _ in _segments(length, route, bitmap, batch.column(0)):
+        for data, _, names, starts, lasts, _ in _segments(length, route, packed, batch.column(0)):
             out: list[list] = [[], [], []]
             for a, b in zip(starts.tolist(), lasts.tolist()):
                 piece = data[a:b + length].tobytes()
                 key = _segment_key(piece)
-                if key not in sent and asked[_key_slots([key], ROUTE_BITS)[0]]:
+                if key not in sent and _has(wanted, _key_slots([key], ROUTE_BITS))[0]:
                     if len(sent) >= RECENT:
                         sent.clear()
                     sent.add(key)
@@ -351,11 +354,10 @@ def _key_slots(keys: list[bytes], bits: int) -> np.ndarray:
 
 def _with_keys(packed: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every row with its text's key; the text itself only where something may be cut from it."""
-    bitmap = np.unpackbits(packed).view(bool)
     for batch in batches:
         texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
         keys = [_text_key(t) for t in texts]
-        hit = bitmap[_key_slots(keys, TEXT_BITS)] if keys else []
+        hit = _has(packed, _key_slots(keys, TEXT_BITS)) if keys else []
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(keys, pa.binary()),
              pa.array([t if h else None for t, h in zip(texts, hit)], pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])],
