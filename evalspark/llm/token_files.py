@@ -3,9 +3,10 @@
 Documents are dealt in ranges of their key and sorted, so that (part, seq) is the global
 order. A worker encodes its documents and closes a shard after ``SHARD_TOKENS`` ids. A
 shard is a grammar: pairs that occur often are replaced by nonterminals, again and again,
-with thresholds that fall by a fixed factor; rules only name earlier symbols. The file
-stores rules, expansion lengths (through which any place is found without decoding what is
-before it), the symbol string and the documents' lengths.
+with thresholds that fall by a fixed factor, at each of them until no pair reaches it;
+rules only name earlier symbols. The file stores rules, expansion lengths (through which any
+place is found without decoding what is before it), the symbol string and the documents'
+lengths.
 
 Files are rows of a Parquet table (one shard per row, ``payload`` in the layout below), so
 Spark's own committer handles lost executors and any store that Spark reaches can hold
@@ -146,15 +147,25 @@ def take_runs(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
 # --- grammar -----------------------------------------------------------------------------
 
 
-def _frequent_pairs(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs found at least ``least`` times, sorted; the places where they stand, and which stands there."""
-    keys = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
+def _frequent_pairs(symbols: np.ndarray, spots: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs found at least ``least`` times at ``spots``, sorted; the places where they stand, and which stands there."""
+    keys = symbols[spots].astype(np.uint64) << np.uint64(32) | symbols[spots + 1]
     buckets = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int32)
-    places = np.flatnonzero(np.bincount(buckets, minlength=_BUCKETS)[buckets] >= least)
-    values, which, counts = np.unique(keys[places], return_inverse=True, return_counts=True)
-    frequent = counts >= least
+    near = np.flatnonzero(np.bincount(buckets, minlength=_BUCKETS)[buckets] >= least)
+    if len(near) < least:
+        return keys[:0], near[:0], near[:0]
+    keys = keys[near]
+    by = np.argsort(keys)
+    ordered = keys[by]
+    fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    starts = np.flatnonzero(fresh)
+    frequent = np.diff(starts, append=len(keys)) >= least
+    which = np.cumsum(fresh) - 1
     standing = frequent[which]
-    return values[frequent], places[standing], (np.cumsum(frequent) - 1)[which[standing]]
+    number = np.full(len(keys), -1, np.int64)
+    number[by[standing]] = (np.cumsum(frequent) - 1)[which[standing]]
+    places = np.flatnonzero(number >= 0)
+    return ordered[starts[frequent]], spots[near[places]], number[places]
 
 
 def compress(ids: np.ndarray, vocabulary: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,19 +173,30 @@ def compress(ids: np.ndarray, vocabulary: int, min_count: int = MIN_COUNT) -> tu
     symbols = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     made, least = 0, max(min_count, len(ids) // 64)
-    while len(symbols) > 1:
-        chosen, places, which = _frequent_pairs(symbols, least)
-        if len(chosen):
+    while True:
+        spots = np.arange(max(len(symbols) - 1, 0))
+        while len(spots):
+            chosen, places, which = _frequent_pairs(symbols, spots, least)
+            if not len(chosen):
+                break
             # in a run of overlapping pairs every second one is taken
             order = np.arange(len(places))
             new_run = np.ones(len(places), bool)
             new_run[1:] = np.diff(places) > 1
             taken = (order - np.maximum.accumulate(np.where(new_run, order, 0))) % 2 == 0
-            places = places[taken]
-            symbols[places] = vocabulary + made + which[taken]
+            # half of all places are taken, so some pair keeps half of its own; pairs that keep fewer wait
+            used = 2 * np.bincount(which[taken], minlength=len(chosen)) >= least
+            taken &= used[which]
+            at, chosen = places[taken], chosen[used]
+            symbols[at] = vocabulary + made + (np.cumsum(used) - 1)[which[taken]]
             keep = np.ones(len(symbols), bool)
-            keep[places + 1] = False
+            keep[at + 1] = False
+            # other pairs only get rarer: what can still be frequent holds a new symbol or was not taken
+            again = np.zeros(len(symbols), bool)
+            again[places] = True
+            again[np.maximum(at - 1, 0)] = True
             symbols = symbols[keep]
+            spots = np.flatnonzero(again[keep][:-1])
             rules.append(np.stack([(chosen >> np.uint64(32)), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
             made += len(chosen)
         if least == min_count:
@@ -189,18 +211,24 @@ def compress(ids: np.ndarray, vocabulary: int, min_count: int = MIN_COUNT) -> tu
     return symbols, table, lengths[vocabulary:]
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, vocabulary: int) -> np.ndarray:
-    """The ids of a symbol string; every pass opens one level of rules."""
-    while True:
+def expand(symbols: np.ndarray, rules: np.ndarray, rule_lengths: np.ndarray, vocabulary: int) -> np.ndarray:
+    """The ids of a symbol string; every pass opens one level of rules, and only what is not yet an id."""
+    lengths = np.ones(len(symbols), np.int64)
+    inner = symbols >= vocabulary
+    lengths[inner] = rule_lengths[symbols[inner] - vocabulary]
+    ends = np.cumsum(lengths)
+    places = ends - lengths
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+    while len(symbols):
         inner = symbols >= vocabulary
-        if not inner.any():
-            return symbols
-        places = np.cumsum(1 + inner) - (1 + inner)
-        out = np.empty(len(symbols) + int(inner.sum()), np.uint32)
         out[places[~inner]] = symbols[~inner]
-        pairs = rules[symbols[inner] - vocabulary]
-        out[places[inner]], out[places[inner] + 1] = pairs[:, 0], pairs[:, 1]
-        symbols = out
+        places, pairs = places[inner], rules[symbols[inner] - vocabulary]
+        first = pairs[:, 0]
+        nested = first >= vocabulary
+        sizes = np.ones(len(first), np.int64)
+        sizes[nested] = rule_lengths[first[nested] - vocabulary]
+        symbols, places = pairs.ravel(), np.stack([places, places + sizes], 1).ravel()
+    return out
 
 
 def pack(ids: np.ndarray, document_lengths: np.ndarray, vocabulary: int, min_count: int = MIN_COUNT) -> bytes:
@@ -230,7 +258,7 @@ class Shard:
         self._symbol_ends: np.ndarray | None = None
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.vocabulary)
+        return expand(self.symbols, self.rules, self.rule_lengths, self.vocabulary)
 
     def read(self, start: int, size: int) -> np.ndarray:
         """Ids ``start`` to ``start + size``, opening only the symbols that cover them."""
@@ -242,7 +270,7 @@ class Shard:
         first = int(np.searchsorted(self._symbol_ends, start, "right"))
         last = int(np.searchsorted(self._symbol_ends, start + size, "left")) + 1
         before = int(self._symbol_ends[first - 1]) if first else 0
-        return expand(self.symbols[first:last], self.rules, self.vocabulary)[start - before:start - before + size]
+        return expand(self.symbols[first:last], self.rules, self.rule_lengths, self.vocabulary)[start - before:start - before + size]
 
     def document(self, k: int) -> np.ndarray:
         return self.read(int(self.ends[k] - self.document_lengths[k]), int(self.document_lengths[k]))

@@ -82,6 +82,22 @@ def test_grammar_round_trip_and_random_access(ids):
         assert len(shard.symbols) <= len(ids) / 3
 
 
+@pytest.mark.parametrize("kind,size", [("one", 500_000), ("copies", 100_000), ("skewed", 60_000), ("skewed", 5000), ("skewed", 1200)])
+def test_no_pair_of_the_packed_symbols_is_frequent(kind, size):
+    rng = np.random.default_rng(4)
+    ids = {"one": lambda: np.full(size, 7), "copies": lambda: np.tile(rng.integers(0, 300, 100), size // 100),
+           "skewed": lambda: rng.geometric(0.05, size)}[kind]().astype(np.uint32)
+    shard = token_files.Shard(token_files.pack(ids, np.array([size]), 400))
+    assert shard.ids().tolist() == ids.tolist() and shard.read(size // 3, 50).tolist() == ids[size // 3:size // 3 + 50].tolist()
+    seen, last = {}, {}
+    for i, pair in enumerate(zip(shard.symbols.tolist(), shard.symbols[1:].tolist())):
+        if last.get(pair, -2) < i - 1:
+            seen[pair], last[pair] = seen.get(pair, 0) + 1, i
+    assert max(seen.values(), default=0) < token_files.MIN_COUNT
+    if kind != "skewed":
+        assert len(shard.symbols) < size / 16
+
+
 def test_token_files(spark, odd_docs, no_docs, tmp_path):
     token_files.write_token_files(odd_docs, WORD_BPE, f"{tmp_path}/a", shard_tokens=500)
     got = [tuple(r) for r in token_files.read_documents(spark, f"{tmp_path}/a").orderBy("start").collect()]
