@@ -14,7 +14,7 @@ start, so scanning is linear. Only counts of vote patterns and of feature combin
 (``shapes x 3^4`` rows) reach the driver. No rows meet, so no key can be hot.
 
 Cases: a null or empty text has no spans; equal documents get equal rows; overlapping spans
-of different kinds are all reported; an empty table gives no rows and an untrained model
+of different kinds are all reported, and masked as one; an empty table gives no rows and an untrained model
 that adds nothing; other columns are ignored.
 """
 
@@ -280,11 +280,22 @@ def span_texts(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; of overlapping spans the first stays."""
-    apart = F.aggregate(spans, F.array().cast("array<struct<at:int,until:int,kind:string>>"), lambda done, s: F.when(
-        F.coalesce(F.try_element_at(F.transform(done, lambda d: d["until"]), F.lit(-1)), F.lit(0)) <= s["at"],
-        F.array_append(done, F.struct(s["at"].alias("at"), s["until"].alias("until"), s["kind"].alias("kind")))).otherwise(done))
-    pieces = bind(F.struct(text.alias("t"), apart.alias("s")), lambda b: F.concat(
+    """The text with every span replaced by its kind in brackets; overlapping spans go as one, under the longest one's kind."""
+    def apart(state: Column) -> Column:
+        return F.when(state["at"] < 0, state["done"]).otherwise(F.array_append(state["done"], F.struct(state["at"].alias("at"), state["until"].alias("until"), state["kind"].alias("kind"))))
+
+    def step(state: Column, s: Column) -> Column:
+        size, beside, longer = s["until"] - s["at"], s["at"] >= state["until"], s["until"] - s["at"] > state["size"]
+        return F.struct(
+            F.when(beside, apart(state)).otherwise(state["done"]).alias("done"),
+            F.when(beside, s["at"]).otherwise(state["at"]).alias("at"),
+            F.greatest(s["until"], state["until"]).alias("until"),
+            F.when(beside | longer, s["kind"]).otherwise(state["kind"]).alias("kind"),
+            F.when(beside | longer, size).otherwise(state["size"]).alias("size"))
+
+    start = F.struct(F.array().cast("array<struct<at:int,until:int,kind:string>>").alias("done"), F.lit(-1).alias("at"), F.lit(0).alias("until"),
+                     F.lit("").alias("kind"), F.lit(0).alias("size"))
+    pieces = bind(F.struct(text.alias("t"), F.aggregate(spans, start, step, apart).alias("s")), lambda b: F.concat(
         F.array_join(F.transform(b["s"], lambda s, i: F.concat(
             F.substring(b["t"], F.when(i == 0, 1).otherwise(F.get(b["s"], i - 1)["until"] + 1),
                         s["at"] - F.when(i == 0, 0).otherwise(F.get(b["s"], i - 1)["until"])),

@@ -110,6 +110,19 @@ def test_personal_data_of_documents_and_masks(spark):
         assert masked[k].text == want + text[end:] and masked[k].n_chars == len(masked[k].text)
 
 
+OVERLAPS = [("+1 555 123 4567john@x.com", [(0, 15, "phone"), (11, 25, "email")], "[PHONE]"),
+            ("Hi Dr. Jane.Doe@x.com!", [(3, 11, "name"), (7, 21, "email")], "Hi [EMAIL]!"),
+            ("1.2.3.41111111111111111 x a@b.c", [(0, 7, "ip"), (6, 23, "card"), (26, 31, "email")], "[CARD] x [EMAIL]"),
+            ("ab", [(0, 1, "ip"), (1, 2, "ssn")], "[IP][SSN]"), ("abcdef", [(0, 2, "ip"), (1, 5, "card"), (4, 6, "ssn")], "[CARD]"), ("abc", [], "abc")]
+
+
+def test_overlapping_spans_are_masked_whole(spark):
+    df = spark.createDataFrame([(t, s) for t, s, _ in OVERLAPS], "text string, spans array<struct<at:int,until:int,kind:string>>")
+    assert [r[0] for r in df.select(pii.masked(F.col("text"), F.col("spans"))).collect()] == [w for _, _, w in OVERLAPS]
+    docs = spark.createDataFrame([(1, OVERLAPS[0][0])], "doc_id long, text string")
+    assert pii.mask_personal_data(docs).collect()[0].text == "[PHONE]"
+
+
 def test_personal_data_query(spark):
     from evalspark.llm.queries import QUERIES
 
