@@ -4,7 +4,8 @@ A page becomes a tree of elements (unclosed paragraphs and list items end where
 one starts). Every paragraph gives points for its length and its commas to its parent,
 half of them to the grandparent, a third beyond; link text counts against the points.
 Menus, page headers, footers, asides, forms, notices, adverts, comments, scripts and
-styles are cut out before. The best container is kept, with siblings whose own points come
+styles are cut out before. An element named so by its class or id alone stays if it frames the page's text, and names
+count for nothing on a page that they would empty. The best container is kept, with siblings whose own points come
 near it, and its blocks are joined in page order.
 
 Cases: a null or empty page, and one without any paragraph, gives an empty text. Broken
@@ -43,6 +44,9 @@ CUT_NAMES = frozenset("ad ads adv advert adverts advertisement sponsor sponsored
                       "masthead comment comments disqus respond cookie cookies consent gdpr notice banner popup modal overlay newsletter subscribe "
                       "signup login share sharing social related recommended breadcrumb breadcrumbs pagination pager toolbar widget skip".split())
 
+#: Names of what readers wrote; it may hold more text than the page's own.
+REPLY_NAMES = frozenset("comment comments disqus respond".split())
+
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role|style|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -52,41 +56,47 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "cut", "children", "points", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "cut", "named", "children", "points", "held", "chars", "link_chars")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool) -> None:
         self.tag, self.parent, self.cut = tag, parent, cut
+        self.named = False
         self.children: list[Node | str] = []
-        self.points = 0.0
+        self.points = self.held = 0.0
         self.chars = self.link_chars = 0
 
 
-def _is_cut(tag: str, attributes: str, parent: Node) -> bool:
+def _is_cut(tag: str, attributes: str, parent: Node, names: bool) -> tuple[bool, bool]:
+    """Whether an element is cut with all below it, and whether its names say that it may be."""
     if parent.cut or tag in CUT:
-        return True
+        return True, False
     node: Node | None = parent
     if tag == "header":  # a page's header, not an article's
         while node is not None and node.tag not in ("article", "main"):
             node = node.parent
         if node is None:
-            return True
+            return True, False
+    named = False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values)
         name = name.lower()
         if name == "style":
             if _HIDDEN.search(value):
-                return True
+                return True, False
         elif name == "aria-hidden":
             if value.lower() == "true":
-                return True
+                return True, False
         elif name == "role":
             if value.lower() in CUT_ROLES:
-                return True
-        elif not CUT_NAMES.isdisjoint(_NAME.findall(value.lower())):
-            return True
-    return False
+                return True, False
+        elif names:
+            found = CUT_NAMES.intersection(_NAME.findall(value.lower()))
+            if not REPLY_NAMES.isdisjoint(found):
+                return True, False
+            named = named or bool(found)
+    return False, named
 
 
 def _tag_end(html: str, at: int) -> int:
@@ -109,7 +119,8 @@ def _tag_end(html: str, at: int) -> int:
         at = closing + 1
 
 
-def parse(html: str) -> Node:
+def parse(html: str, names: bool = True) -> Node:
+    """The tree of a page; ``names`` tells whether class and id names count."""
     root = Node("#root", None, False)
     node, at, n = root, 0, len(html)
     opened: Counter[str] = Counter()
@@ -160,7 +171,9 @@ def parse(html: str) -> Node:
                 if last is not None:
                     node = back_to(last.parent)
         attributes = html[found.end():at - 1]
-        made = Node(tag, node, _is_cut(tag, attributes, node))
+        cut, named = _is_cut(tag, attributes, node, names)
+        made = Node(tag, node, cut)
+        made.named = named
         node.children.append(made)
         if tag in RAW:
             if lower is None:
@@ -195,12 +208,14 @@ def _measure(root: Node) -> list[Node]:
         loose = node.tag in CONTAINERS and any(t.strip() for t in texts)
         if (node.tag in PARAGRAPHS or loose) and node.chars:
             points = (1 + count + min(node.chars / 100, 3)) * (1 - node.link_chars / node.chars)
+            node.held += points
             up, share = (node if loose and node.tag not in PARAGRAPHS else node.parent), 1.0
             while up is not None and share > 0.1:
                 up.points += points * share
                 share = {1.0: 0.5, 0.5: 1 / 3}.get(share, share / 2)
                 up = up.parent
         if node.parent is not None:
+            node.parent.held += node.held
             node.parent.chars += node.chars
             node.parent.link_chars += node.link_chars
             if node.tag not in PARAGRAPHS:
@@ -208,6 +223,26 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+def _cut_names(order: list[Node]) -> None:
+    """Cut the named nodes that are no frame of the page's text, and forget what was measured.
+
+    A frame holds more than half of the page's points, or its ``<main>``, or the ``<article>`` with the most
+    points if that is a fifth of all.
+    """
+    total = order[0].held
+    frames = {id(node) for node in order if node.named and node.held > total / 2}
+    top = max((node for node in order if node.tag == "article"), key=lambda node: node.held, default=None)
+    inside = [node for node in order if node.tag == "main" and node.held > 0]
+    for up in inside + ([top] if top is not None and top.held >= total / 5 else []):
+        while up is not None and id(up) not in frames:
+            frames.add(id(up))
+            up = up.parent
+    for node in order:
+        if node.named and id(node) not in frames:
+            node.cut = True
+        node.points, node.held, node.chars, node.link_chars = 0.0, 0.0, 0, 0
+
+
 def _score(node: Node) -> float:
     bonus = 1.5 if node.tag in ("article", "main") else 1.0
     return bonus * node.points * (1 - node.link_chars / node.chars) if node.chars else 0.0
@@ -243,14 +278,24 @@ def _links_only(node: Node) -> bool:
     return node.tag in ("ul", "ol", "div", "section", "table") and node.link_chars > 0.8 * node.chars > 0
 
 
+def _best(root: Node) -> tuple[list[Node], Node | None]:
+    """Nodes in page order and the best container, after cuts by name."""
+    order = _measure(root)
+    if any(node.named for node in order):
+        _cut_names(order)
+        order = _measure(root)
+    best = max((n for n in order if n.tag in CONTAINERS), key=_score, default=None)
+    return order, best if best is not None and _score(best) > 0 else None
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    root = parse(html)
-    order = _measure(root)
-    best = max((n for n in order if n.tag in CONTAINERS), key=_score, default=None)
-    if best is None or _score(best) <= 0:
+    order, best = _best(parse(html))
+    if best is None:  # names may have cut all there is
+        order, best = _best(parse(html, names=False))
+    if best is None:
         return ""
     kept, limit = [best], 0.2 * _score(best)
     if best.parent is not None and best.tag not in ("body", "html"):

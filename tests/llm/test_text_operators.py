@@ -155,6 +155,18 @@ def test_main_text(html, want):
     assert main_text.main_text(html) == want
 
 
+ARTICLE = "<article><p>A long paragraph, with commas, and more words to be found here.</p><p>And a second one, with more.</p></article>"
+SIDE = "<div class='sidebar'><p>Other, things, to read, here.</p></div>"
+
+
+@pytest.mark.parametrize("html", [f"<div {frame}>{ARTICLE}{SIDE}</div>" for frame in (
+    "class='container with-sidebar'", "class='no-sidebar'", "class='elementor-widget-container'", "class='page menu-open'", "id='social-layout'")] + [
+    f"<div class='menu-open'><div id='widget'><div>{ARTICLE.replace('article', 'div')}</div>{SIDE}</div></div><div class='comments'>{'<p>I, too, think so.</p>' * 50}</div>",
+    f"<div class='promo'>{ARTICLE}</div><div class='ad'><p>Buy, buy, buy.</p></div>", f"<div class='comments'>{ARTICLE}</div>"])
+def test_names_do_not_empty_a_page(html):
+    assert main_text.main_text(html) == "A long paragraph, with commas, and more words to be found here.\nAnd a second one, with more."
+
+
 def test_main_text_is_linear_on_broken_pages():
     for html in ("<div>" * 20000 + "hi, there", "<p>a" * 20000, "<a b=\"c" * 20000, "<b>" * 20000 + "<p>hi" * 2000, "</x>" * 20000, "<" * 50000, "<!--" * 20000):
         main_text.main_text(html)
