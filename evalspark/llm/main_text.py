@@ -4,9 +4,11 @@ A page becomes a tree of elements (unclosed paragraphs and list items end where
 one starts). Every paragraph gives points for its length and its commas to its parent,
 half of them to the grandparent, a third beyond; link text counts against the points.
 Menus, page headers, footers, asides, forms, notices, adverts, comments, scripts and
-styles are cut out before. An element named so by its class or id alone stays if it frames the page's text, and names
-count for nothing on a page that they would empty. The best container is kept, with siblings whose own points come
-near it, and its blocks are joined in page order.
+styles are cut out before. An element named so by its class or id alone stays if it frames
+the page's text, and names count for nothing on a page that they would empty. The best
+container is kept with the whole article or main around it but its link-heavy blocks;
+elsewhere with siblings of few links, all of them where links are few among them, and those
+whose points come near it otherwise. Blocks are joined in page order.
 
 Cases: a null or empty page, and one without any paragraph, gives an empty text. Broken
 markup never fails: an unclosed comment or script ends with the page, a stray end tag is
@@ -297,11 +299,25 @@ def main_text(html: str | None) -> str:
         order, best = _best(parse(html, names=False))
     if best is None:
         return ""
-    kept, limit = [best], 0.2 * _score(best)
-    if best.parent is not None and best.tag not in ("body", "html"):
-        kept = [c for c in best.parent.children if isinstance(c, Node) and not c.cut and (
-            c is best or (c.tag in CONTAINERS and _score(c) >= max(limit, 3.0) and c.link_chars < 0.3 * c.chars)
-            or (c.tag in PARAGRAPHS and c.chars and c.link_chars < 0.3 * c.chars))]
+    kept, limit, top = [best], 0.2 * _score(best), best
+    up = best.parent
+    while up is not None:  # the outermost article or main around it
+        top = up if up.tag in ("article", "main") else top
+        up = up.parent
+    if top is not best:
+        node = best
+        while node is not top:
+            for c in node.parent.children:
+                if isinstance(c, Node) and c is not node and c.tag in BLOCKS and c.link_chars >= 0.3 * c.chars > 0:
+                    c.cut = True
+            node = node.parent
+        kept = [top]
+    elif best.parent is not None and best.tag not in ("body", "html"):
+        beside = [c for c in best.parent.children if isinstance(c, Node) and not c.cut and c.tag in CONTAINERS | PARAGRAPHS]
+        others = [c for c in beside if c is not best]
+        calm = sum(c.link_chars for c in others) < 0.3 * sum(c.chars for c in others)
+        kept = [c for c in beside if c is best or (
+            c.chars and c.link_chars < 0.3 * c.chars and (calm or c.tag in PARAGRAPHS or _score(c) >= limit))]
     for node in order:
         if node is not best and _links_only(node):
             node.cut = True

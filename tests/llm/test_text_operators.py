@@ -167,6 +167,19 @@ def test_names_do_not_empty_a_page(html):
     assert main_text.main_text(html) == "A long paragraph, with commas, and more words to be found here.\nAnd a second one, with more."
 
 
+LONG = "<p>" + "A long sentence, with commas, that goes on, and on, and on. " * 8 + "</p>"
+
+
+@pytest.mark.parametrize("frame", ["article", "main", "div"])
+def test_short_sections_beside_a_long_one_stay(frame):
+    links = "<ul><li><a href=x>One</a><li><a href=y>Two</a></ul>"
+    html = f"<body><{frame}><section><p>Short opening.</p></section><section>{LONG * 3}</section><section><p>Short end.</p></section>{links}</{frame}>"
+    lines = main_text.main_text(html).split("\n")
+    assert len(lines) == 5 and (lines[0], lines[-1]) == ("Short opening.", "Short end.")
+    html = f"<article><div><p>Summary.</p></div><div><section>{LONG}</section><section>{LONG * 3}</section></div>{links}</article>"
+    assert main_text.main_text(html).startswith("Summary.\n") and "One" not in main_text.main_text(html)
+
+
 def test_main_text_is_linear_on_broken_pages():
     for html in ("<div>" * 20000 + "hi, there", "<p>a" * 20000, "<a b=\"c" * 20000, "<b>" * 20000 + "<p>hi" * 2000, "</x>" * 20000, "<" * 50000, "<!--" * 20000):
         main_text.main_text(html)
