@@ -15,7 +15,8 @@ the same document or another. All such strings are found, in these steps:
    array by Larsson-Sadakane refinement: ranks by the first 7 bytes, then ranks of twice the
    depth from pairs of ranks, touching only groups that are not yet single. Common prefixes
    follow Kasai: along the text the value falls by one while the predecessor moves along, so
-   only the heads of such runs are compared byte by byte.
+   only the heads of such runs, and where one goes on after a byte that differs, are compared
+   byte by byte.
 4. A name with more than ``SPLIT`` segments is dealt over several shards. Their windows
    meet again, one per shard and distinct window, sorted by fingerprint, and binary search
    counts how many shards hold each.
@@ -228,6 +229,9 @@ def common_prefixes(data: np.ndarray, left: np.ndarray, order: np.ndarray) -> np
     new_string = np.concatenate([[True], left[1:] != left[:-1] - 1])
     runs = np.concatenate([[True], before[1:] != before[:-1] + 1]) | new_string | (before < 0)
     runs |= new_string[np.maximum(before, 0)]
+    # the fall by one ends at the first byte that differs; where equal bytes begin again, so does a run
+    equal = data == data[np.maximum(before, 0)]
+    runs[1:] |= equal[1:] & ~equal[:-1]
     heads = np.flatnonzero(runs)
     other = before[heads]
     limit = np.where(other >= 0, np.minimum(left[heads], left[np.maximum(other, 0)]), 0)

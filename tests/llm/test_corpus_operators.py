@@ -40,6 +40,22 @@ def test_suffix_array_and_prefixes():
             assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+@pytest.mark.parametrize("size", [3, 40, 500])
+def test_prefixes_after_a_differing_byte(size):
+    rng = np.random.default_rng(6)
+    head, tail = (bytes(rng.choice(list(b"abcdefgh"), size).astype(np.uint8)) for _ in range(2))
+    strings = [head + b"0" + tail, head + b"1" + tail]
+    data, left = np.frombuffer(b"".join(strings), np.uint8), np.tile(np.arange(2 * size + 1, 0, -1), 2)
+    order = substring_dedup.suffix_array(data, left, len(data))
+    common = substring_dedup.common_prefixes(data, left, order)
+    suffix = [bytes(data[i:i + left[i]]) for i in range(len(data))]
+    for k in range(1, len(order)):
+        a, b = suffix[order[k - 1]], suffix[order[k]]
+        assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    repeat = substring_dedup.repeated_windows(strings, size)[0]
+    assert repeat[size + 1] and repeat[3 * size + 2]
+
+
 def near_copies(n=40):
     base = sentence(2, 200).split()
     rng = np.random.default_rng(5)
