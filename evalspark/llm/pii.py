@@ -51,6 +51,8 @@ class Shape:
     needs: str
 
 
+#: The gazetteer of given names.
+GIVEN_NAMES = r"(?:James|Mary|Robert|Patricia|John|Jennifer|Michael|Linda|David|Elizabeth|William|Barbara|Richard|Susan|Joseph|Jessica|Thomas|Sarah|Charles|Karen|Anna|Maria|Peter|Paul|Hans|Jean|Pierre|Juan|Carlos|Sofia)"
 _LOCAL = r"[A-Za-z0-9._%+-]"
 SHAPES = [
     Shape("email", "email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", True, "@"),
@@ -59,15 +61,15 @@ SHAPES = [
     Shape("phone", "phone", r"\+[0-9][\x20().0-9-]+[0-9]", True, "\\+[0-9]"),
     Shape("local_phone", "phone", r"(?<!\+[0-9]{1,3}[\x20.-])(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9A-Za-z-])", False, "[0-9]{3}[.\\x20-][0-9]{4}"),
     Shape("ssn", "ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", False, "[0-9]-[0-9]{2}-[0-9]"),
-    Shape("name", "name", r"(?<![\w.])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20})?(?!\w)", False, "(?:Mr|Mrs|Ms|Dr|Prof)\\.?\\x20[A-Z]"),
-    Shape("secret", "secret", r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_-]{0,64}[0-9])(?=[0-9_-]{0,64}[A-Za-z])[A-Za-z0-9_-]{24,128}(?![A-Za-z0-9_/+-])", False, "[A-Za-z0-9_-]{24}"),
+    Shape("name", "name", r"(?<![\w.])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?(?!\w)", False, "(?:Mr|Mrs|Ms|Dr|Prof)\\.?\\x20[A-Z]"),
+    Shape("given_name", "name", rf"(?<![\w.])(?<!(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20){GIVEN_NAMES}(?:\x20[A-Z]\.)?\x20[A-Z][a-z]++(?!\w)", False, rf"{GIVEN_NAMES}\x20[A-Z]"),
+    Shape("secret", "secret", r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{24,}+(?![A-Za-z0-9_/+-])", False, "[A-Za-z0-9_-]{24}"),
 ]
 SHAPE = {s.name: s for s in SHAPES}
 
 # Words of the context and gazetteer labelers.
 CONTEXT_FOR = r"(?i)(?:e-?mail|mail|phone|tel|telephone|mobile|fax|call|contact|reach|ssn|social security|card|visa|account|iban|ip|address|host|server|token|key|secret|password|passwd|pwd|name|dear|signed|from|by|to)\W{1,4}$"
 CONTEXT_AGAINST = r"(?i)(?:version|ver|v|page|pages|fig|figure|table|section|chapter|isbn|issn|doi|order|total|sum|price|build|release|no|number|commit|sha|hash|md5|license|licence)\W{1,4}$"
-GIVEN_NAMES = r"(?:James|Mary|Robert|Patricia|John|Jennifer|Michael|Linda|David|Elizabeth|William|Barbara|Richard|Susan|Joseph|Jessica|Thomas|Sarah|Charles|Karen|Anna|Maria|Peter|Paul|Hans|Jean|Pierre|Juan|Carlos|Sofia)"
 NOT_A_NAME = r"\x20(?:The|Of|And|No|Street|Road|Avenue|University|Company|Inc)\b"
 
 
@@ -94,13 +96,15 @@ def _format(shape: Shape, value: Column) -> Column:
     if shape.name == "local_phone":
         return ~F.regexp_like(value, F.lit(r"^\(?[01]"))
     if shape.name == "secret":
-        return F.regexp_like(value, F.lit("[0-9].*[0-9].*[0-9]"))
+        return F.regexp_like(value, F.lit("^(?:[^0-9]*+[0-9]){3}"))
     return F.lit(True)
 
 
 def _gazetteer(shape: Shape, value: Column) -> Column:
     if shape.name == "name":
         return F.when(F.regexp_like(value, F.lit(GIVEN_NAMES)), 1).when(F.regexp_like(value, F.lit(NOT_A_NAME)), -1).otherwise(0)
+    if shape.name == "given_name":
+        return F.when(F.regexp_like(value, F.lit(NOT_A_NAME)), -1).otherwise(1)
     if shape.name == "email":
         return F.when(F.regexp_like(value, F.lit(r"\.(?:com|org|net|edu|gov|io|de|fr|es|uk)$")), 1).otherwise(0)
     if shape.name == "ip":

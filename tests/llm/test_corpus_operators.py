@@ -126,6 +126,15 @@ def test_personal_data_of_documents_and_masks(spark):
         assert masked[k].text == want + text[end:] and masked[k].n_chars == len(masked[k].text)
 
 
+def test_proposals_have_no_cap(spark):
+    key, letters, long_name = "aB3-" * 100, "x" * 100 + "123", "A" + "b" * 40
+    texts = [f"token: {key}.", f"key {letters} end", f"Dr. {long_name} {long_name} left", "met John Smith and Mary J. Jones, Dr. Paul Simon", "x" * 50000 + " " + "-" * 50000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(pii.KINDS[p["rank"]], texts[r.doc_id][p["at"]:p["until"]]) for p in r.proposals] for r in pii.proposals(docs).collect()}
+    assert got == {0: [("secret", key)], 1: [("secret", letters)], 2: [("name", f"Dr. {long_name} {long_name}")],
+                   3: [("name", "John Smith"), ("name", "Mary J. Jones"), ("name", "Dr. Paul Simon")], 4: []}
+
+
 OVERLAPS = [("+1 555 123 4567john@x.com", [(0, 15, "phone"), (11, 25, "email")], "[PHONE]"),
             ("Hi Dr. Jane.Doe@x.com!", [(3, 11, "name"), (7, 21, "email")], "Hi [EMAIL]!"),
             ("1.2.3.41111111111111111 x a@b.c", [(0, 7, "ip"), (6, 23, "card"), (26, 31, "email")], "[CARD] x [EMAIL]"),
