@@ -14,8 +14,8 @@ start, so scanning is linear. Only counts of vote patterns and of feature combin
 (``shapes x 3^4`` rows) reach the driver. No rows meet, so no key can be hot.
 
 Cases: a null or empty text has no spans; equal documents get equal rows; overlapping spans
-of different kinds are all reported, and masked as one; an empty table gives no rows and an untrained model
-that adds nothing; other columns are ignored.
+of different kinds are all reported, and masked as one; an empty table gives no rows; a small one trains on
+counts over the same prior as a large one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +32,9 @@ KINDS = ["email", "ip", "card", "phone", "ssn", "name", "secret"]
 BASE_KINDS = KINDS[:4]
 #: Posterior from which a span that is in no base format is added.
 SURE = 0.9
-#: Vote patterns seen fewer times say too little to train on.
-LEAST_CANDIDATES = 20
 EM_ROUNDS = 50
+#: What a vote is worth before any is counted: votes of personal and of other spans.
+PRIOR = {1: (4.0, 1.0), -1: (1.0, 4.0)}
 FIT_ROUNDS = 300
 #: Characters before a span that the context labeler reads.
 CONTEXT = 24
@@ -194,14 +194,14 @@ def label_model(counts: list[tuple[str, tuple[int, ...], int]]) -> tuple[dict, d
     posterior = {(shape, votes): 1 / (1 + math.exp(-1.5 * sum(votes))) for shape, votes, _ in counts}
     likelihood: dict = {}
     for _ in range(EM_ROUNDS):
-        mass: dict = {}
+        mass: dict = {(k, v): PRIOR[v] for k in range(len(VOTES)) for v in PRIOR}
         share: dict = {}
         for shape, votes, n in counts:
             p = posterior[shape, votes]
             pos, total = share.get(shape, (1.0, 2.0))
             share[shape] = (pos + n * p, total + n)
             for k, v in ((k, v) for k, v in enumerate(votes) if v):
-                a, b = mass.get((k, v), (1.0, 1.0))
+                a, b = mass[k, v]
                 mass[k, v] = (a + n * p, b + n * (1 - p))
         likelihood = {}
         for k in range(len(VOTES)):
@@ -240,8 +240,6 @@ def train(found: DataFrame) -> Model:
     """Fit label model and classifier on the counts of all proposals."""
     spans = found.select(F.explode("proposals").alias("p")).select("p.*")
     rows = spans.groupBy(*FEATURES).count().orderBy(*FEATURES).collect()  # shapes x 3^4 x 5 rows at most
-    if sum(r["count"] for r in rows) < LEAST_CANDIDATES:
-        return Model({}, {})
     votes = [(r["shape"], tuple(r[v] for v in VOTES), r["count"]) for r in rows]
     merged: dict = {}
     for shape, v, n in votes:

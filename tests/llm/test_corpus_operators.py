@@ -169,6 +169,16 @@ def test_label_model_finds_the_reliable_labeler():
     assert likelihood[0, 1][0] / likelihood[0, 1][1] > likelihood[1, 1][0] / likelihood[1, 1][1]
 
 
+def test_few_proposals_are_enough_to_train(spark):
+    kind = "proposals array<struct<shape:string,v_format:int,v_gazetteer:int,v_context:int,v_border:int,size:int>>"
+    sure = ("secret", 1, 1, 1, 1, 4)
+    few = pii.train(spark.createDataFrame([([sure],)], kind))
+    many = pii.train(spark.createDataFrame([([sure] * 40,)], kind))
+    margins = [m.weights["", ""] + sum(m.weights[f, v] for f, v in zip(pii.FEATURES, sure)) for m in (few, many)]
+    assert margins[1] >= margins[0] >= np.log(pii.SURE / (1 - pii.SURE))
+    assert pii.train(spark.createDataFrame([], kind)).weights == {("", ""): 0.0}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
     from evalspark.session import cut_lineage
