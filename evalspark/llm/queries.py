@@ -172,3 +172,77 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalspark.llm import substring_dedup
 
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def _crc32_sql(text: str) -> str:
+    """The unsigned crc32 of a short text, bit by bit."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return (f"xor(list_reduce(list_transform({steps}, lambda x: CAST(x AS BIGINT)), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) "
+            "WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, CAST(4294967295 AS BIGINT)), 4294967295)")
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{BLANK_SQL}') AS w, coalesce({_crc32_sql("CAST(doc_id AS VARCHAR)")}, 1) AS h FROM documents),
+shaped AS (SELECT doc_id, w, h, h // 10 AS g, len(w) AS n FROM d),
+tails AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM shaped WHERE h % 10 = 0 AND n > 0),
+words AS (SELECT doc_id, w FROM shaped WHERE h % 10 <> 0 OR n = 0
+          UNION ALL SELECT doc_id, list_concat(w[1:a], list_transform(range(a, n), lambda i: w[a + (i - a) % p + 1])) FROM tails),
+grams AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 6], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(0, len(w) - 5)) AS i FROM words WHERE len(w) >= 12)),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.k = y.k AND x.i < y.i),
+islands AS (SELECT doc_id, q, min(i) AS s, count(*) + 5 + q AS len FROM (
+              SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, s, len, min(q) AS q FROM islands WHERE len >= greatest(12, 2 * q) GROUP BY doc_id, s, len),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs),
+lists AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+                 list({{'start': s, 'length': len, 'period': q}} ORDER BY len DESC, s, q)[1] AS best FROM runs GROUP BY doc_id),
+lost AS (SELECT doc_id, list(i) AS gone FROM dropped GROUP BY doc_id),
+kept AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS t FROM (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS word FROM words) w
+         ANTI JOIN dropped x ON w.doc_id = x.doc_id AND w.i = x.i GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+       1000 * best.length // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs of every whole text, where one in ten gets a periodic tail."""
+    from evalspark.llm import periodic_runs as pr
+
+    return pr.run_digests(pr.find_runs(pr.with_periodic_tails(table(spark, sf_dir, "documents"))))
+
+
+@query(rf"""
+WITH t AS (SELECT conv_id, struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) AS turn,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (SELECT conv_id, CAST({_crc32_sql("CAST(conv_id AS VARCHAR)")} % 6 AS BIGINT) AS h FROM (SELECT DISTINCT conv_id FROM t)),
+rebuilt AS (SELECT c.conv_id, t.k, t.turn FROM heads c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.k <= c.h
+            UNION ALL SELECT c.conv_id, t.k, t.turn FROM heads c JOIN t ON t.conv_id = c.conv_id AND t.k > c.h),
+seqs AS (SELECT h.conv_id, coalesce(s, []) AS s FROM heads h LEFT JOIN (SELECT conv_id, list(turn ORDER BY k) AS s FROM rebuilt GROUP BY conv_id) USING (conv_id)),
+prefixes AS (SELECT conv_id, d, s[1:d] AS p, len(s) = d AS ends FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM seqs)),
+nodes AS (SELECT p, d, min(conv_id) AS low, count(*) AS n, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends) AS ids FROM prefixes GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+full_nodes AS (SELECT n.p, n.d, n.low, n.n, n.ids, coalesce(k.n_children, 0) AS n_children, up.low AS parent,
+                 CASE WHEN n.d > 0 THEN (n.n - 1) * length(n.p[n.d].x) ELSE 0 END AS saved
+          FROM nodes n LEFT JOIN kids k ON n.p = k.p LEFT JOIN nodes up ON n.d > 0 AND up.d = n.d - 1 AND up.p = n.p[1:n.d - 1]),
+below AS (SELECT p[1:k] AS p, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+          FROM (SELECT p, saved, n_children, unnest(range(0, d + 1)) AS k FROM full_nodes) GROUP BY 1)
+SELECT low AS conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_nodes JOIN below USING (p)
+""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, whose first turns come from the first one of their hundred."""
+    from evalspark.llm import prefix_trie as pt
+
+    return pt.prefix_trie(pt.with_shared_heads(pt.sequences(table(spark, sf_dir, "conversations"))))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS c, regexp_replace(coalesce(text, ''), '[ 	-]', '', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER best = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW best AS (PARTITION BY t ORDER BY c DESC, doc_id)
+""")
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document the one that stays of those equal to it without white space."""
+    from evalspark.llm import cuckoo_dedup
+
+    return cuckoo_dedup.exact_groups(table(spark, sf_dir, "documents"))
