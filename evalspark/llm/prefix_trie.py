@@ -183,11 +183,11 @@ class Part:
     def nodes(self, place: np.ndarray, depth: np.ndarray) -> dict[str, np.ndarray]:
         """What the part knows of some prefixes."""
         left, right = self.table.left_extent(place, depth), self.table.right_extent(place, depth)
-        # a search that comes to the part's first row includes it
+        # the first row of a part may go on with a prefix of the part before
         n = self.n
         joined = self.common[left] >= depth
         opened = np.searchsorted(self._open, depth * n + right, "right") - np.searchsorted(self._open, depth * n + left, "left")
-        opened += (self.size[left] > depth) & (self.common[left] <= depth)
+        opened += ~joined & (self.size[left] > depth)
         first = left + ~joined
         upper = np.where(depth > 0, self._chars(left, np.maximum(depth - 1, 0)), 0)
         saved = self.saved_sum[right + 1] - self.saved_sum[first] - (right + 1 - first) * upper
