@@ -6,7 +6,8 @@ down in steps that never lose a link:
 1. equal shingle sets collapse into one class (copies, however many, are one row);
 2. order one, ascending hash: of a set's first ``d + m`` shingles (d may differ, m = depth * d + 1)
    at least ``m`` of the partner's size must also stand in another class's first ones.
-   Sets below that leave;
+   Sets below that leave. A shingle that two sets of one piece of text share is settled in
+   that piece; of every other only one row a piece is shuffled, once;
 3. order two, rarity among the sets that are left: partners share a shingle of their
    prefixes, at places and lengths that still allow the needed overlap;
 4. order three, descending hash, and order one again: both prefixes must meet;
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from evalspark.llm import arrays as A
 from evalspark.llm.components import components
@@ -72,14 +73,37 @@ def _describe(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 def _first_tokens(size: int, percent: int, depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The ``d + m`` smallest hashes of every set, with the set's short key."""
+    """The ``d + m`` smallest hashes of every set, with the set's short key and its copies in the piece.
+
+    A hash that two keys of the piece share is known to be shared: its sets get their count at once,
+    in a row of weight below zero, and only its first and last key go on, as witnesses without weight.
+    """
     for batch in batches:
         for _, sets in _shingle_sets(batch.column(0), size):
-            heads = [s[:(depth + 1) * _slack(len(s), percent) + 1] for s in sets if len(s)]
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8] for s in sets if len(s)]
-            tokens = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
-            owners = np.repeat(np.frombuffer(b"".join(keys), ">i8").astype(np.int64), [len(h) for h in heads])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.astype(np.int64)), pa.array(owners)], ["token", "owner"])
+            by_key: dict[bytes, list] = {}
+            for s in sets:
+                if len(s):
+                    by_key.setdefault(hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8], []).append(s)
+            if not by_key:
+                continue
+            heads = [g[0][:(depth + 1) * _slack(len(g[0]), percent) + 1] for g in by_key.values()]
+            copies = np.array([len(g) for g in by_key.values()], np.int64)
+            names = np.frombuffer(b"".join(by_key), ">i8").astype(np.int64)
+            tokens, owners = np.concatenate(heads), np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+            order = np.argsort(tokens, kind="stable")
+            tokens, owners = tokens[order], owners[order]
+            begins = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            sizes = np.diff(np.append(begins, len(tokens)))
+            one, many = begins[sizes == 1], begins[sizes > 1]
+            settled = np.repeat(sizes > 1, sizes)
+            met = np.bincount(owners[settled], minlength=len(heads)) * copies
+            mine = np.flatnonzero(met)
+            witnesses = np.concatenate([many, many + sizes[sizes > 1] - 1])
+            sent = np.concatenate([one, witnesses])
+            weights = np.concatenate([copies[owners[one]], np.zeros(len(witnesses), np.int64), -met[mine]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([tokens[sent].astype(np.int64), names[mine]])), pa.array(np.concatenate([names[owners[sent]], names[mine]])),
+                 pa.array(weights.astype(np.int32))], ["token", "owner", "weight"])
 
 
 def _whole_sets(size: int, packed: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,11 +154,13 @@ def near_sets(documents: DataFrame, described: DataFrame, size: int, percent: in
     classes = (described.where("n > 0").groupBy("set_key")
                .agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
     classes = cut_lineage(classes.withColumn("owner", F.conv(F.hex(F.substring("set_key", 1, 8)), 16, -10).cast("bigint")))
-    heads = documents.select("text").mapInArrow(lambda b: _first_tokens(size, percent, depth, b), "token long, owner long")
-    shared = heads.groupBy("token").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo != hi").select("token")
+    heads = documents.select("text").mapInArrow(lambda b: _first_tokens(size, percent, depth, b), "token long, owner long, weight int")
+    # two rows a piece at most for one token: also a token in a third of all sets is a small share of its task
+    token = W.partitionBy("token")
     smallest = F.ceil(F.col("n") * percent / 100)
     least = depth * _slack_column(smallest, percent) + 1
-    met = heads.join(shared, "token").groupBy("owner").agg(F.count(F.lit(1)).alias("met"))
+    met = (heads.withColumns({"lo": F.min("owner").over(token), "hi": F.max("owner").over(token)})
+           .where("weight < 0 OR (lo != hi AND weight > 0)").groupBy("owner").agg(F.sum(F.abs("weight")).alias("met")))
     # copies emit the same rows; two classes under one short key both stay
     owners = classes.groupBy("owner").agg(F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("n_classes"))
     left = (classes.join(owners, "owner").join(met, "owner")
@@ -166,7 +192,8 @@ def set_components(documents: DataFrame, described: DataFrame, size: int, percen
     """``(set_key, component)`` of the classes that link with another class; a component is a number."""
     sets = near_sets(documents, described, size, percent, depth)
     lists = cut_lineage(postings(sets, percent))
-    pivots = lists.groupBy("token").agg(F.min(F.struct("at", "id", "n")).alias("p")).select("token", "p.*")
+    # written first: a join of two tables is one that skewed sides can be split in
+    pivots = cut_lineage(lists.groupBy("token").agg(F.min(F.struct("at", "id", "n")).alias("p")).select("token", "p.*"))
     star = (lists.alias("x").join(pivots.alias("y"), "token").where((F.col("x.id") != F.col("y.id")) & _possible("x", "y", percent))
             .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
     links = cut_lineage(_verified(star, sets, percent))
@@ -177,7 +204,7 @@ def set_components(documents: DataFrame, described: DataFrame, size: int, percen
     named = cut_lineage(named.join(mixed, "token"))
     largest = (named.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
                .groupBy("token").agg(F.max(F.struct("c", "component")).alias("m")).select("token", F.col("m.component").alias("major")))
-    ranked = named.join(largest, "token")
+    ranked = cut_lineage(named.join(largest, "token"))
     apart = ((F.col("x.component") != F.col("y.component"))
              & ((F.col("y.component") == F.col("x.major")) | (F.col("x.component") < F.col("y.component"))))
     rest = (ranked.where("component != major").alias("x").join(named.alias("y"), "token").where(apart & _possible("x", "y", percent))
@@ -187,6 +214,13 @@ def set_components(documents: DataFrame, described: DataFrame, size: int, percen
     return sets.select("id", "set_key").join(final, "id").select("set_key", "component")
 
 
+def _fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not taken."""
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def similar_groups(documents: DataFrame, size: int = 5, percent: int = 80, depth: int = 1) -> DataFrame:
     """Per document: its number of distinct shingles and the smallest id it is linked with, over any path.
 
@@ -204,10 +238,31 @@ def similar_groups(documents: DataFrame, size: int = 5, percent: int = 80, depth
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("group_id", "doc_id").alias("component_id")))
 
 
-def one_per_group(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that are linked with a smaller id; of equal rows under one id one stays."""
-    groups = cut_lineage(similar_groups(documents, size, percent))
-    others = groups.where("doc_id != component_id").select("doc_id").distinct()
-    kept = documents.join(others, "doc_id", "left_anti").select(*documents.columns)
-    repeated = groups.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+def one_per_group(documents: DataFrame, size: int = 5, percent: int = 80, depth: int = 1) -> DataFrame:
+    """The documents without those that are linked with one of a smaller id.
+
+    A row is told by its id and its text, so a null id or one that stands on several texts decides for no
+    other row. Of one group the smallest id stays, null last; of its equal rows under one id one stays.
+    Rows without words are in no group and stay.
+    """
+    key = F.struct(F.col("doc_id").alias("doc_id"), F.md5(F.col("text")).alias("digest"))
+    rows = cut_lineage(documents.select(key.alias("doc_id"), "text").mapInArrow(
+        lambda b: _describe(size, b), f"doc_id struct<doc_id:{documents.schema['doc_id'].dataType.simpleString()},digest:string>, n long, set_key binary"))
+    linked = set_components(documents.select(key.alias("doc_id"), "text"), rows, size, percent, depth)
+    order = F.struct(F.col("doc_id.doc_id").isNull().alias("none"), F.col("doc_id").alias("key"))
+    classes = rows.where("n > 0").groupBy("set_key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")).join(linked, "set_key", "left")
+    alone = classes.where("component IS NULL").select("set_key", "first")
+    grouped = classes.where("component IS NOT NULL")
+    named = grouped.join(grouped.groupBy("component").agg(F.min("first").alias("_best")), "component").select("set_key", F.col("_best").alias("first"))
+    best = alone.unionByName(named).withColumnRenamed("set_key", "_key")
+    marked = rows.where("n > 0").join(best, F.col("set_key") == F.col("_key")).select(
+        F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.digest").alias("_digest"), (F.col("doc_id") == F.col("first.key")).alias("stays"))
+    marked = cut_lineage(marked.groupBy("_id", "_digest").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("copies")))
+
+    own, doc_id, digest = (_fresh(name, documents.columns) for name in ("_text_digest", "_marked_id", "_marked_digest"))
+    keyed = documents.withColumn(own, F.md5(F.col("text")))
+    same = (F.col(own) == F.col(digest)) & F.col("doc_id").eqNullSafe(F.col(doc_id))
+    named = marked.select("stays", "copies", F.col("_id").alias(doc_id), F.col("_digest").alias(digest))
+    kept = keyed.join(named.where("NOT stays OR copies > 1").select(doc_id, digest), same, "left_anti")
+    equal = keyed.join(named.where("stays AND copies > 1").select(doc_id, digest), same, "left_semi").dropDuplicates(["doc_id", own])
+    return kept.unionByName(equal).select(*[F.col(f"`{c}`") for c in documents.columns])
