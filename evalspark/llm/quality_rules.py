@@ -81,7 +81,8 @@ def _repeated_words(words: Column) -> Column:
             F.transform(p, lambda x, i: F.least(F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW)), F.lit(WINDOW))),
             F.lit(0).cast("bigint"), lambda total, x: total + x))
 
-    return F.coalesce(bind(windows(words), covered), F.lit(0).cast("bigint"))
+    # bound first: a filter on a measure puts this expression where no projection holds the words
+    return bind(words, lambda w: F.coalesce(bind(windows(w), covered), F.lit(0).cast("bigint")))
 
 
 def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
@@ -95,7 +96,7 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
         F.size("_words").cast("bigint").alias("n_words"),
         F.length(F.regexp_replace("_body", BLANK + "+", "")).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace("_body", r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
+        bind(F.col("_lines"), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         F.size("_lines").cast("bigint").alias("n_lines"),
         _repeated_words(F.col("_words")).alias("n_repeat_words"))
 
