@@ -57,6 +57,10 @@ _HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 _SPACE = re.compile(r"\s+")
 
 
+#: Below this a container holds no paragraph of 25 characters or a comma.
+LEAST_SCORE = 1.25
+
+
 class Node:
     __slots__ = ("tag", "parent", "cut", "named", "children", "points", "held", "chars", "link_chars")
 
@@ -101,9 +105,9 @@ def _is_cut(tag: str, attributes: str, parent: Node, names: bool) -> tuple[bool,
     return False, named
 
 
-def _tag_end(html: str, at: int) -> int:
-    """Place after the ``>`` that ends a tag; quoted values may hold one."""
-    start = at
+def _tag_end(html: str, at: int, last_quotes: dict[str, int]) -> int:
+    """Place after the ``>`` that ends a tag; quoted values may hold one, and may be of any length."""
+    begin = start = at
     while True:
         end = html.find(">", at)
         if end < 0:
@@ -115,10 +119,9 @@ def _tag_end(html: str, at: int) -> int:
         quote = re.search("[\"']", rest)
         if quote is None or not re.search(r"=\s*$", rest[:quote.start()]):
             return end + 1
-        closing = html.find(quote[0], end)
-        if closing < 0 or closing - start > 65536:  # no closing quote: the first bracket ends the tag
-            return html.find(">", start) + 1
-        at = closing + 1
+        if end > last_quotes[quote[0]]:  # no closing quote: the first bracket ends the tag
+            return html.find(">", begin) + 1
+        at = start = html.find(quote[0], end) + 1
 
 
 def parse(html: str, names: bool = True) -> Node:
@@ -126,6 +129,7 @@ def parse(html: str, names: bool = True) -> Node:
     root = Node("#root", None, False)
     node, at, n = root, 0, len(html)
     opened: Counter[str] = Counter()
+    last_quotes = {quote: html.rfind(quote) for quote in "\"'"}
 
     def back_to(target: Node) -> Node:
         up = node
@@ -149,7 +153,7 @@ def parse(html: str, names: bool = True) -> Node:
             end = html.find(">", found.end())
             at = n if end < 0 else end + 1
             continue
-        tag, at = found[4].lower(), _tag_end(html, found.end())
+        tag, at = found[4].lower(), _tag_end(html, found.end(), last_quotes)
         if found[3]:
             if opened[tag] > 0:
                 up = node
@@ -164,11 +168,11 @@ def parse(html: str, names: bool = True) -> Node:
             if up.tag == "p":
                 node = back_to(up.parent)
         if tag in ENDS:
-            names, borders = ENDS[tag]
-            if any(opened[name] > 0 for name in names):
+            ended, borders = ENDS[tag]
+            if any(opened[name] > 0 for name in ended):
                 up, last = node, None
                 while up is not root and up.tag not in borders:
-                    last = up if up.tag in names else last
+                    last = up if up.tag in ended else last
                     up = up.parent
                 if last is not None:
                     node = back_to(last.parent)
@@ -184,7 +188,7 @@ def parse(html: str, names: bool = True) -> Node:
             stop = n if end < 0 else end
             if stop > at:
                 made.children.append(html[at:stop])
-            at = n if end < 0 else _tag_end(html, end)
+            at = n if end < 0 else _tag_end(html, end, last_quotes)
         elif tag not in VOID and not attributes.endswith("/"):
             node = made
             opened[tag] += 1
@@ -295,8 +299,10 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     order, best = _best(parse(html))
-    if best is None:  # names may have cut all there is
-        order, best = _best(parse(html, names=False))
+    if best is None or _score(best) < LEAST_SCORE:  # names may have cut all there is
+        whole = _best(parse(html, names=False))
+        if best is None or whole[1] is not None and _score(whole[1]) > _score(best):
+            order, best = whole
     if best is None:
         return ""
     kept, limit, top = [best], 0.2 * _score(best), best
