@@ -268,12 +268,15 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
 
 def mask_personal_data(documents: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; ``n_chars`` follows where there is one."""
-    names = [name for name in documents.columns if name != "proposals"]
-    found = cut_lineage(proposals(documents, names))
-    rows = found.select(*names, _kept_spans(train(found)).alias("_spans"))
-    text = F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("_spans")))
-    changed = {"text": text} | ({"n_chars": F.length(text).cast(documents.schema["n_chars"].dataType)} if "n_chars" in names else {})
-    return rows.withColumns(changed).select(*names)
+    names = documents.columns
+    # the caller's columns travel under names of ours, so that none can clash
+    apart = documents.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)], "text")
+    found = cut_lineage(proposals(apart, [f"_c{i}" for i in range(len(names))]))
+    text = F.col(f"_c{names.index('text')}")
+    rows = found.select(*[f"_c{i}" for i in range(len(names))], _kept_spans(train(found)).alias("_spans"))
+    rows = rows.withColumn("_text", F.when(text.isNotNull(), masked(text, F.col("_spans"))))
+    changed = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(documents.schema["n_chars"].dataType)} if "n_chars" in names else {})
+    return rows.select(*[changed.get(c, F.col(f"_c{i}")).alias(c) for i, c in enumerate(names)])
 
 
 def span_texts(spans: Column) -> Column:

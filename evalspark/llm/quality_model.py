@@ -14,7 +14,7 @@ one pass over all documents without a shuffle.
 Cases: a null text is empty and is scored from its statistics; labels that are null are
 ignored, of several labels of an id the lowest counts; without both classes in the sample
 every score is 0.5; equal texts with equal metadata get equal scores; an empty table gives
-no rows; other columns are ignored.
+no rows; a null id is never held out; other columns are passed on as asked, whatever their names.
 """
 
 from __future__ import annotations
@@ -195,12 +195,12 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def held_out(doc_id, folds: int = 5):
     """Whether a document is in the fold that training never sees."""
-    return F.crc32(doc_id.cast("string")) % folds == 0
+    return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
 def _inputs(df: DataFrame, *more: str) -> DataFrame:
     declared = F.col("n_chars").cast("double") if "n_chars" in df.columns else F.lit(None).cast("double")
-    return df.select(*more, F.col("text").alias("_text"), declared.alias("_declared"))
+    return df.select(F.col("text").alias("_text"), declared.alias("_declared"), *[F.col(c).alias(f"_kept_{i}") for i, c in enumerate(more)])
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
@@ -209,7 +209,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ma
              .groupBy("doc_id").agg(F.min("quality").cast("double").alias("label")))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # the limit bounds what is broadcast; a second one holds if an id stands on many rows
-    rows_of = _inputs(documents, "doc_id").join(F.broadcast(sample), "doc_id").select("_text", "_declared", "label").limit(rows)
+    rows_of = _inputs(documents, "doc_id").join(F.broadcast(sample), F.col("_kept_0") == F.col("doc_id")).select("_text", "_declared", "label").limit(rows)
     found = rows_of.mapInArrow(_vectors, "label double, feature array<int>, value array<float>").toArrow().combine_chunks()
     if found.num_rows == 0:
         return Machine.empty()
@@ -219,20 +219,19 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ma
                found.column("label").to_numpy().astype(np.float64))
 
 
-def _scorer(machine: Machine, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scorer(machine: Machine, keep: list[str], name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         declared = _declared(batch.column("_declared"))
         scores = [machine.scores(*features(data, offsets, declared[first:first + len(offsets) - 1]), len(offsets) - 1)
                   for first, data, offsets in A.pieces(batch.column("_text"))]
         made = pa.array(np.concatenate(scores) if scores else np.zeros(0))
-        kept = [i for i, name in enumerate(batch.schema.names) if name not in ("_text", "_declared")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), made], [*(batch.schema.names[i] for i in kept), "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[2:], made], [*keep, name])
 
 
-def score(documents: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of every document and its score; a column of that name gives way."""
-    keep = [name for name in keep if name != "score"]
+def score(documents: DataFrame, machine: Machine, keep: list[str], name: str = "score") -> DataFrame:
+    """Columns ``keep`` of every document and its score under ``name``; a kept column of that name gives way."""
+    keep = [c for c in keep if c != name]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
     # a few megabytes, whatever the corpus
     shared = documents.sparkSession.sparkContext.broadcast((machine.bias, machine.weights, machine.factors))
-    return _inputs(documents, *keep).mapInArrow(lambda b: _scorer(Machine(*shared.value), b), f"{kinds}, score double")
+    return _inputs(documents, *keep).mapInArrow(lambda b: _scorer(Machine(*shared.value), keep, name, b), f"{kinds}, `{name}` double")
