@@ -1,8 +1,10 @@
 """Model-call passes: a user's function applied to prompt rows, partition by partition.
 
 A factory runs once per thread of a task (one client each). A failed call never
-fails a task: it becomes an ``error`` column. The pass output is checkpointed before it is
-read twice, because calling a model again would give other rows and cost money.
+fails a task: it becomes an ``error`` column. Every finished key goes to the pass's journal
+before its rows are handed on, so an attempt that follows a lost one calls only for the keys that
+are left. The pass output is written before it is read twice, because calling a model again would
+give other rows and cost money.
 """
 
 from __future__ import annotations
@@ -10,19 +12,24 @@ from __future__ import annotations
 import re
 import threading
 import time
+import uuid
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from evalspark.functions.replies import TRANSIENT_MARKERS
-from evalspark.session import cut_lineage
+from evalspark.plans.journal import Journal
+from evalspark.session import cut_lineage, ensure_checkpoint_dir
 
 #: Rows a task gathers before it hands them on.
 FLUSH = 256
+#: Prompts of a task.
+TASK_ROWS = 2_000
 #: ``factory()`` returns ``call(system, user, stage) -> str | dict``. A dict may hold ``text``
 #: and the token counts of ``USAGE``.
 ModelFactory = Callable[[], Callable[[str, str, str], "str | dict"]]
@@ -63,23 +70,32 @@ def _readable(error: Exception, secrets: Iterable[str], limit: int = 2000) -> st
 def call_model(prompts: DataFrame, factory: ModelFactory, stage: str, attempts: int = 5,
                wait_seconds: Callable[[int, str], float] = backoff_seconds, partitions: int | None = None,
                concurrency: int = 8, secrets: Iterable[str] = (),
-               retry: Callable[[Exception], bool] = worth_retrying) -> DataFrame:
+               retry: Callable[[Exception], bool] = worth_retrying, journal: str | None = None) -> DataFrame:
     """Call the model for ``prompts(call_key, system, user)``; one row per attempt.
 
     An empty reply counts as a failure, and only failures that ``retry`` accepts are tried
     again. The last attempt of a key tells whether it succeeded. Rows are spread by key over
-    ``partitions`` tasks (the session's shuffle partitions by default, which follow the size
-    of the data), and each task keeps up to ``concurrency`` calls open, each thread with a
+    ``partitions`` tasks (by default one for ``TASK_ROWS`` prompts, and as many as there are cores
+    when there are fewer), and each task keeps up to ``concurrency`` calls open, each thread with a
     client of its own. A task holds only the open calls and a batch of ``FLUSH`` rows, and
     hands rows on as they come. ``secrets`` are struck out of error texts.
+
+    ``journal`` names a folder that all tasks share; by default the pass has one of its own below
+    the checkpoint folder. Naming the folder of a pass that failed continues it: finished keys give
+    their rows again without a call.
     """
     session = prompts.sparkSession
-    spread = partitions or max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
-    prompts = prompts.select("call_key", "system", "user").repartition(spread, "call_key")
+    if partitions is None:
+        rows = prompts.select("call_key").count()
+        partitions = max(1, -(-rows // TASK_ROWS), min(rows, session.sparkContext.defaultParallelism))
+    record = Journal(journal or f"{ensure_checkpoint_dir(session)}/calls/{uuid.uuid4().hex}")
+    prompts = prompts.select("call_key", "system", "user").repartition(record.tasks(partitions), "call_key")
     hidden = tuple(secrets)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         local = threading.local()
+        task = TaskContext.get().partitionId()
+        paid, writer = record.finished(task), record.writer(task)
 
         def ask(key: str, system: str, user: str) -> list[dict]:
             if not hasattr(local, "call"):
@@ -106,6 +122,7 @@ def call_model(prompts: DataFrame, factory: ModelFactory, stage: str, attempts:
                            latency_ms=round((time.perf_counter() - clock) * 1000, 3))
                 rows.append(row)
                 if not again:
+                    writer.record(rows)
                     return rows
                 pause = wait_seconds(attempt, row["error"])
                 row["retry_sleep_ms"] = pause * 1000.0
@@ -119,18 +136,24 @@ def call_model(prompts: DataFrame, factory: ModelFactory, stage: str, attempts:
             return frame
 
         done: list[dict] = []
-        with ThreadPoolExecutor(concurrency) as pool:
-            open_calls: deque = deque()
-            for batch in batches:
-                for row in zip(batch["call_key"], batch["system"], batch["user"]):
-                    open_calls.append(pool.submit(ask, *row))
-                    while len(open_calls) >= 2 * concurrency:
-                        done += open_calls.popleft().result()
+        try:
+            with ThreadPoolExecutor(concurrency) as pool:
+                open_calls: deque = deque()
+                for batch in batches:
+                    for row in zip(batch["call_key"], batch["system"], batch["user"]):
+                        if row[0] in paid:
+                            done += paid.pop(row[0])
+                        else:
+                            open_calls.append(pool.submit(ask, *row))
+                        while len(open_calls) >= 2 * concurrency:
+                            done += open_calls.popleft().result()
                         if len(done) >= FLUSH:
                             yield framed(done)
                             done = []
-            while open_calls:
-                done += open_calls.popleft().result()
+                while open_calls:
+                    done += open_calls.popleft().result()
+        finally:
+            writer.close()
         if done:
             yield framed(done)
 
@@ -152,14 +175,15 @@ def validated_pass(prompts: DataFrame, factory: ModelFactory, stage: str,
     and whatever it parses. Returns ``(accepted, calls)``; keys that fail every round are
     in neither's accepted rows and can be listed with an anti join. Each round handles
     only the rows the round before refused, so the loop has a fixed number of rounds and
-    never looks at row contents on the driver.
+    never looks at row contents on the driver. A round writes keys and what it learned of them; the
+    prompt rows themselves are joined again where they are read.
     """
     todo, accepted, calls = prompts, None, None
     for number in range(1, rounds + 1):
         log = cut_lineage(call_model(todo, factory, stage, **call_options).withColumn("round", F.lit(number)))
         replies = last_attempt(log.drop("round")).where("success").select("call_key", "text")
-        # the prompts are expressions over the rows, so their texts are not written again
-        judged = cut_lineage(check(todo.join(replies, "call_key", "left")).drop("system", "user"))
+        checked = check(todo.join(replies, "call_key", "left"))
+        judged = cut_lineage(checked.select("call_key", *[c for c in checked.columns if c not in prompts.columns]))
         good = judged.where("text IS NOT NULL AND problem IS NULL")
         accepted = good if accepted is None else accepted.unionByName(good)
         calls = log if calls is None else calls.unionByName(log)
@@ -168,7 +192,7 @@ def validated_pass(prompts: DataFrame, factory: ModelFactory, stage: str,
             if refused.isEmpty():
                 break
             todo = prompts.join(refused, "call_key", "left_semi")
-    return accepted, calls
+    return prompts.drop("system", "user").join(accepted, "call_key"), calls
 
 
 def failure_ledger(prompts: DataFrame, calls: DataFrame) -> DataFrame:

@@ -1,13 +1,19 @@
 """File scans: JSON arrays, JSONL with line numbers, shards, record folders, digests.
 
-The numbered scans use the physical line of each file, so they read one whole file per
-row; they are meant for benchmark files of a few hundred rows. Large tables carry
-``row_index`` as a column and are read as Parquet or plain JSON lines instead.
+Line scans are cut into byte ranges like any text scan. The physical number of a line is its place
+in its range plus the lines of the ranges before it in its file; the ranges' line counts are one
+row per range. Only a JSON array, which has no lines to cut at, is read as one value per file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
 from evalspark.functions.replies import parse_value
@@ -24,9 +30,24 @@ def json_array(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file_name, line_number, value`` with physical line numbers, blank lines counted then dropped."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
-    lines = text.select("file_name", F.posexplode(F.split("value", "\r?\n")).alias("_p", "value"))
-    return lines.where(~is_blank(F.col("value"))).select("file_name", (F.col("_p") + 1).alias("line_number"), "value")
+    return _numbered(spark, path).where(~is_blank(F.col("value"))).select("file_name", F.col("line_number").cast("int").alias("line_number"), "value")
+
+
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """Every line with its file and its 1-based number in it.
+
+    A scan task numbers its rows upwards, and the rows of one byte range follow each other, so a
+    range's smallest number and its count place all its lines without sorting any.
+    """
+    meta = F.col("_metadata")
+    scan = spark.read.text(path).select(
+        meta["file_path"].alias("_path"), meta["file_block_start"].alias("_block"), meta["file_name"].alias("file_name"),
+        meta["file_modification_time"].alias("modified"), F.monotonically_increasing_id().alias("_id"), "value")
+    ranges = scan.groupBy("_path", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("_path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    placed = scan.join(ranges, ["_path", "_block"])
+    return placed.select("file_name", "modified", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line_number"), "value")
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -102,20 +123,40 @@ def flatten_sample_files(texts: DataFrame, column: str, sample: str, call: str)
 
 def shard_parts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Rows of ``shardNN.jsonl`` parts with shard, file time and line; failure ledgers are left out."""
-    text = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file_name"),
-        F.col("_metadata.file_modification_time").alias("modified"), "value")
-    parts = text.where(F.col("file_name").rlike(r"^shard\d+\.jsonl$"))
+    parts = _numbered(spark, path).where(F.col("file_name").rlike(r"^shard\d+\.jsonl$"))
     lines = parts.select("modified", F.regexp_extract("file_name", r"^shard(\d+)", 1).cast("int").alias("shard"),
-                         F.posexplode(F.split("value", "\n")).alias("line", "value"))
+                         (F.col("line_number") - 1).cast("int").alias("line"), "value")
     return lines.where(~is_blank(F.col("value"))).select(
         F.from_json("value", schema).alias("row"), "modified", "shard", "line").select("row.*", "modified", "shard", "line")
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file's bytes with its length."""
-    return spark.read.format("binaryFile").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", F.sha2("content", 256).alias("sha256"))
+def file_digests(spark: SparkSession, path: str, chunk_bytes: int = 4 << 20) -> DataFrame:
+    """SHA-256 of each file's bytes with its length.
+
+    Only names and lengths come from the scan; a task reads a file as a stream of chunks into one
+    chained hash state, so a file of any size takes one chunk of memory. The scan lists no empty files.
+    """
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    # as many tasks as files, up to the session's: one long file does not hold up others
+    dealt = listed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for uri in batch.column(0).to_pylist():
+                # the scan names files without escapes
+                if uri.startswith("file:"):
+                    store, place = fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+                else:
+                    store, place = fs.FileSystem.from_uri(quote(uri, safe=":/"))
+                state = hashlib.sha256()
+                with store.open_input_stream(place) as stream:
+                    while chunk := stream.read(chunk_bytes):
+                        state.update(chunk)
+                digests.append(state.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], ["path", "length", "sha256"])
+    return dealt.mapInArrow(run, "path string, length long, sha256 string").select(
+        F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", "sha256")
 
 
 def line_count(texts: DataFrame, keys: list[str], column: str) -> DataFrame:

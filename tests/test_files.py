@@ -140,3 +140,35 @@ def test_index_round_trip(spark, tmp_path):
     stored, markers = spark.read.parquet(f"{tmp_path}/i/documents"), spark.read.parquet(f"{tmp_path}/i/markers")
     assert pairs(load_index(stored, markers, "m"), "digest", "ordinal") == [("a", 1), ("a", 2)]
     assert load_index(stored, markers, "other").count() == 0
+
+
+def test_line_numbers_hold_when_files_are_cut(spark, tmp_path):
+    os.makedirs(tmp_path / "cut")
+    expected = []
+    for k in range(3):
+        lines = ["" if i % 7 == 0 else json.dumps({"sample_id": f"{k}-{i}", "pad": "x" * (i * 13 % 90)}) for i in range(400)]
+        write(f"{tmp_path}/cut/shard{k}.jsonl", ("\r\n" if k == 1 else "\n").join(lines))
+        expected += [(i + 1, f"{k}-{i}") for i in range(400) if i % 7]
+    write(f"{tmp_path}/cut/shard1.failures.jsonl", '{"sample_id": "failed"}\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        scan = S.json_lines(spark, f"{tmp_path}/cut/shard?.jsonl", "struct<sample_id:string>")
+        assert spark.read.text(f"{tmp_path}/cut/shard?.jsonl").rdd.getNumPartitions() > 30
+        assert sorted((r["row_index"], r["sample_id"]) for r in scan.collect()) == sorted(expected)
+        parts = S.shard_parts(spark, f"{tmp_path}/cut", SCHEMA).collect()
+        assert sorted((r["line"] + 1, f"{r['shard']}", r["sample_id"]) for r in parts) == sorted((n, s[0], s) for n, s in expected)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_digests_of_files_read_in_chunks(spark, tmp_path):
+    os.makedirs(tmp_path / "big")
+    contents = {"a.bin": bytes(range(256)) * 500, "b c.bin": b"1", "ü.bin": b"xyz" * 7}
+    for name, data in contents.items():
+        with open(tmp_path / "big" / name, "wb") as f:
+            f.write(data)
+    rows = S.file_digests(spark, f"{tmp_path}/big", chunk_bytes=1000)
+    got = sorted((r["length"], r["sha256"]) for r in rows.collect())
+    assert got == sorted((len(d), hashlib.sha256(d).hexdigest()) for d in contents.values())
+    assert "content" not in rows._jdf.queryExecution().executedPlan().toString()

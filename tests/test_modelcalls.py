@@ -196,3 +196,88 @@ def test_recover_outermost_strips_fences(spark):
     frame = spark.createDataFrame([('```\n{"a": 1}\n```',), ('x {"a": {"b": 2}} y',), ("{",)], "t string")
     got = [r[0] for r in frame.select(F.to_json(R.recover_outermost(F.col("t")))).collect()]
     assert got == ['{"a":1}', '{"a":{"b":2}}', None]
+
+
+def counting_factory(folder, broken=None):
+    """A model that leaves a file per call, and ends its task the first time it is asked the broken prompt."""
+    def factory():
+        def call(system, user, stage):
+            open(os.path.join(folder, f"{user}-{uuid.uuid4().hex}"), "w").close()
+            if user == broken and not os.path.exists(os.path.join(folder, "ended")):
+                open(os.path.join(folder, "ended"), "w").close()
+                raise KeyboardInterrupt("the task ends here")
+            return "fails" if user == "q3" else {"text": f"reply to {user}", "output_tokens": 3}
+        return call
+    return factory
+
+
+def made_calls(folder):
+    names = [n.split("-")[0] for n in os.listdir(folder) if "-" in n]
+    return {n: names.count(n) for n in set(names)}
+
+
+def test_a_pass_goes_on_where_its_task_ended(spark, tmp_path):
+    calls, journal = str(tmp_path / "calls"), f"file://{tmp_path}/journal"
+    os.makedirs(calls)
+    asked = prompts(spark, [f"q{i}" for i in range(60)])
+    options = {"partitions": 3, "concurrency": 1, "journal": journal, **FAST}
+    with pytest.raises(Exception, match="the task ends here"):
+        call_model(asked, counting_factory(calls, "q41"), "answer", **options).collect()
+    first = made_calls(calls)
+    assert 0 < len(first) < 60 and set(first.values()) == {1}
+    # other settings do not move keys to other tasks
+    rows = call_model(asked, counting_factory(calls, "q41"), "answer", **{**options, "partitions": 7}).collect()
+    assert {r["call_key"]: r["text"] for r in rows} == {str(i): "fails" if i == 3 else f"reply to q{i}" for i in range(60)}
+    assert all(r["output_tokens"] == 3 for r in rows if r["call_key"] != "3") and all(r["request_started_at"] for r in rows)
+    again = made_calls(calls)
+    # only the call that ended its task is made twice
+    assert {n: c for n, c in again.items() if c != 1} == {"q41": 2}
+    call_model(asked, counting_factory(calls), "answer", **options).count()
+    assert made_calls(calls) == again
+
+
+def test_a_torn_line_is_a_call_that_was_not_finished(spark, tmp_path):
+    calls, folder = str(tmp_path / "calls"), str(tmp_path / "journal")
+    os.makedirs(calls)
+    asked = prompts(spark, ["a", "b"])
+    call_model(asked, counting_factory(calls), "answer", partitions=1, journal=folder, **FAST).collect()
+    task = os.path.join(folder, "task-000000")
+    [name] = os.listdir(task)
+    with open(os.path.join(task, name)) as lines:
+        kept = lines.read()
+    with open(os.path.join(task, name), "w") as lines:
+        lines.write(kept[:-20])
+    call_model(asked, counting_factory(calls), "answer", partitions=1, journal=folder, **FAST).collect()
+    assert sorted(made_calls(calls).values()) == [1, 2]
+
+
+def test_a_retried_task_repeats_no_call(tmp_path):
+    """A session that retries tasks runs in a process of its own."""
+    import subprocess
+
+    calls = str(tmp_path / "calls")
+    os.makedirs(calls)
+    program = f"""
+import sys
+sys.path[:0] = {sys.path!r}
+import test_modelcalls as T
+from evalspark.plans.modelcalls import call_model
+from evalspark.session import build_session
+spark = build_session("retries", "local[2,3]", 2)
+rows = call_model(T.prompts(spark, ["q%d" % i for i in range(40)]), T.counting_factory({calls!r}, "q17"), "answer", partitions=2, concurrency=1, **T.FAST).collect()
+assert len(rows) == 40, len(rows)
+"""
+    done = subprocess.run([sys.executable, "-c", program], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert {n: c for n, c in made_calls(calls).items() if c != 1} == {"q17": 2} and len(made_calls(calls)) == 40
+
+
+def test_rounds_write_keys_not_rows(spark, tmp_path, monkeypatch):
+    from evalspark.plans import modelcalls
+
+    written = []
+    monkeypatch.setattr(modelcalls, "cut_lineage", lambda df: written.append(df.columns) or df.cache())
+    rows = prompts(spark, ["x", "y"]).withColumn("memories", F.lit("long"))
+    accepted, _ = validated_pass(rows, lambda: lambda s, u, g: "good", "stage1", lambda r: r.withColumn("problem", F.lit(None).cast("string")), rounds=1, attempts=1, **FAST)
+    assert written[-1] == ["call_key", "text", "problem"]
+    assert {(r["call_key"], r["memories"], r["text"]) for r in accepted.collect()} == {("0", "long", "good"), ("1", "long", "good")}
