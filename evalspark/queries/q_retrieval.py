@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evalspark.functions.embedding import hashed_words
@@ -10,9 +12,11 @@ from evalspark.functions.vectors import l2_normalize
 from evalspark.operators import retrieval as R
 from evalspark.operators.dialogue import dialogue_pairs
 from evalspark.operators.similar import similar_entries
+from evalspark.plans.freeze import Cell, IndexFolder, freeze_retrieval
 from evalspark.queries import query, table
 from evalspark.queries.q_dialogue import _PAIRS
 from evalspark.queries.standins import messages, sql_collapse, sql_strip
+from evalspark.session import ensure_checkpoint_dir
 
 
 def stores(spark, sf):
@@ -168,3 +172,31 @@ def retrieval_similar_entries(spark, sf):
     entries = table(spark, sf, "documents").select(
         F.col("source").alias("store_id"), F.col("doc_id").alias("ordinal"), hashed_words(F.col("text")).alias("vector"))
     return similar_entries(entries).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_FROZEN}, c AS (SELECT store, count(*) AS n, string_agg('### Memory ' || memory_rank || ' (' || date || '):' || chr(10) || {sql_strip('content')}, chr(10) || chr(10) ORDER BY memory_rank) AS body FROM frozen GROUP BY 1),
+sizes AS (SELECT conv_id AS store, count(*) AS messages_count FROM conversations GROUP BY 1),
+runs AS (SELECT * FROM (VALUES ('first', 'built'), ('second', 'reused')) r(run, status))
+SELECT run, a.store AS sample_id, CASE WHEN a.request IS NULL THEN 'empty request' END AS error, CASE WHEN a.request IS NOT NULL THEN status END AS store_status,
+  CASE WHEN a.request IS NOT NULL THEN messages_count END AS messages_count, CASE WHEN a.request IS NOT NULL THEN messages_count END AS marker_messages_count,
+  CASE WHEN a.request IS NOT NULL THEN CAST(coalesce(n, 0) AS BIGINT) END AS retrieved_count,
+  CASE WHEN a.request IS NOT NULL THEN md5(CASE WHEN n IS NULL THEN '[NO RETRIEVED MEMORIES]' ELSE 'Based on the current question, the most relevant [memories] are:' || chr(10) || chr(10) || body END) END AS context_digest
+FROM asked a CROSS JOIN runs LEFT JOIN c USING (store) JOIN sizes USING (store)""")
+def jobs_freeze_retrieval(spark, sf):
+    """The same samples frozen for two cells; the second finds the first one's stores"""
+    folder = f"{ensure_checkpoint_dir(spark)}/freeze/{uuid.uuid4().hex}"
+    index, chat = IndexFolder(f"{folder}/index"), messages(spark, sf)
+    user_turn = F.when(F.col("role") == "user", F.col("turn"))
+    requests = chat.groupBy("sample_id").agg(F.max_by("content", user_turn).alias("request")).withColumn("top_k", F.lit(None).cast("int"))
+
+    def day(turn):
+        return F.date_format(F.date_add(F.lit("2024-03-01").cast("date"), F.floor(turn / 3).cast("int")), "yyyy-MM-dd")
+    out = None
+    for run in ("first", "second"):
+        done = freeze_retrieval(chat, requests, Cell("conversations", run, top_k=4), folder, index, day=day)
+        rows = done.rows.select(
+            F.lit(run).alias("run"), "sample_id", F.lit(None).cast("string").alias("error"), "memory_config.store_status", "memory_config.messages_count",
+            "memory_config.marker_messages_count", F.col("retrieved_count").cast("bigint").alias("retrieved_count"), F.md5("official_context_text").alias("context_digest"))
+        rows = rows.unionByName(done.failures.select(F.lit(run).alias("run"), "sample_id", "error"), allowMissingColumns=True)
+        out = rows if out is None else out.unionByName(rows)
+    return out
