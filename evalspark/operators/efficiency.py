@@ -141,11 +141,15 @@ def run_report(samples: DataFrame, calls: DataFrame) -> DataFrame:
     """Run totals by ``(phase, run_id)`` and again by task inside it (task NULL = all tasks).
 
     A call belongs to the sample with its id, phase and run, and counts under that sample's
-    task; calls without a sample count nowhere. A sample without a wall time took 0 ms.
+    task; calls without a sample count nowhere. Where a sample stands under several tasks, its calls count
+    once, under the first of them. A sample without a wall time took 0 ms.
     """
-    keys = ["phase", "run_id", "task"]
-    owners = samples.select("sample_id", "phase", "run_id", "task").distinct()
-    totals = aggregate_calls(calls.drop("task").join(owners, ["sample_id", "phase", "run_id"]), keys, total_over="task")
+    keys, place = ["phase", "run_id", "task"], ["sample_id", "phase", "run_id"]
+    owners = samples.groupBy(*[F.col(c).alias(f"_o_{c}") for c in place]).agg(F.min("task").alias("task"))
+    same = F.lit(True)
+    for c in place:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    totals = aggregate_calls(calls.drop("task").join(owners, same).drop(*[f"_o_{c}" for c in place]), keys, total_over="task")
     samples = samples.withColumn("sample_wall_time_ms", F.coalesce("sample_wall_time_ms", F.lit(0.0)))
     with_total = samples.withColumn("task", F.explode(F.array(F.lit(None).cast("string"), F.col("task"))))
     return throughput(join_null_safe(sample_statistics(with_total, keys), totals, keys))

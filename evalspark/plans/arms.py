@@ -1,12 +1,15 @@
 """Arms: resumable generation and judging passes built from prompts and model calls.
 
 Every arm skips finished ids with an anti join, runs the model only for the rest, and
-returns the new outputs, the call log and the failures as frames to append.
+returns the new outputs, the call log and the failures as frames to append. Before its first call
+it checks its whole input by a guard; a finding ends the arm without a call.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,7 +17,8 @@ from evalspark.functions import replies as R
 from evalspark.functions.text import identified_memories
 from evalspark.operators.selection import pending
 from evalspark.plans import prompts as P
-from evalspark.plans.modelcalls import ModelFactory, call_model, failure_ledger, last_attempt, validated_pass
+from evalspark.plans.guards import Guard, gate
+from evalspark.plans.modelcalls import CALL_SCHEMA, ModelFactory, call_model, failure_ledger, last_attempt, validated_pass
 from evalspark.session import cut_lineage
 
 
@@ -23,6 +27,26 @@ class ArmResult:
     outputs: DataFrame
     calls: DataFrame
     failures: DataFrame
+    #: Broken guard rules, and cached replies that were refused as stale.
+    findings: DataFrame | None = None
+    #: Valid stage replies with their keys, to be kept for later runs.
+    replies: DataFrame | None = None
+
+
+def _guarded(rows: DataFrame, done: DataFrame, guard: Guard | None, run: Callable[[], ArmResult]) -> ArmResult:
+    """The arm's result, or its findings without a call."""
+    found = cut_lineage((guard or Guard()).findings(rows, done))
+
+    def passed() -> ArmResult:
+        result = run()
+        result.findings = found if result.findings is None else found.unionByName(result.findings)
+        return result
+
+    def refused() -> ArmResult:
+        session = rows.sparkSession
+        failures = found.select(F.col("sample_id").alias("call_key"), F.lit("guard").alias("stage"), F.concat_ws(": ", "check", "detail").alias("error"))
+        return ArmResult(rows.limit(0).withColumn("final_answer", F.lit(None).cast("string")), session.createDataFrame([], CALL_SCHEMA), failures, found)
+    return gate(found, passed, refused)
 
 
 def _answer(rows: DataFrame, prompt: Column, factory: ModelFactory, stage: str, **options) -> ArmResult:
@@ -33,9 +57,9 @@ def _answer(rows: DataFrame, prompt: Column, factory: ModelFactory, stage: str,
     return ArmResult(asked.join(good, "call_key").drop("call_key", "system", "user"), log, failure_ledger(asked, log))
 
 
-def baseline_arm(rows: DataFrame, done: DataFrame, prompt: Column, factory: ModelFactory, **options) -> ArmResult:
+def baseline_arm(rows: DataFrame, done: DataFrame, prompt: Column, factory: ModelFactory, guard: Guard | None = None, **options) -> ArmResult:
     """The official answer prompt for every row without an output."""
-    return _answer(pending(rows, done), prompt, factory, "answer", **options)
+    return _guarded(rows, done, guard, lambda: _answer(pending(rows, done), prompt, factory, "answer", **options))
 
 
 STAGES = {"full": ("stage1", "stage2", "stage3"), "stage1-baseline": ("stage1", "baseline"),
@@ -43,18 +67,31 @@ STAGES = {"full": ("stage1", "stage2", "stage3"), "stage1-baseline": ("stage1",
 
 
 def staged_arm(rows: DataFrame, done: DataFrame, prompts: dict[str, tuple[str, str]], factory: ModelFactory,
-               variant: str = "full", cache: DataFrame | None = None, rounds: int = 3, **options) -> ArmResult:
+               variant: str = "full", cache: DataFrame | None = None, rounds: int = 3, guard: Guard | None = None, **options) -> ArmResult:
     """Boundary cards, use instructions, then the answer; ablations end in a baseline answer.
 
     ``rows(sample_id, current_request, memories array<struct<memory_id, memory_text>>)``;
-    ``prompts`` maps a stage to its ``(system, user template)``. ``cache(sample_id, stage,
-    text)`` holds replies of earlier runs: a stage asks the model only for samples whose
-    cached reply is absent.
+    ``prompts`` maps a stage to its ``(system, user template)``. ``cache(sample_id, stage, cache_key,
+    text)`` holds the ``replies`` of earlier runs. A reply is used only where its key, the fingerprint of
+    variant, stage, prompt and everything filled into it, is the one of this run; a reply of the same sample
+    and stage under another key is stale: it is a finding, and the model is asked again.
     """
+    return _guarded(rows, done, guard, lambda: _staged(rows, done, prompts, factory, variant, cache, rounds, **options))
+
+
+def cache_key(variant: str, stage: str) -> Column:
+    """Fingerprint of a stage's prompt; the prompt holds the request, the memories and earlier replies."""
+    return F.sha2(F.concat_ws("\x00", F.lit(variant), F.lit(stage), F.sha2("system", 256), F.sha2("user", 256)), 256)
+
+
+def _staged(rows: DataFrame, done: DataFrame, prompts: dict[str, tuple[str, str]], factory: ModelFactory,
+            variant: str, cache: DataFrame | None, rounds: int, **options) -> ArmResult:
     ids = F.transform("memories", lambda m: m["memory_id"])
     todo = pending(rows, done)
     logs: list[DataFrame] = []
     ledgers: list[DataFrame] = []
+    findings: list[DataFrame] = []
+    replies: list[DataFrame] = []
     for stage in STAGES[variant][:-1]:
         cards = F.col("stage1_json") if stage == "stage2" else None
         system, template = prompts[stage]
@@ -69,7 +106,15 @@ def staged_arm(rows: DataFrame, done: DataFrame, prompts: dict[str, tuple[str, s
                                         "stage2_json": P.pretty_json(F.struct(F.col("_r.instructions").alias("memory_use_instructions")))}).drop("_v", "_r")
 
         asked = P.add_prompt(todo, P.stage_prompt(system, template, F.col("current_request"), F.col("memories"), cards))
-        stored = None if cache is None else cache.where(F.col("stage") == stage).select("sample_id", "text")
+        stored = None
+        if cache is not None:
+            mine = cache.where(F.col("stage") == stage).select("sample_id", "cache_key", "text")
+            keys = asked.select("sample_id", cache_key(variant, stage).alias("cache_key"))
+            # one reply per sample, the smallest text where a cache holds several
+            stored = cut_lineage(keys.join(mine, ["sample_id", "cache_key"]).groupBy("sample_id").agg(F.min("text").alias("text")))
+            stale = mine.join(keys.withColumnRenamed("cache_key", "_now"), "sample_id").where("cache_key IS DISTINCT FROM _now")
+            findings.append(stale.select(F.lit("stale_cache").alias("check"), F.col("sample_id").cast("string").alias("sample_id"),
+                                         F.concat(F.lit(f"{stage} "), F.coalesce("cache_key", F.lit("none"))).alias("detail")))
         fresh = asked if stored is None else asked.join(stored, "sample_id", "left_anti")
         accepted, log = validated_pass(fresh, factory, stage, check, rounds, **options)
         logs.append(log)
@@ -77,8 +122,11 @@ def staged_arm(rows: DataFrame, done: DataFrame, prompts: dict[str, tuple[str, s
             "call_key", F.lit(stage).alias("stage"), F.lit("no valid reply").alias("error")))
         if stored is not None:
             cached = check(asked.join(stored, "sample_id")).where("problem IS NULL")
-            accepted = accepted.unionByName(cut_lineage(cached.select(*accepted.columns)))
-        todo = accepted.withColumnRenamed("text", f"{stage}_raw").drop("problem", "call_key")
+            accepted = accepted.unionByName(cached.select(*accepted.columns))
+        keyed = asked.select("call_key", "sample_id", cache_key(variant, stage).alias("cache_key"))
+        replies.append(accepted.select("call_key", "text").join(keyed, "call_key").select("sample_id", F.lit(stage).alias("stage"), "cache_key", "text"))
+        # once a stage: the next one reads these rows for its prompts, its replies and its result
+        todo = cut_lineage(accepted.withColumnRenamed("text", f"{stage}_raw").drop("problem", "call_key"))
     last = STAGES[variant][-1]
     system, template = prompts[last]
     instructions = F.col("stage2_json") if "stage2" in STAGES[variant] else None
@@ -91,15 +139,20 @@ def staged_arm(rows: DataFrame, done: DataFrame, prompts: dict[str, tuple[str, s
     calls = result.calls
     for log in logs:
         calls = calls.unionByName(log.drop("round"))
-    return ArmResult(result.outputs, calls, failures)
+    return ArmResult(result.outputs, calls, failures, reduce(DataFrame.unionByName, findings) if findings else None,
+                     reduce(DataFrame.unionByName, replies))
 
 
-def intervention_arm(rows: DataFrame, done: DataFrame, method: str, prompt_of, factory: ModelFactory, **options) -> ArmResult:
+def intervention_arm(rows: DataFrame, done: DataFrame, method: str, prompt_of, factory: ModelFactory, guard: Guard | None = None, **options) -> ArmResult:
     """The four post-retrieval arms over ``rows(sample_id, current_request, memories)``.
 
     ``memories`` holds ``struct(memory_id, content)``; ``prompt_of(memories, query)``
     builds the answer prompt struct from the selected memories. The gate keeps everything.
     """
+    return _guarded(rows, done, guard, lambda: _intervened(rows, done, method, prompt_of, factory, **options))
+
+
+def _intervened(rows: DataFrame, done: DataFrame, method: str, prompt_of, factory: ModelFactory, **options) -> ArmResult:
     todo = pending(rows, done)
     ids = F.transform("memories", lambda m: m["memory_id"])
     logs, ledger = None, None
@@ -132,11 +185,15 @@ def intervention_arm(rows: DataFrame, done: DataFrame, method: str, prompt_of, f
     return ArmResult(result.outputs, result.calls, failures)
 
 
-def judge_arm(outputs: DataFrame, done: DataFrame, prompt: Column, interpret, factory: ModelFactory, **options) -> ArmResult:
+def judge_arm(outputs: DataFrame, done: DataFrame, prompt: Column, interpret, factory: ModelFactory, guard: Guard | None = None, **options) -> ArmResult:
     """Judge every output without a record; a reply that fails validation is never stored.
 
     ``interpret(text)`` returns a struct with a ``problems`` array.
     """
+    return _guarded(outputs, done, guard, lambda: _judged(outputs, done, prompt, interpret, factory, **options))
+
+
+def _judged(outputs: DataFrame, done: DataFrame, prompt: Column, interpret, factory: ModelFactory, **options) -> ArmResult:
     asked = P.add_prompt(pending(outputs, done), prompt)
     log = cut_lineage(call_model(asked, factory, "judge", **options))
     replies = last_attempt(log).where("success").select("call_key", F.col("text").alias("judge_raw"))

@@ -5,8 +5,9 @@ line per finished key, and reads the files of the attempts before it when it sta
 dealt to tasks by their hash over a fixed number of tasks, which the folder remembers, so a key
 is always looked for where it was written. A torn last line is a call that was not finished.
 
-On a mounted file system each line is on disk before its row is handed on; on other stores a
-file appears when it is closed, so there a file holds at most ``SEGMENT`` keys.
+On a mounted file system each line leaves the process before its row is handed on, and is forced to
+disk when the last time was ``SYNC_SECONDS`` ago; on other stores a file appears when it is closed, so
+there a file holds at most ``SEGMENT`` keys.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from __future__ import annotations
 import json
 import os
 import threading
+import time
 import uuid
 from dataclasses import dataclass
 from datetime import datetime
 
+#: A lost machine, not a lost process, may cost the calls of this time again.
+SYNC_SECONDS = 0.5
 #: Keys per file on stores whose files appear when they are closed.
 SEGMENT = 32
 #: Columns of a call that are moments in time.
@@ -85,7 +89,7 @@ class Writer:
 
     def __init__(self, journal: Journal, place: str) -> None:
         self._journal, self._place, self._lock = journal, place, threading.Lock()
-        self._file, self._lines = None, []
+        self._file, self._lines, self._synced = None, [], 0.0
 
     def record(self, rows: list[dict]) -> None:
         """Keep the attempts of one finished key."""
@@ -104,7 +108,9 @@ class Writer:
                 self._file = open(os.path.join(path, self._place, f"{uuid.uuid4().hex}.jsonl"), "a", encoding="utf-8")
             self._file.write(line + "\n")
             self._file.flush()
-            os.fsync(self._file.fileno())
+            if time.monotonic() - self._synced >= SYNC_SECONDS:
+                os.fsync(self._file.fileno())
+                self._synced = time.monotonic()
 
     def _segment(self) -> None:
         from pyarrow import fs
@@ -120,5 +126,6 @@ class Writer:
             if self._lines:
                 self._segment()
             if self._file is not None:
+                os.fsync(self._file.fileno())
                 self._file.close()
                 self._file = None

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from evalspark.functions import replies
 from evalspark.operators import checks as C, metrics as M, selection as S
 from evalspark.plans import arms as A, jobs as J, prompts as P
+from evalspark.plans.guards import Guard
 from evalspark.plans.modelcalls import call_model, last_attempt
 from evalspark.queries import query, table
 from evalspark.queries.q_checks import _ROW_RULES, _ROWS, retrieval_rows
 from evalspark.queries.q_metrics import _DIMS, _PASS, _RATES, _rates, judgements, pass_rows
 from evalspark.queries.q_selection import _PARTS, parts
 from evalspark.queries.standins import SQL_LINES, expected_samples, lines, scores, sql_strip
+from evalspark.session import cut_lineage
 
 
 def digest_model():
@@ -135,6 +137,44 @@ def jobs_staged_ablation(spark, sf):
     return A.staged_arm(_slim(spark, sf), _done(spark, sf), STAGE_PROMPTS, staged_model, "stage1-baseline", **NO_WAIT).outputs.select("sample_id", "final_answer")
 
 
+@query(f"""WITH {_TODO} SELECT sample_id, len(mem) || ':' || md5(array_to_string(list_transform(mem, lambda x: 'use s' || length(x)), '|')) AS final_answer FROM todo""")
+def jobs_staged_ablation_two(spark, sf):
+    """L4: stages 1 and 2, then the baseline answer with the instructions"""
+    prompts = {**STAGE_PROMPTS, "baseline": STAGE_PROMPTS["stage3"]}
+    return A.staged_arm(_slim(spark, sf), _done(spark, sf), prompts, staged_model, "stage1-stage2-baseline", **NO_WAIT).outputs.select("sample_id", "final_answer")
+
+
+@query(f"""WITH {_TODO}, n AS (SELECT count(*) AS n FROM todo)
+SELECT stage, calls, stale FROM (SELECT 'stage1' AS stage, 0 AS calls, 0 AS stale UNION ALL SELECT 'stage2', n, n FROM n UNION ALL SELECT 'stage3', n, 0 FROM n)""")
+def jobs_staged_cache(spark, sf):
+    """Replies of a run are used again under their keys; where a stage's prompt changed they are stale"""
+    first = A.staged_arm(_slim(spark, sf), _done(spark, sf), STAGE_PROMPTS, staged_model, "full", **NO_WAIT)
+    changed = {**STAGE_PROMPTS, "stage2": ("another", STAGE_PROMPTS["stage2"][1])}
+    second = A.staged_arm(_slim(spark, sf), _done(spark, sf), changed, staged_model, "full", cut_lineage(first.replies), **NO_WAIT)
+    stages = spark.createDataFrame([("stage1",), ("stage2",), ("stage3",)], "stage string")
+    made = second.calls.groupBy("stage").agg(F.count(F.lit(1)).alias("calls"))
+    stale = second.findings.where(F.col("check") == "stale_cache").groupBy(F.split("detail", " ")[0].alias("stage")).agg(F.count(F.lit(1)).alias("stale"))
+    return stages.join(made, "stage", "left").join(stale, "stage", "left").select(
+        "stage", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("calls", "stale")])
+
+
+@query("""WITH d AS (SELECT doc_id AS sample_id, source, lang FROM documents), l0 AS (SELECT doc_id AS sample_id, quality, toxic FROM labels), l AS (SELECT * FROM l0 UNION ALL SELECT * FROM l0 WHERE toxic = 1),
+f AS (SELECT 'wrong_arm' AS "check", CAST(sample_id AS VARCHAR) AS sample_id, 'arm ' || lang AS detail FROM d WHERE lang <> 'en'
+ UNION ALL SELECT 'prompt_drift', CAST(sample_id AS VARCHAR), 'answer p' || quality FROM l WHERE quality <> 1
+ UNION ALL SELECT 'config_drift', CAST(sample_id AS VARCHAR), 'c' || toxic FROM l WHERE toxic <> 0
+ UNION ALL SELECT 'duplicate_records', CAST(sample_id AS VARCHAR), count(*) || ' rows' FROM l GROUP BY sample_id HAVING count(*) > 1)
+SELECT "check", sample_id, detail, CAST(0 AS BIGINT) AS calls FROM f""")
+def jobs_guarded_arm(spark, sf):
+    """2.14 input guards, M3: findings over the whole input, and no call"""
+    labels = table(spark, sf, "labels").select(
+        F.col("doc_id").alias("sample_id"), F.create_map(F.lit("answer"), F.concat(F.lit("p"), F.col("quality"))).alias("prompt_hashes"),
+        F.concat(F.lit("c"), F.col("toxic")).alias("run_fingerprint"), "toxic")
+    rows = _rows(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("arm")), "sample_id")
+    prompt = P.memory_answer_prompt(ANSWER_TEMPLATE, F.transform("memories", lambda m: m["content"]), F.col("current_request"), "gen")
+    result = A.baseline_arm(rows, labels.unionByName(labels.where("toxic = 1")), prompt, digest_model, Guard("en", {"answer": "p1"}, "c0"), **NO_WAIT)
+    return result.findings.select("check", "sample_id", "detail", F.lit(result.calls.count()).cast("bigint").alias("calls"))
+
+
 def _intervention(spark, sf, method):
     def prompt_of(memories, q):
         return P.memory_answer_prompt(ANSWER_TEMPLATE, F.transform(memories, lambda m: m["content"]), q, "gen")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evalspark.queries import query, table
 from evalspark.queries.standins import SQL_K, SQL_LINES, k_of, lines, sql_strip
+from evalspark.session import ensure_checkpoint_dir
+from evalspark.sinks.tables import read_sorted, write_sorted
 from evalspark.sources import files as S
 
 
@@ -64,3 +68,13 @@ def source_load_arms(spark, sf):
     outputs = docs.select("source", F.when(F.col("lang") == "es", "not JSON").alias("problem"))
     judged = table(spark, sf, "labels").join(docs.select("doc_id", "source"), "doc_id").select("source", F.when(F.col("toxic") == 1, "not JSON").alias("problem"))
     return S.load_arms(expected, names.where("source <> 'src7'"), outputs, judged, ["source"])
+
+
+@query("""SELECT row_number() OVER (ORDER BY ts, event_id) AS position, event_id, user_id FROM events""")
+def sink_sorted_calls(spark, sf):
+    """H1, H2, B2: calls written in total order by start time, published whole, and read back with their positions"""
+    path = f"{ensure_checkpoint_dir(spark)}/sorted/{uuid.uuid4().hex}"
+    calls = table(spark, sf, "events").select("ts", "event_id", "user_id")
+    write_sorted(calls, path, ["user_id", "event_id"])  # an older version, replaced whole
+    write_sorted(calls, path, ["ts", "event_id"], part_rows=2_000)
+    return read_sorted(spark, path, "event_id bigint, user_id bigint")

@@ -30,10 +30,10 @@ def json_array(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file_name, line_number, value`` with physical line numbers, blank lines counted then dropped."""
-    return _numbered(spark, path).where(~is_blank(F.col("value"))).select("file_name", F.col("line_number").cast("int").alias("line_number"), "value")
+    return all_lines(spark, path).where(~is_blank(F.col("value"))).select("file_name", F.col("line_number").cast("int").alias("line_number"), "value")
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
+def all_lines(spark: SparkSession, path: str) -> DataFrame:
     """Every line with its file and its 1-based number in it.
 
     A scan task numbers its rows upwards, and the rows of one byte range follow each other, so a
@@ -123,7 +123,7 @@ def flatten_sample_files(texts: DataFrame, column: str, sample: str, call: str)
 
 def shard_parts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Rows of ``shardNN.jsonl`` parts with shard, file time and line; failure ledgers are left out."""
-    parts = _numbered(spark, path).where(F.col("file_name").rlike(r"^shard\d+\.jsonl$"))
+    parts = all_lines(spark, path).where(F.col("file_name").rlike(r"^shard\d+\.jsonl$"))
     lines = parts.select("modified", F.regexp_extract("file_name", r"^shard(\d+)", 1).cast("int").alias("shard"),
                          (F.col("line_number") - 1).cast("int").alias("line"), "value")
     return lines.where(~is_blank(F.col("value"))).select(

@@ -172,3 +172,28 @@ def test_digests_of_files_read_in_chunks(spark, tmp_path):
     got = sorted((r["length"], r["sha256"]) for r in rows.collect())
     assert got == sorted((len(d), hashlib.sha256(d).hexdigest()) for d in contents.values())
     assert "content" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sorted_tables_are_replaced_whole(spark, tmp_path):
+    rows = spark.range(0, 500).select((F.col("id") * 37 % 500).alias("n"), F.concat(F.lit("r"), F.col("id")).alias("name"))
+    path, kind = f"{tmp_path}/sorted", "n bigint, name string"
+    T.write_sorted(rows.limit(3), path, ["n"])
+    place = T.write_sorted(rows, path, ["n"], part_rows=60)
+    assert len([f for f in os.listdir(place) if f.startswith("part-")]) > 4
+    got = T.read_sorted(spark, path, kind).orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(1, 501)) and [r["n"] for r in got] == list(range(500))
+    # a version without its mark is not seen
+    rows.limit(1).write.json(f"{path}/versions/lost")
+    assert T.read_sorted(spark, path, kind).count() == 500
+
+
+def test_calls_of_a_sample_under_two_tasks_count_once(spark):
+    from evalspark.operators.efficiency import run_report
+
+    sample = "sample_id string, phase string, run_id string, task string, success boolean, sample_wall_time_ms double, input_tokens bigint, output_tokens bigint, total_tokens bigint, sample_started_at timestamp, sample_finished_at timestamp, run_started_at timestamp"
+    moment = __import__("datetime").datetime(2024, 1, 1)
+    samples = spark.createDataFrame([("s", "p", None, t, True, 1.0, 1, 1, 2, moment, moment, moment) for t in ("a", "b")], sample)
+    call = "sample_id string, phase string, run_id string, stage string, attempt int, success boolean, latency_ms double, retry_sleep_ms double, usage_available boolean, input_tokens bigint, output_tokens bigint, total_tokens bigint, cached_input_tokens bigint, reasoning_tokens bigint"
+    calls = spark.createDataFrame([("s", "p", None, "x", 1, True, 5.0, 0.0, True, 1, 1, 2, 0, 0)] * 3, call).withColumn("task", F.lit("a"))
+    rows = {r["task"]: r["api_call_count"] for r in run_report(samples, calls).collect()}
+    assert rows == {None: 3, "a": 3, "b": None}

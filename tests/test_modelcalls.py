@@ -109,7 +109,9 @@ def test_staged_arm_resumes_caches_and_ledgers(spark):
     card = json.dumps({"memory_boundary_cards": [
         {"memory_id": "m1", "key_factors": [], "conditional_use_rules": ["r"], "boundary_summary": "s"},
         {"memory_id": "m2", "key_factors": [], "conditional_use_rules": ["r"], "boundary_summary": "s"}]})
-    cache = spark.createDataFrame([(1, "stage1", card)], "sample_id int, stage string, text string")
+    system, template = STAGES["stage1"]
+    asked = P.add_prompt(rows.where("sample_id = 1"), P.stage_prompt(system, template, F.col("current_request"), F.col("memories"), None))
+    cache = asked.select("sample_id", F.lit("stage1").alias("stage"), A.cache_key("full", "stage1").alias("cache_key"), F.lit(card).alias("text"))
     result = A.staged_arm(rows, done, STAGES, staged_factory, "full", cache, rounds=2, attempts=1, **FAST)
     answers = {r["sample_id"]: r["final_answer"] for r in result.outputs.collect()}
     assert answers == {1: "answer q1 2", 2: "answer q2 3", 3: "answer q3 4"}
@@ -281,3 +283,52 @@ def test_rounds_write_keys_not_rows(spark, tmp_path, monkeypatch):
     accepted, _ = validated_pass(rows, lambda: lambda s, u, g: "good", "stage1", lambda r: r.withColumn("problem", F.lit(None).cast("string")), rounds=1, attempts=1, **FAST)
     assert written[-1] == ["call_key", "text", "problem"]
     assert {(r["call_key"], r["memories"], r["text"]) for r in accepted.collect()} == {("0", "long", "good"), ("1", "long", "good")}
+
+
+def test_cached_replies_are_used_under_their_keys_only(spark):
+    rows = memory_rows(spark).where("sample_id < 4")
+    none = rows.where("false").select("sample_id")
+    first = A.staged_arm(rows, none, STAGES, staged_factory, "full", rounds=1, attempts=1, **FAST)
+    cache = spark.createDataFrame(first.replies.collect(), first.replies.schema)
+    assert cache.groupBy("stage").count().orderBy("stage").collect() == [("stage1", 4), ("stage2", 4)]
+
+    def stages_of(prompts, variant="full", data=rows):
+        result = A.staged_arm(data, none, prompts, staged_factory, variant, cache, rounds=1, attempts=1, **FAST)
+        made = [r["stage"] for r in result.calls.collect()]
+        stale = sorted(r["detail"].split(" ")[0] for r in result.findings.where("check = 'stale_cache'").collect())
+        return {s: made.count(s) for s in set(made)}, stale, result.outputs.count()
+    assert stages_of(STAGES) == ({"stage3": 4}, [], 4)
+    # another prompt, another variant, other memories: asked again, and the old replies are listed
+    assert stages_of({**STAGES, "stage1": ("other", STAGES["stage1"][1])}) == ({"stage1": 4, "stage3": 4}, ["stage1"] * 4, 4)
+    baseline = {**STAGES, "baseline": STAGES["stage3"]}
+    assert stages_of(baseline, "stage1-stage2-baseline") == ({"stage1": 4, "stage2": 4, "baseline": 4}, ["stage1"] * 4 + ["stage2"] * 4, 4)
+    edited = rows.withColumn("memories", F.when(F.col("sample_id") == 2, F.transform("memories", lambda m: F.struct(
+        m["memory_id"].alias("memory_id"), F.concat(m["memory_text"], F.lit("!")).alias("memory_text")))).otherwise(F.col("memories")))
+    assert stages_of(STAGES, data=edited) == ({"stage1": 1, "stage2": 1, "stage3": 4}, ["stage1", "stage2"], 4)
+
+
+def test_a_guard_stops_every_arm_before_its_first_call(spark):
+    from evalspark.plans.guards import Guard
+
+    def never():
+        raise AssertionError("no client is made")
+
+    def prompt_of(memories, query):
+        return F.struct(F.lit("s").alias("system"), query.alias("user"))
+    rows = memory_rows(spark).withColumn("arm", F.when(F.col("sample_id") == 3, "other").otherwise("mine"))
+    twice = rows.unionByName(rows.where("sample_id = 1"))
+    done = spark.createDataFrame([(0, {"answer": "p1"}, "c1"), (4, {"answer": "p0"}, "c1"), (2, None, None)], "sample_id int, prompt_hashes map<string,string>, run_fingerprint string")
+    prompt = F.struct(F.lit("s").alias("system"), F.col("current_request").alias("user"))
+    guard = Guard("mine", {"answer": "p1"}, "c1")
+    want = {("duplicate_ids", "1", "2 rows"), ("wrong_arm", "3", "arm other"), ("prompt_drift", "4", "answer p0"), ("prompt_drift", "2", "answer none"), ("config_drift", "2", "none")}
+    arms = [lambda g: A.baseline_arm(twice, done, prompt, never, guard=g), lambda g: A.staged_arm(twice, done, STAGES, never, guard=g),
+            lambda g: A.intervention_arm(twice, done, "memgate", prompt_of, never, guard=g),
+            lambda g: A.judge_arm(twice, done, prompt, lambda t: F.struct(F.array().alias("problems")), never, guard=g)]
+    for arm in arms:
+        result = arm(guard)
+        assert {tuple(r) for r in result.findings.collect()} == want
+        assert result.calls.count() == 0 and result.outputs.count() == 0 and result.failures.count() == len(want)
+        # repeated ids are checked without any declaration
+        assert [tuple(r) for r in arm(None).findings.collect()] == [("duplicate_ids", "1", "2 rows")]
+    passed = A.baseline_arm(rows, done.limit(0), prompt, lambda: lambda s, u, g: "ok", guard=Guard(), attempts=1, **FAST)
+    assert passed.findings.count() == 0 and passed.outputs.count() == 5
