@@ -81,52 +81,84 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], chun
     return with_running_sum(df, keys, order, chunk, F.lit(1).cast("bigint"), name)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, tuple[str, float]],
-                    accuracy: int = 2000) -> DataFrame:
-    """Exact order statistics per key without collecting a key's values.
-
-    ``probabilities`` maps output names to ``("disc", p)`` (nearest rank) or
-    ``("cont", p)`` (linear interpolation, 0.5 is the median). Pass one brackets every
-    wanted rank with approximate quantiles, whose rank error is bounded by
-    ``n / accuracy``; pass two counts the rows below each bracket and the distinct values
-    inside it, and reads the exact rank off those counts.
+#: Buckets of a refinement pass, magnitude classes of a factor of two, passes after the
+#: first: doubles of one class need 47 bits, three passes resolve 48.
+BUCKETS = 1 << 16
+CLASSES = 64
+PASSES = 3
+#: Parts that a key's distinct values are dealt over when they meet the key's targets.
+SALTS = 16
+
+
+def _magnitude(x: Column) -> Column:
+    """A class that never falls while ``x`` rises: sign and logarithm, infinities and NaN outermost."""
+    size = F.floor(F.log2(F.abs(x)) * CLASSES).cast("int") + 70000
+    infinity = F.lit(float("inf"))
+    return (F.when(F.isnan(x), F.lit(200000)).when(x == 0, F.lit(0)).when(x == infinity, F.lit(150000))
+            .when(x == -infinity, F.lit(-150000)).otherwise(F.when(x > 0, size).otherwise(-size)))
+
+
+def _rank_within(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_below``, the values in buckets before this one. A key has a bounded number of buckets."""
+    before = _keyed_window(keys, F.col("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("_below", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
+                    probabilities: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exact order statistics per key without collecting or sorting a key's values.
+
+    ``probabilities`` maps output names to ``("disc", p)`` (nearest rank) or ``("cont", p)``
+    (linear interpolation, 0.5 is the median). Equal values become one row with a count. The
+    first pass counts them by sign and magnitude class and keeps, per wanted rank, the class
+    that holds it and the rank inside; every further pass cuts the range between the least
+    and greatest value found there into ``BUCKETS`` equal parts and counts again, until one double
+    is left. Counts combine map-side, windows see buckets only (at most ``BUCKETS``, 280,000
+    classes in the first pass), buckets cover the whole range, so no rank can be missed, and keys of
+    every size take the same path. NULL values are left out, NaN counts as greatest, a key
+    without a value has no row; NULL is a key of its own.
     """
-    names = list(probabilities)
-    slack = 2.0 / accuracy
-    wanted = df.where(F.col(value).isNotNull()).withColumn("_x", F.col(value).cast("double"))
-    bounds = [x for n in names for x in (max(0.0, probabilities[n][1] - slack), min(1.0, probabilities[n][1] + slack))]
-    brackets = wanted.groupBy(*keys).agg(
-        F.count("_x").alias("_n"),
-        F.percentile_approx("_x", bounds, accuracy).alias("_b"), F.min("_x").alias("_min"), F.max("_x").alias("_max"))
-    picks = []
-    for i, name in enumerate(names):
-        kind, p = probabilities[name]
-        # small keys use their whole range; an outermost bracket covers the extreme value
-        n = F.col("_n")
-        small_key = n <= 10 * accuracy
-        low = F.when(F.lit(p - slack <= 0) | small_key, F.col("_min")).otherwise(F.get("_b", F.lit(2 * i)))
-        high = F.when(F.lit(p + slack >= 1) | small_key, F.col("_max")).otherwise(F.get("_b", F.lit(2 * i + 1)))
-        rank = F.greatest(F.ceil(n * p), F.lit(1)) if kind == "disc" else F.floor((n - 1) * p) + 1
-        weight = F.lit(0.0) if kind == "disc" else (n - 1) * p - F.floor((n - 1) * p)
-        picks.append(F.struct(F.lit(name).alias("name"), low.alias("low"), high.alias("high"),
-                              rank.cast("bigint").alias("rank"), weight.cast("double").alias("weight")))
-    # one small row per key and quantile; all counters below are combined map-side
-    targets = brackets.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.inline(F.array(*picks)))
-    same_key = F.lit(True)
-    for k in keys:
-        same_key = same_key & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    small = F.broadcast(targets) if not keys else targets
-    paired = wanted.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")).join(small, same_key)
-    at = F.when(F.col("_x") >= F.col("low"), F.col("_x"))
-    counted = (paired.where(F.col("_x") <= F.col("high"))
-               .groupBy(*keys, "name", "rank", "weight", at.alias("_at")).agg(F.sum("_c").alias("_c")))
-    over = W.partitionBy(*keys, "name").orderBy(F.col("_at").asc_nulls_first())
-    cumulative = (counted.withColumn("_upto", F.sum("_c").over(over.rowsBetween(W.unboundedPreceding, 0))))
-    # the neighbour above the rank is needed for interpolation and may lie past the bracket
-    found = cumulative.groupBy(*keys, "name", "rank", "weight").agg(
-        F.min(F.when(F.col("_upto") >= F.col("rank"), F.col("_at"))).alias("_lo"),
-        F.min(F.when(F.col("_upto") >= F.col("rank") + 1, F.col("_at"))).alias("_hi"))
-    exact = F.when(F.col("weight") > 0, F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("weight")).otherwise(F.col("_lo"))
-    missed = F.col("_lo").isNull() | ((F.col("weight") > 0) & F.col("_hi").isNull())
-    checked = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank"))).otherwise(exact)
-    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, checked)).alias(n) for n in names])
+    keyed = [f"_k_{k}" for k in keys]
+    values = (df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+              .groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    bounds = [F.sum("_c").alias("_c"), F.min("_x").alias("low"), F.max("_x").alias("high")]
+    classes = _rank_within(values.groupBy(*keys, _magnitude(F.col("_x")).alias("_bucket")).agg(*bounds), keys)
+    everything = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0)))
+    classes = classes.withColumn("_n", F.sum("_c").over(everything))
+    n, wanted = F.col("_n"), []
+    for name, (kind, p) in probabilities.items():
+        if kind == "disc":
+            ranks, weight = [F.greatest(F.ceil(n * p), F.lit(1))], F.lit(0.0)
+        else:
+            first = F.floor((n - 1) * p) + 1
+            ranks, weight = [first, F.least(first + 1, n)], (n - 1) * p - F.floor((n - 1) * p)
+        wanted += [F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), weight.cast("double").alias("weight"),
+                            rank.cast("bigint").alias("rank")) for side, rank in enumerate(ranks)]
+    place = ["name", "side", "weight"]
+    targets = classes.select(*keys, "_c", "_below", "low", "high", F.inline(F.array(*wanted)))
+    for done in range(PASSES + 1):
+        here = (F.col("rank") > F.col("_below")) & (F.col("rank") <= F.col("_below") + F.col("_c"))
+        targets = targets.where(here).select(*keys, *place, (F.col("rank") - F.col("_below")).alias("rank"), "low", "high")
+        if done == PASSES:
+            break
+        # one small row per key holds all its targets; salted, so that a hot key's values stay apart
+        packed = targets.groupBy(*keys).agg(F.collect_list(F.struct(*place, "rank", "low", "high")).alias("_t")).select(
+            *[F.col(k).alias(c) for k, c in zip(keys, keyed)], "_t",
+            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_k_salt"))
+        met = F.pmod(F.hash("_x"), F.lit(SALTS)) == F.col("_k_salt")
+        for k, c in zip(keys, keyed):
+            met = met & F.col(k).eqNullSafe(F.col(c))
+        x = F.col("_x")
+        inside = values.join(packed, met).select(*keys, "_x", "_c", F.inline(
+            F.filter("_t", lambda t: x.between(t["low"], t["high"]))))
+        part = F.floor((x - F.col("low")) / (F.col("high") - F.col("low")) * BUCKETS).cast("int")
+        bucket = F.when(F.col("low") == F.col("high"), F.lit(0)).otherwise(part)
+        counted = (inside.withColumn("_bucket", bucket).groupBy(*keys, *place, "rank", "_bucket").agg(*bounds))
+        targets = _rank_within(counted, [*keys, *place, "rank"])
+    outputs = []
+    for name in probabilities:
+        def side(i: int, name: str = name) -> Column:
+            return F.max(F.when((F.col("name") == name) & (F.col("side") == i), F.col("low")))
+        weight = F.max(F.when(F.col("name") == name, F.col("weight")))
+        outputs.append(F.when(weight > 0, side(0) + (side(1) - side(0)) * weight).otherwise(side(0)).alias(name))
+    return targets.groupBy(*keys).agg(*outputs)

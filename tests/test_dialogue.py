@@ -1,7 +1,9 @@
 """Window and array forms against independent formulations on random dialogues."""
 
+import math
 import random
 import re
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,19 +107,49 @@ def test_running_sum_and_position_over_chunks(spark):
             assert seen[(k, o)] == (total, p)
 
 
-@pytest.mark.parametrize("size, accuracy", [(1, 50), (2, 50), (7, 50), (400, 10), (5000, 20), (5000, 100)])
-def test_exact_quantiles(spark, size, accuracy):
-    import math
-    import statistics
-
-    rng = random.Random(size)
-    values = [round(rng.choice([rng.gauss(0, 1), 0.0, 5.0, rng.expovariate(0.1)]), 2) for _ in range(size)]
-    table = spark.createDataFrame([("a", v) for v in values] + [("b", None)], "k string, v double")
-    row = O.exact_quantiles(table, ["k"], "v", {"m": ("cont", 0.5), "p95": ("disc", 0.95), "p99": ("disc", 0.99), "lo": ("disc", 0.001)}, accuracy).first()
-    ordered = sorted(values)
-    assert row["m"] == pytest.approx(statistics.median(values))
-    for name, p in (("p95", 0.95), ("p99", 0.99), ("lo", 0.001)):
-        assert row[name] == ordered[max(0, math.ceil(size * p) - 1)]
+def _nearest(ordered, p):
+    return ordered[max(0, math.ceil(len(ordered) * p) - 1)]
+
+
+WANTED = {"m": ("cont", 0.5), "p95": ("disc", 0.95), "p99": ("disc", 0.99), "lo": ("disc", 0.001)}
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(9)
+    groups = {str(size): [round(rng.choice([rng.gauss(0, 1), 0.0, 5.0, rng.expovariate(0.1)]), 2) for _ in range(size)]
+              for size in (1, 2, 7, 400, 5000)}
+    groups[None] = [float(v) for v in range(-50, 51)]
+    table = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("none", None)], "k string, v double")
+    found = {r["k"]: r for r in O.exact_quantiles(table, ["k"], "v", WANTED).collect()}
+    assert set(found) == set(groups)
+    for k, vs in groups.items():
+        ordered = sorted(vs)
+        assert found[k]["m"] == pytest.approx(statistics.median(ordered))
+        for name, p in (("p95", 0.95), ("p99", 0.99), ("lo", 0.001)):
+            assert found[k][name] == _nearest(ordered, p)
+
+
+def test_exact_quantiles_resolve_every_double(spark):
+    """Neighbouring doubles, all magnitudes, both signs, infinities, NaN, and one value in most rows."""
+    rng = random.Random(4)
+    near = [1.9999]
+    for _ in range(2000):
+        near.append(math.nextafter(near[-1], 3.0))
+    wide = [rng.choice([-1, 1]) * math.ldexp(rng.random(), rng.randint(-1070, 1020)) for _ in range(2000)]
+    ends = [float("-inf"), -1.0, -0.0, 0.0, 5e-324, 1.7e308, float("inf")]
+    hot = [3.25] * 3000 + [2.0, 4.0]
+    groups = {"near": near, "wide": wide, "ends": ends, "hot": hot}
+    table = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
+    wanted = {f"p{i}": ("disc", i / 40) for i in range(0, 41, 5)}
+    found = {r["k"]: r for r in O.exact_quantiles(table, ["k"], "v", wanted).collect()}
+    for k, vs in groups.items():
+        for i in range(0, 41, 5):
+            assert found[k][f"p{i}"] == _nearest(sorted(vs), i / 40), (k, i)
+    whole = O.exact_quantiles(spark.createDataFrame([(v,) for v in near + [float("nan")]], "v double"), [], "v",
+                              {"top": ("disc", 1.0), "mid": ("disc", 0.5)}).first()
+    assert math.isnan(whole["top"]) and whole["mid"] == _nearest(near + [9.0], 0.5)
+    empty = table.where("false")
+    assert O.exact_quantiles(empty, ["k"], "v", wanted).count() == 0
 
 
 def test_text_functions_follow_python(spark):
