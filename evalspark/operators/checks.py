@@ -93,13 +93,18 @@ def store_checks(rows: DataFrame, samples: DataFrame, markers: DataFrame) -> Dat
     ``rows``: cell, dataset, sample_id, row_index and the recorded ``memory_config``
     columns with the store's ``save_dir``; ``samples``: sample_id, expected_digest,
     expected_messages, expected_prior_sha256, sample_ingest_mode, sample_top_k; ``markers``:
-    save_dir, digest, marker_file_count, has_documents (one row per store).
+    save_dir, digest, marker_file_count, has_documents (one row per store). With a column ``marker_state``
+    ('readable', 'unreadable' or 'missing') a row stands for a store's folder: a store without a
+    row has no folder, and a marker that is missing or unreadable is judged no further.
     """
+    stated = "marker_state" in markers.columns
+    markers = markers if stated else markers.withColumn("marker_state", F.lit("readable"))
     joined = (rows.join(samples.withColumn("_known", F.lit(True)), "sample_id", "left")
               .join(markers.select("save_dir", F.col("digest").alias("_marker_digest"), "marker_file_count", "has_documents",
-                                   F.lit(True).alias("_marker")), "save_dir", "left"))
+                                   F.col("marker_state").alias("_marker")), "save_dir", "left"))
     known = F.coalesce("_known", F.lit(False)) & F.col("row_index").isNotNull()
-    marked = known & F.col("_marker").isNotNull()
+    marked = known & F.col("_marker").eqNullSafe("readable")
+    absent, lost = known & F.col("_marker").isNull(), known & F.col("_marker").eqNullSafe("missing")
     per_sample = F.col("sample_top_k").isNotNull()
 
     def differs(a: str, b: str | Column) -> Column:
@@ -120,13 +125,20 @@ def store_checks(rows: DataFrame, samples: DataFrame, markers: DataFrame) -> Dat
         ("store_top_k", FAIL, known & per_sample & differs("top_k", "sample_top_k"), F.col("top_k")),
         ("store_top_k_schema", FAIL, known & ~F.coalesce(F.col("top_k") > 0, F.lit(False)), F.col("top_k")),
         ("store_status", FAIL, known & ~F.coalesce(F.col("store_status").isin(*STORE_STATES), F.lit(False)), F.col("store_status")),
-        ("store_marker_missing", FAIL, known & F.col("_marker").isNull(), ""),
+        ("store_dir_missing", FAIL, absent & F.lit(stated), F.col("save_dir")),
+        ("store_marker_missing", FAIL, lost if stated else absent, ""),
+        ("store_marker_unreadable", FAIL, known & F.col("_marker").eqNullSafe("unreadable"), F.col("save_dir")),
         ("store_marker_digest", FAIL, marked & differs("_marker_digest", "expected_digest"), F.col("_marker_digest")),
         ("store_marker_file_count", FAIL, marked & differs("marker_file_count", "expected_messages"), F.col("marker_file_count")),
         ("store_documents_missing", FAIL, marked & ~F.coalesce("has_documents", F.lit(False)), ""),
     ], sample_id=F.col("sample_id"))
 
 
+def store_dataset_checks(cells: DataFrame) -> DataFrame:
+    """Cells (``cell, dataset_error``) whose source dataset could not be read; NULL: it could."""
+    return findings(cells, "store", [("store_dataset_unreadable", FAIL, F.col("dataset_error").isNotNull(), F.col("dataset_error"))])
+
+
 def alignment_cell_checks(arms: DataFrame) -> DataFrame:
     """Arm facts: ``cell, run_index, has_config, config_unreadable, outputs, duplicates,
     first_divergence, config_retrieval_sha256, retrieval_sha256, config_retrieval_path,
@@ -201,6 +213,15 @@ def arm_config_checks(baseline: DataFrame, staged: DataFrame, keys: list[str]) -
     return findings(pair, "arms", rules, cell=F.concat_ws("/", *keys))
 
 
+def arm_presence_checks(arms: DataFrame) -> DataFrame:
+    """Started arms (``cell, run_index, arm, has_config``): pairs that are whole but lack a config."""
+    pairs = arms.groupBy("cell", "run_index").agg(
+        F.count_distinct("arm").alias("_arms"), F.array_join(F.array_sort(F.collect_set(
+            F.when(~F.coalesce("has_config", F.lit(False)), F.col("arm")))), ",").alias("_without"))
+    return findings(pairs, "arms", [("arm_config_missing", FAIL, (F.col("_arms") > 1) & (F.col("_without") != ""), F.col("_without"))],
+                    run_index=F.col("run_index"))
+
+
 RECORD_SETTINGS = ["generation_model", "generation_base_url", "generation_temperature", "generation_max_tokens"]
 JUDGE_SETTINGS = ["judge_model", "judge_base_url", "judge_temperature", "judge_max_tokens",
                   "judge_prompt_mode", "rubric_sha256", "run_fingerprint"]

@@ -31,6 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load_all() -> None:
     """Import the query modules so that they register themselves."""
     from evalspark.queries import (  # noqa: F401
-        q_adapt, q_checks, q_dialogue, q_efficiency, q_jobs, q_metrics, q_provenance, q_replies, q_retrieval, q_selection,
+        q_adapt, q_checks, q_dialogue, q_efficiency, q_facts, q_jobs, q_metrics, q_provenance, q_replies, q_retrieval, q_selection,
         q_sources, q_streaming,
         q_text)

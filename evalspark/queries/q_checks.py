@@ -108,6 +108,11 @@ _STORE = """rows AS (SELECT 'c' || doc_id % 3 AS cell, doc_id AS sample_id, CAST
     ("store_marker_missing", "fail", "k = 11", "''"), ("store_marker_file_count", "fail", "k = 12", "n_chars + 3"), ("store_documents_missing", "fail", "k = 13", "''"), ("store_marker_digest", "fail", "k = 14", "'foreign'")]))
 def checks_stores(spark, sf):
     """2.14 store: faults follow the number of the source"""
+    return _short(C.store_checks(*store_frames(spark, sf)))
+
+
+def store_frames(spark, sf):
+    """Retrieval rows, samples and markers of the stores, one store per document."""
     d, k, n = F.col("doc_id"), F.substring("source", 4, 3).cast("int"), F.col("n_chars")
     persist = d % 2 == 0
     digest = F.concat(F.left(F.sha1("text"), F.lit(24)), d.cast("string"))
@@ -124,7 +129,7 @@ def checks_stores(spark, sf):
         d.alias("sample_id"), digest.alias("expected_digest"), n.alias("expected_messages"), F.md5("text").alias("expected_prior_sha256"),
         mode.alias("sample_ingest_mode"), F.when(persist, 7).alias("sample_top_k"))
     markers = docs.where(k != 11).select(digest.alias("save_dir"), F.when(k == 14, "foreign").otherwise(digest).alias("digest"), F.when(k == 12, n + 3).otherwise(n).alias("marker_file_count"), (k != 13).alias("has_documents"))
-    return _short(C.store_checks(rows, samples, markers))
+    return rows, samples, markers
 
 
 _ARMS = """arms AS (SELECT o_orderstatus || '/' || o_orderpriority AS cell, count(*) AS n, NULL AS sample_id, left(o_orderpriority, 1) AS p, o_orderstatus AS st FROM orders GROUP BY ALL)"""
