@@ -21,6 +21,7 @@ counts over the same prior as a large one; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -116,20 +117,33 @@ def _gazetteer(shape: Shape, value: Column) -> Column:
     return F.lit(0)
 
 
+#: Values folded into one appended array; appending copies, so longer arrays are folded block by block.
+BLOCK = 256
+
+
+def running(values: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """``array<int>``: the fold of an array's values up to each place, for a fold to which 0 adds nothing."""
+    none = F.array().cast("array<int>")
+
+    def steps(part: Column, base: Column) -> Column:
+        return F.aggregate(part, F.struct(base.alias("last"), none.alias("done")), lambda state, x: F.struct(
+            fold(state["last"], x).alias("last"), F.array_append(state["done"], fold(state["last"], x)).alias("done")), lambda state: state["done"])
+
+    def blocks(v: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+        totals = F.transform(numbers, lambda n: F.aggregate(F.slice(v, n * BLOCK + 1, BLOCK), F.lit(0), fold))
+        return bind(steps(totals, F.lit(0)), lambda t: F.flatten(F.transform(numbers, lambda n: steps(
+            F.slice(v, n * BLOCK + 1, BLOCK), F.when(n == 0, F.lit(0)).otherwise(F.get(t, n - 1))))))
+    return bind(values, lambda v: F.when(F.size(v) == 0, none).otherwise(blocks(v)))
+
+
 def matches(text: Column, shape: Shape) -> Column:
     """``array<struct<at,until,value,before,after>>`` of a shape's matches, in code points."""
     def places(s: Column) -> Column:
-        sized = F.arrays_zip(F.slice(s["pieces"], 1, F.size(s["values"])).alias("piece"), s["values"].alias("value"))
-        none = F.array().cast("array<struct<at:int,until:int>>")
-        def step(done: Column, x: Column) -> Column:
-            at = done["end"] + F.length(x["0"])
-            until = at + F.length(x["1"])
-            return F.struct(until.alias("end"), F.array_append(done["spans"], F.struct(at.alias("at"), until.alias("until"))).alias("spans"))
-        ran = F.aggregate(F.transform(sized, lambda z: F.struct(z["piece"].alias("0"), z["value"].alias("1"))),
-                          F.struct(F.lit(0).alias("end"), none.alias("spans")), step, lambda done: done["spans"])
-        return F.transform(ran, lambda x, i: F.struct(
-            x["at"].alias("at"), x["until"].alias("until"), F.get(s["values"], i).alias("value"),
-            F.right(F.get(s["pieces"], i), F.lit(CONTEXT)).alias("before"), F.left(F.get(s["pieces"], i + 1), F.lit(1)).alias("after")))
+        sizes = F.transform(s["values"], lambda v, i: F.length(F.get(s["pieces"], i)) + F.length(v))
+        return bind(running(sizes, lambda end, n: end + n), lambda ends: F.transform(s["values"], lambda v, i: F.struct(
+            (F.get(ends, i) - F.length(v)).alias("at"), F.get(ends, i).alias("until"), v.alias("value"),
+            F.right(F.get(s["pieces"], i), F.lit(CONTEXT)).alias("before"), F.left(F.get(s["pieces"], i + 1), F.lit(1)).alias("after"))))
     both = F.struct(F.split(text, shape.pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(shape.pattern), 0).alias("values"))
     empty = F.array().cast("array<struct<at:int,until:int,value:string,before:string,after:string>>")
     return F.when(F.regexp_like(text, F.lit(shape.needs)), bind(both, places)).otherwise(empty)
@@ -256,8 +270,10 @@ def _kept_spans(model: Model) -> Column:
     def kept(p: Column) -> Column:
         return p["base"] | (~p["shape"].isin([s.name for s in SHAPES if s.base]) & (p["v_format"] == 1) & (model.margin(p) >= sure))
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_distinct(F.transform(F.filter("proposals", kept), lambda p: F.struct(
-        p["at"].alias("at"), p["rank"].alias("rank"), p["until"].alias("until"), F.get(kinds, p["rank"]).alias("kind"), p["base"].alias("base"))))
+    spans = F.transform(F.filter("proposals", kept), lambda p: F.struct(
+        p["at"].alias("at"), p["rank"].alias("rank"), p["until"].alias("until"), F.get(kinds, p["rank"]).alias("kind"), p["base"].alias("base")))
+    # sorted again by their own fields, equal spans are neighbours
+    return bind(F.sort_array(spans), lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1))))
 
 
 def find_personal_data(documents: DataFrame) -> DataFrame:
@@ -286,24 +302,34 @@ def span_texts(spans: Column) -> Column:
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets; overlapping spans go as one, under the longest one's kind."""
-    def apart(state: Column) -> Column:
-        return F.when(state["at"] < 0, state["done"]).otherwise(F.array_append(state["done"], F.struct(state["at"].alias("at"), state["until"].alias("until"), state["kind"].alias("kind"))))
-
-    def step(state: Column, s: Column) -> Column:
-        size, beside, longer = s["until"] - s["at"], s["at"] >= state["until"], s["until"] - s["at"] > state["size"]
-        return F.struct(
-            F.when(beside, apart(state)).otherwise(state["done"]).alias("done"),
-            F.when(beside, s["at"]).otherwise(state["at"]).alias("at"),
-            F.greatest(s["until"], state["until"]).alias("until"),
-            F.when(beside | longer, s["kind"]).otherwise(state["kind"]).alias("kind"),
-            F.when(beside | longer, size).otherwise(state["size"]).alias("size"))
-
-    start = F.struct(F.array().cast("array<struct<at:int,until:int,kind:string>>").alias("done"), F.lit(-1).alias("at"), F.lit(0).alias("until"),
-                     F.lit("").alias("kind"), F.lit(0).alias("size"))
-    pieces = bind(F.struct(text.alias("t"), F.aggregate(spans, start, step, apart).alias("s")), lambda b: F.concat(
-        F.array_join(F.transform(b["s"], lambda s, i: F.concat(
-            F.substring(b["t"], F.when(i == 0, 1).otherwise(F.get(b["s"], i - 1)["until"] + 1),
-                        s["at"] - F.when(i == 0, 0).otherwise(F.get(b["s"], i - 1)["until"])),
-            F.lit("["), F.upper(s["kind"]), F.lit("]"))), ""),
-        F.substring(b["t"], F.when(F.size(b["s"]) == 0, 1).otherwise(F.get(b["s"], F.size(b["s"]) - 1)["until"] + 1), F.length(b["t"]))))
+    def together(p: Column, reach: Column) -> Column:
+        """Unions of overlapping spans: a union begins where a span begins behind the reach of all before it."""
+        n = F.size(p)
+        first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(p, i)["at"] >= F.get(reach, i - 1)))
+
+        def union(f: Column, a: Column, g: Column) -> Column:
+            end = F.coalesce(F.get(f, g + 1), n)
+            longest = F.aggregate(F.slice(p, a + 1, end - a), F.struct(F.lit("").alias("kind"), F.lit(0).alias("size")), lambda best, x: F.when(
+                x["until"] - x["at"] > best["size"], F.struct(x["kind"].alias("kind"), (x["until"] - x["at"]).alias("size"))).otherwise(best))
+            return F.struct(F.get(p, a)["at"].alias("at"), F.get(reach, end - 1).alias("until"), longest["kind"].alias("kind"))
+        return bind(first, lambda f: F.transform(f, lambda a, g: union(f, a, g)))
+
+    reach = running(F.transform(spans, lambda x: x["until"]), lambda a, x: F.greatest(a, x))
+    unions = bind(F.struct(spans.alias("p"), reach.alias("r")), lambda b: together(b["p"], b["r"]))
+    def block(t: Column, u: Column, k: Column) -> Column:
+        """The text from the union before the block's first to its last; cut out once, as a cut walks from the text's start."""
+        base = F.when(k == 0, F.lit(0)).otherwise(F.get(u, k * BLOCK - 1)["until"])
+        last = F.get(u, F.least((k + 1) * BLOCK, F.size(u)) - 1)["until"]
+
+        def piece(c: Column, x: Column, i: Column) -> Column:
+            before = F.when(i == 0, c["base"]).otherwise(F.get(c["part"], i - 1)["until"])
+            return F.concat(F.substring(c["cut"], before - c["base"] + 1, x["at"] - before), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+        cut = F.struct(F.substring(t, base + 1, last - base).alias("cut"), F.slice(u, k * BLOCK + 1, BLOCK).alias("part"), base.alias("base"))
+        return bind(cut, lambda c: F.array_join(F.transform(c["part"], lambda x, i: piece(c, x, i)), ""))
+
+    def replaced(t: Column, u: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(u) - 1) / BLOCK).cast("int"))
+        rest = F.substring(t, F.get(u, F.size(u) - 1)["until"] + 1, F.length(t))
+        return F.concat(F.array_join(F.transform(numbers, lambda k: block(t, u, k)), ""), rest)
+    pieces = bind(F.struct(text.alias("t"), unions.alias("u")), lambda b: replaced(b["t"], b["u"]))
     return F.when(F.size(spans) == 0, text).otherwise(pieces)

@@ -1,5 +1,7 @@
 """Substring removal, similarity join, decontamination, personal data, pipeline: against brute force."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -203,3 +205,45 @@ def test_pipeline_stages(spark):
     assert masked.columns == docs.columns and not any(brute.personal(r.text) for r in masked.collect())
     coded = {r.doc_id: r.decoded_sha256 for r in encode(spark, masked, sf).collect()}
     assert coded == {r.doc_id: brute.sha(r.text) for r in masked.collect()}
+
+
+@pytest.mark.parametrize("size", [0, 1, pii.BLOCK - 1, pii.BLOCK, pii.BLOCK + 1, 3 * pii.BLOCK, 1000])
+def test_running_folds(spark, size):
+    values = [(i * 7919) % 1009 for i in range(size)]
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    sums, tops = df.select(pii.running(F.col("v"), lambda a, x: a + x), pii.running(F.col("v"), lambda a, x: F.greatest(a, x))).first()
+    assert sums == [sum(values[:i + 1]) for i in range(size)]
+    assert tops == [max(values[:i + 1]) for i in range(size)]
+
+
+def test_masks_of_many_overlapping_spans(spark):
+    rng = np.random.default_rng(6)
+    kind = "text string, spans array<struct<at:int,rank:int,until:int,kind:string,base:boolean>>"
+    rows, want = [], []
+    for n in (1, 40, 700, 1500):
+        text = "".join(rng.choice(list("ab é"), 4000))
+        spans = sorted({(int(a), int(r), int(a + w)) for a, r, w in zip(rng.integers(0, 3900, n), rng.integers(0, 7, n), rng.integers(1, 9, n))})
+        rows.append((text, [(a, r, u, pii.KINDS[r], False) for a, r, u in spans]))
+        unions = []
+        for a, r, u in spans:
+            if unions and a < unions[-1][1]:
+                unions[-1][1] = max(unions[-1][1], u)
+                unions[-1][2].append((a, r, u))
+            else:
+                unions.append([a, u, [(a, r, u)]])
+        out, end = "", 0
+        for a, u, parts in unions:
+            longest = max(parts, key=lambda p: p[2] - p[0])
+            out, end = out + text[end:a] + f"[{pii.KINDS[longest[1]].upper()}]", u
+        want.append(out + text[end:])
+    df = spark.createDataFrame(rows, kind)
+    assert [r[0] for r in df.select(pii.masked(F.col("text"), F.col("spans"))).collect()] == want
+
+
+def test_a_text_full_of_addresses_is_masked_in_linear_time(spark):
+    n = 60_000
+    docs = spark.createDataFrame([(1, " ".join(f"u{i}@mail.org" for i in range(n)))], "doc_id bigint, text string")
+    start = time.time()
+    masked = pii.mask_personal_data(docs).first().text
+    assert masked == " ".join(["[EMAIL]"] * n)
+    assert time.time() - start < 60
