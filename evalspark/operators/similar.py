@@ -2,11 +2,12 @@
 
 1. Equal vectors collapse to one, keeping their lowest ordinals: a store made mostly of
    copies costs as much as its distinct vectors.
-2. Every distinct vector joins its nearest pivot's cluster. By the triangle inequality on
-   angles, a vector needs a cluster only if its angle to the pivot is at most the
-   cluster's radius plus the threshold angle; other clusters are skipped, exactly.
-3. Members and visitors of a cluster are cut into blocks of bounded size; a pair of blocks
-   is one matrix product that returns at most ``keep + 1`` rows per visitor.
+2. Distinct vectors go into a metric tree (``metric_tree.py``) whose leaves are blocks of
+   bounded size. Walking it in pairs leaves the pairs of blocks whose balls are close enough;
+   each pair is worked on once, for both directions.
+3. A block is the home of up to ``TILE`` partners at a time: its members are shipped once for
+   them, and of a partner only the vectors within reach of the home's ball. A tile is two
+   matrix products and returns at most ``keep + 1`` rows per vector and direction.
 Pivots affect speed only, never results.
 """
 
@@ -14,85 +15,71 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from evalspark.functions.vectors import l2_normalize
+from evalspark.operators.metric_tree import Tree, close_blocks, grow, within
 from evalspark.session import cut_lineage
 
-BLOCK_SCHEMA = "store_id {store}, uid {ordinal}, member {ordinal}, score double"
+TILE = 4
+HOME = ["store_id", "a", "a_part", "tile"]
+HIT_SCHEMA = "store_id {store}, uid {ordinal}, member {ordinal}, score double"
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
-
-
-def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
-
-
-def _nearest_pivot(pivots: np.ndarray):
-    """Nearest of the first ``budget`` pivots: a store gets as many clusters as it fills blocks."""
-    kind = StructType([StructField("pivot", IntegerType()), StructField("angle", DoubleType())])
-
-    @F.arrow_udf(kind)
-    def nearest(vectors: pa.Array, budget: pa.Array) -> pa.Array:
-        angles = _angles(_matrix(vectors), pivots)
-        angles[np.arange(len(pivots))[None, :] >= budget.to_numpy()[:, None]] = np.inf
-        best = angles.argmin(axis=1)
-        return pa.StructArray.from_arrays(
-            [pa.array(best, pa.int32()), pa.array(angles[np.arange(len(best)), best])], names=["pivot", "angle"])
-    return nearest
-
-
-def _clusters_to_visit(pivots: np.ndarray, reach: float):
-    @F.arrow_udf(ArrayType(IntegerType()))
-    def visit(vectors: pa.Array, clusters: pa.Array) -> pa.Array:
-        angles = _angles(_matrix(vectors), pivots)
-        rows = []
-        for angle, listed in zip(angles, clusters.to_pylist()):
-            rows.append([c["pivot"] for c in listed if angle[c["pivot"]] <= c["radius"] + reach])
-        return pa.array(rows, type=pa.list_(pa.int32()))
-    return visit
-
-
-def _best_of_block(threshold: float, keep: int):
-    def best(members: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"store_id": visitors["store_id"][:0], "uid": visitors["uid"][:0], "member": visitors["uid"][:0], "score": []})
-        if members.empty or visitors.empty:
-            return empty
-        # rows in ordinal order, so a stable sort by score breaks ties by ordinal
-        members = members.sort_values("uid")
-        ordinals, uids = members["uid"].to_numpy(), visitors["uid"].to_numpy()
-        scores = np.round(np.stack(visitors["vector"]) @ np.stack(members["vector"]).T, 9)
+def _best_of_tile(threshold: float, keep: int):
+    def ranked(store, own: pd.DataFrame, others: pd.DataFrame, scores: np.ndarray) -> pd.DataFrame:
         rows, columns = np.nonzero(scores >= threshold)
+        # the others lie in ordinal order, so a lower column breaks ties
         order = np.lexsort((columns, -scores[rows, columns], rows))
         rows, columns = rows[order], columns[order]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
         rows, columns = rows[place <= keep], columns[place <= keep]
-        return pd.DataFrame({"store_id": visitors["store_id"].iloc[0], "uid": uids[rows], "member": ordinals[columns],
+        return pd.DataFrame({"store_id": store, "uid": own["uid"].to_numpy()[rows], "member": others["uid"].to_numpy()[columns],
                              "score": scores[rows, columns]})
-    return best
 
-
-def _blocks(rows: DataFrame, counts: DataFrame, own: str, other: str, own_size: int, other_size: int) -> DataFrame:
-    """Rows with their own block number, repeated once per block of the other side."""
-    joined = rows.join(counts, ["store_id", "pivot"])
-    mine = F.greatest(F.ceil(F.col(f"{own}_count") / own_size), F.lit(1))
-    theirs = F.greatest(F.ceil(F.col(f"{other}_count") / other_size), F.lit(1))
-    return joined.select(
-        "store_id", "pivot", "uid", "vector", F.pmod(F.xxhash64("uid"), mine).alias(f"{own}_block"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), theirs - 1)).alias(f"{other}_block"))
+    def best(members: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
+        if members.empty:  # a part that the hash gave no row
+            return pd.DataFrame({"store_id": [], "uid": [], "member": [], "score": []}, dtype=object)
+        store = members["store_id"].iloc[0]
+        members = members.sort_values("uid")
+        matrix = np.stack(members["vector"])
+        found = []
+        if members["tile"].iloc[0] == 0:
+            found.append(ranked(store, members, members, np.round(matrix @ matrix.T, 9)))
+        if not visitors.empty:
+            visitors = visitors.sort_values("uid")
+            scores = np.round(np.stack(visitors["vector"]) @ matrix.T, 9)
+            found += [ranked(store, visitors, members, scores), ranked(store, members, visitors, scores.T)]
+        return pd.concat(found) if found else pd.DataFrame({"store_id": [], "uid": [], "member": [], "score": []}, dtype=object)
+    return best
 
 
-def similar_entries(entries: DataFrame, threshold: float = 0.8, keep: int = 10, pivots: int = 64,
-                    block: int = 4096) -> DataFrame:
+def _close_hits(tree: Tree, threshold: float, keep: int, schema: str) -> DataFrame:
+    """At most ``keep + 1`` rows per vector, tile and direction; a vector is among its own."""
+    reach = float(np.arccos(np.clip(threshold - 1e-9, -1.0, 1.0)))
+    itself = (F.col("a") == F.col("b")) & (F.col("a_part") == F.col("b_part"))
+    # a home's partners are blocks, not rows
+    partners = W.partitionBy("store_id", "a", "a_part").orderBy(itself.desc(), "b", "b_part")
+    pairs = cut_lineage(close_blocks(tree, reach).withColumn(
+        "tile", F.floor((F.row_number().over(partners) - 1) / TILE)))
+    homes = pairs.select(*HOME).distinct()
+    members = tree.rows.select("store_id", F.col("leaf").alias("a"), F.col("part").alias("a_part"), "uid", "vector").join(
+        homes, ["store_id", "a", "a_part"])
+    placed = tree.rows.select("store_id", F.col("leaf").alias("b"), F.col("part").alias("b_part"), "uid", "vector")
+    visits = placed.join(pairs.where(~itself), ["store_id", "b", "b_part"])
+    visitors = visits.where(within(F.col("vector"), F.coalesce("centre", "vector"), F.col("radius") + reach))
+    # named anew: both sides of the cogroup come from the same rows
+    visitors = visitors.select(*[F.col(c).alias(c) for c in [*HOME, "uid", "vector"]])
+    return members.groupBy(*HOME).cogroup(visitors.groupBy(*HOME)).applyInPandas(_best_of_tile(threshold, keep), schema)
+
+
+def similar_entries(entries: DataFrame, threshold: float = 0.8, keep: int = 10, pivots: int = 32,
+                    block: int = 2048) -> DataFrame:
     """The ``keep`` most similar other entries of each entry with cosine >= ``threshold``.
 
     ``entries(store_id, ordinal, vector)``; zero vectors have no direction and no
-    neighbours. Ranks are by score (nine digits), then ordinal. Result:
+    neighbours. A node of the tree is split around at most ``pivots`` of its vectors, a block
+    holds about ``block``. Ranks are by score (nine digits), then ordinal. Result:
     ``store_id, ordinal, other, score, rank``.
     """
     # written once: the vectors may come from an embedding model
@@ -104,32 +91,9 @@ def similar_entries(entries: DataFrame, threshold: float = 0.8, keep: int = 10,
         copies.where(F.col("_n") <= keep + 1).groupBy("store_id", "vector")
         .agg(F.array_sort(F.collect_list("ordinal")).alias("ordinals")).withColumn("uid", F.col("ordinals")[0]))
 
-    sample = distinct.select("vector").orderBy(F.xxhash64("uid"), "store_id", "uid").limit(pivots)
-    centres = np.array([r["vector"] for r in sample.collect()], dtype=np.float64)
-    if not len(centres):
-        return entries.limit(0).select("store_id", "ordinal", F.col("ordinal").alias("other"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-
-    budget = F.least(F.lit(len(centres)), F.ceil(F.count(F.lit(1)) / block)).cast("int")
-    sizes = distinct.groupBy("store_id").agg(budget.alias("budget"))
-    placed = distinct.join(sizes, "store_id").select("store_id", "uid", "vector", _nearest_pivot(centres)("vector", "budget").alias("_p")).select(
-        "store_id", "uid", "vector", "_p.pivot", "_p.angle")
-    members = cut_lineage(placed)
-    clusters = members.groupBy("store_id", "pivot").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("member_count"))
-    # at most one entry per pivot, so a store's cluster list is a short array
-    listed = clusters.groupBy("store_id").agg(F.collect_list(F.struct("pivot", "radius")).alias("clusters"))
-    reach = float(np.arccos(threshold)) + 1e-6
-    visits = members.join(listed, "store_id").select(
-        "store_id", "uid", "vector", F.explode(_clusters_to_visit(centres, reach)("vector", "clusters")).alias("pivot"))
-    visits = cut_lineage(visits)
-    visitor_counts = visits.groupBy("store_id", "pivot").agg(F.count(F.lit(1)).alias("visitor_count"))
-    counts = clusters.join(visitor_counts, ["store_id", "pivot"]).drop("radius")
-
-    keys = ["store_id", "pivot", "member_block", "visitor_block"]
     kinds = dict(entries.dtypes)
-    schema = BLOCK_SCHEMA.format(store=kinds["store_id"], ordinal=kinds["ordinal"])
-    left = _blocks(members.select("store_id", "pivot", "uid", "vector"), counts, "member", "visitor", block, block).groupBy(*keys)
-    right = _blocks(visits, counts, "visitor", "member", block, block).groupBy(*keys)
-    hits = left.cogroup(right).applyInPandas(_best_of_block(threshold, keep), schema)
+    schema = HIT_SCHEMA.format(store=kinds["store_id"], ordinal=kinds["ordinal"])
+    hits = _close_hits(grow(distinct.select("store_id", "uid", "vector"), block, max(pivots, 2)), threshold, keep, schema)
 
     best = W.partitionBy("store_id", "uid").orderBy(F.col("score").desc(), "member")
     top = hits.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= keep + 1)
