@@ -183,6 +183,40 @@ def score_range(metric: Column) -> tuple[Column, Column]:
     return F.lit(1), F.when(metric == "rating3", F.lit(3)).otherwise(F.lit(5))
 
 
+def interpret(reply: Column, template: Column, by_dimension: Column, metric: Column) -> Column:
+    """A judge's reply by its family: recovered, scored and explained in one struct.
+
+    Where ``by_dimension`` holds, the dimensions that ``template`` declares are read from a
+    strictly parsed object; elsewhere one score on the scale of ``metric``, after thoughts
+    are split off. A reply that cannot be parsed is kept whole in ``raw_judge``; only rows
+    without ``problems`` are judged.
+    """
+    low, high = score_range(metric)
+    parts = split_reasoning(reply)
+    single = bind(recover_ladder(parts["answer"]), lambda parsed: bind(score_single(parsed, low, high), lambda s: _judged(
+        reply, parsed, s["problems"], score=s["score"], score_key=s["key"], scale_low=low, scale_high=high, judge_reasoning=parts["trace"])))
+    dimensions = bind(recover_strict(reply), lambda parsed: bind(score_dimensions(parsed, declared_dimensions(template)), lambda s: _judged(
+        reply, parsed, s["problems"], dimension_scores=s["scores"])))
+    return F.when(by_dimension, dimensions).otherwise(single)
+
+
+# Columns of an interpreted reply that depend on its family.
+JUDGED = {"score": "int", "score_key": "string", "scale_low": "int", "scale_high": "int", "judge_reasoning": "string",
+          "dimension_scores": "map<string,int>"}
+
+
+def _judged(reply: Column, parsed: Column, problems: Column, **known: Column) -> Column:
+    def finish(scores: Column) -> Column:
+        values = F.map_values(scores)
+        count = F.when(scores.isNull(), F.lit(0)).otherwise(F.size(values))
+        total = F.aggregate(values, F.lit(0).cast("bigint"), lambda s, x: s + x)
+        mean = F.when(count > 0, total.cast("double") / count)
+        return F.struct(*[known.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in JUDGED.items()],
+                        count.alias("dimension_count"), mean.alias("dimension_mean"),
+                        F.when(parsed.isNull(), reply).alias("raw_judge"), problems.alias("problems"))
+    return finish(known.get("dimension_scores", F.lit(None).cast("map<string,int>")))
+
+
 def binary_value(value: Column) -> Column:
     """``true``/``false``/1/0 as BOOLEAN, NULL for any other JSON value (1.0 and "1" too)."""
     kind = _type(value)

@@ -71,14 +71,18 @@ def wrapper_row(samples: DataFrame) -> DataFrame:
 
 
 def canonical_memories(retrieved: Column, prefix: Column) -> Column:
-    """Frozen memory structs: rank from 1, prefixed id, used and raw text with fallbacks."""
+    """Frozen memory structs: rank from 1, prefixed id, used and raw text with fallbacks.
+
+    ``retrieved`` structs hold ``used_content, content`` and a map ``metadata``, empty if missing.
+    """
     def one(m: Column, i: Column) -> Column:
         used = F.coalesce(F.when(m["used_content"] != "", m["used_content"]), F.when(m["content"] != "", m["content"]), F.lit(""))
         raw = F.coalesce(F.when(m["content"] != "", m["content"]), used)
         return F.struct(
             F.concat(prefix, F.lit("_"), F.format_string("%02d", i + 1)).alias("memory_id"),
             strip(used).alias("content"), strip(raw).alias("raw_content"),
-            (i + 1).cast("int").alias("retrieval_rank"))
+            (i + 1).cast("int").alias("retrieval_rank"),
+            F.coalesce(m["metadata"], F.create_map().cast("map<string,string>")).alias("metadata"))
     return F.transform(retrieved, one)
 
 
@@ -183,7 +187,8 @@ RELEASE_FIELDS: dict[str, dict[str, str]] = {
         "generated_question.preference_answer": "preference_aligned_answer",
         "generated_question.reference_answer": "reference_answer",
         "generated_question.objective_fact_basis": "rubric.supporting_evidence",
-        "generated_question.preference_interference": "rubric.failure_behavior"},
+        "generated_question.preference_interference": "rubric.failure_behavior",
+        "generated_question.open_answer_rubric": "open_rubric"},
 }
 # Applicability flag and answer behaviour by native task.
 APPLICABILITY = {
@@ -209,10 +214,14 @@ def release_to_eval(rows: DataFrame) -> DataFrame:
                                lambda m: F.try_variant_get(m, "$.status", "string") == status), F.lit(0))
         return F.coalesce(F.try_variant_get(first, "$.content", "string"), F.lit(""))
 
+    # the members of the rubric that have no field of their own, as JSON
+    members = F.try_variant_get("row", "$.evaluation.rubric", "map<string,variant>")
+    open_rubric = F.to_json(F.map_filter(members, lambda name, _: ~name.isin("supporting_evidence", "failure_behavior")))
     sources = {
         "question": text("$.question"), "reference_answer": text("$.evaluation.reference_answer"),
         "preference_aligned_answer": text("$.evaluation.preference_aligned_answer"),
-        "memory.outdated": by_status("outdated"), "memory.current": by_status("current")}
+        "memory.outdated": by_status("outdated"), "memory.current": by_status("current"),
+        "open_rubric": open_rubric}
 
     def source(name: str) -> Column:
         if name in sources:

@@ -88,14 +88,16 @@ def adapt_context_turns(spark, sf):
 
 @query(f"""WITH l AS (SELECT doc_id, unnest({SQL_LINES}) AS line, generate_subscripts({SQL_LINES}, 1) AS pos FROM documents)
 SELECT doc_id, 'naiverag_' || lpad(CAST(pos AS VARCHAR), CAST(greatest(2, length(CAST(pos AS VARCHAR))) AS INTEGER), '0') AS memory_id, CAST(pos AS INTEGER) AS retrieval_rank,
- {sql_strip("CASE WHEN pos % 3 = 0 THEN line || '!' ELSE line END")} AS content, {sql_strip("CASE WHEN line = '' THEN CASE WHEN pos % 3 = 0 THEN line || '!' ELSE line END ELSE line END")} AS raw_content FROM l""")
+ {sql_strip("CASE WHEN pos % 3 = 0 THEN line || '!' ELSE line END")} AS content, {sql_strip("CASE WHEN line = '' THEN CASE WHEN pos % 3 = 0 THEN line || '!' ELSE line END ELSE line END")} AS raw_content,
+ CASE WHEN pos % 2 = 0 THEN '{{"line":"' || pos || '"}}' ELSE '{{}}' END AS metadata FROM l""")
 def adapt_canonical_memories(spark, sf):
     """C8"""
     retrieved = F.transform(lines(F.col("text")), lambda t, i: F.struct(
-        F.when((i + 1) % 3 == 0, F.concat(t, F.lit("!"))).otherwise("").alias("used_content"), t.alias("content")))
+        F.when((i + 1) % 3 == 0, F.concat(t, F.lit("!"))).otherwise("").alias("used_content"), t.alias("content"),
+        F.when((i + 1) % 2 == 0, F.create_map(F.lit("line"), (i + 1).cast("string"))).alias("metadata")))
     prefixes = F.lit({name: prefix for name, _, prefix, _ in registry.SYSTEMS}["naiveRAG"])
     return table(spark, sf, "documents").select("doc_id", F.explode(A.canonical_memories(retrieved, prefixes)).alias("m")).select(
-        "doc_id", "m.memory_id", "m.retrieval_rank", "m.content", "m.raw_content")
+        "doc_id", "m.memory_id", "m.retrieval_rank", "m.content", "m.raw_content", F.to_json("m.metadata").alias("metadata"))
 
 
 def _alias_memories(spark, sf):
@@ -177,14 +179,16 @@ SELECT CAST(doc_id AS VARCHAR) AS id, doc_id % 10 <> 9 AS adapted, ['personalize
  CASE WHEN k = 5 AND doc_id % 10 <> 9 THEN 'unsupported task' END AS problem, md5(CASE WHEN doc_id % 10 <> 9 THEN 'User: ' || t END) AS first_turn,
  mem[1] AS original_memory, CAST(len(mem) AS BIGINT) AS memories,
  CASE k WHEN 0 THEN 'applicable' WHEN 2 THEN 'applicable' WHEN 3 THEN 'partially_applicable' WHEN 4 THEN 'applicable' END AS applicability,
- CASE k WHEN 0 THEN lang WHEN 1 THEN coalesce(mem[2], '') WHEN 2 THEN source WHEN 3 THEN lang || source WHEN 4 THEN lang END AS probe FROM d""")
+ CASE k WHEN 0 THEN lang WHEN 1 THEN coalesce(mem[2], '') WHEN 2 THEN source WHEN 3 THEN lang || source WHEN 4 THEN lang END AS probe,
+ CASE WHEN k = 4 THEN CAST(json_object('correct_reason', lang, 'decisive_evidence', source, 'scope_limits', lang || source) AS VARCHAR) END AS open_rubric FROM d""")
 def adapt_release_rows(spark, sf):
-    """One field per task is probed"""
+    """One field per task is probed, and the open rubric"""
     d, k = F.col("doc_id"), F.col("doc_id") % 6
     items = F.transform(lines(F.col("text")), lambda t, i: F.struct(
         F.lit("fact").alias("type"), t.alias("content"), F.when(i == 1, "outdated").otherwise("current").alias("status")))
     task = F.get(F.array(*[F.lit(t) for t in RELEASE_TASKS]), k.cast("int"))
-    rubric = F.struct(F.col("lang").alias("correct_reason"), F.col("source").alias("decisive_evidence"), F.concat("lang", "source").alias("scope_limits"))
+    rubric = F.struct(F.col("lang").alias("correct_reason"), F.col("source").alias("decisive_evidence"), F.concat("lang", "source").alias("scope_limits"),
+                      F.lit("shown").alias("supporting_evidence"))
     evaluation = F.struct(F.lit("ref").alias("reference_answer"), F.lit("pref").alias("preference_aligned_answer"), rubric.alias("rubric"))
     dialogue = F.array(F.struct(F.lit(" User ").alias("role"), F.col("text").alias("content")))
     row = F.struct(d.cast("string").alias("id"), task.alias("task"), F.lit("q").alias("question"),
@@ -197,7 +201,8 @@ def adapt_release_rows(spark, sf):
                        F.element_at(field, "generated_question.decisive_evidence"),
                        F.element_at(field, "generated_question.required_scope_limit"), F.element_at(field, "source_split"))
     return out.select("id", "adapted", "task_type", "problem", F.md5(F.get("dialogue_context_turns", F.lit(0))["content"]).alias("first_turn"),
-                      "original_memory", F.size("extraction").cast("bigint").alias("memories"), "applicability", probe.alias("probe"))
+                      "original_memory", F.size("extraction").cast("bigint").alias("memories"), "applicability", probe.alias("probe"),
+                      F.element_at(field, "generated_question.open_answer_rubric").alias("open_rubric"))
 
 
 @query(f"""WITH {_PAIRS} SELECT CAST(sample_id AS VARCHAR) || ':' || turn AS doc_key, 'Conversation content on 2024-01-0' || (1 + turn % 3) || ':[|User|]: ' || query || '; [|AI|]: ' || response AS page_content, 'dialogue' AS kind FROM pairs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from evalspark.functions import replies as R
-from evalspark.queries import query, table
+from evalspark.queries import ORACLES, query, table
 from evalspark.queries.standins import RE2_WS, SQL_LINES, lines, sql_strip
 
 
@@ -148,6 +148,27 @@ def reply_score_dimensions(spark, sf):
                          F.array_join("s.problems", ";").alias("problems"))
 
 
+_JUDGED_VALUES = "list_transform(regexp_extract_all(m.scores, '=([0-9]+)', 1), lambda x: CAST(x AS INTEGER))"
+
+
+@query(f"""WITH single AS ({ORACLES["reply_score_single"]}), dims AS ({ORACLES["reply_score_dimensions"]})
+SELECT d.doc_id, s.score, s.score_key, CASE WHEN d.doc_id % 3 <> 0 THEN CASE WHEN d.doc_id % 2 = 0 THEN 5 ELSE 3 END END AS scale_high,
+ CASE WHEN d.doc_id % 3 <> 0 THEN CASE WHEN d.doc_id % 11 = 2 THEN 'hmm {{x}}' || chr(10) || 'two' ELSE '' END END AS judge_reasoning,
+ CASE WHEN m.doc_id IS NULL THEN 0 ELSE CAST(len({_JUDGED_VALUES}) AS INTEGER) END AS dimension_count,
+ round(list_sum({_JUDGED_VALUES}) / nullif(len({_JUDGED_VALUES}), 0), 6) AS dimension_mean,
+ coalesce(s.problems, m.problems) = 'no JSON object' AS kept_raw, coalesce(s.problems, m.problems) AS problems
+FROM documents d LEFT JOIN single s ON s.doc_id = d.doc_id AND d.doc_id % 3 <> 0 LEFT JOIN dims m ON m.doc_id = d.doc_id AND d.doc_id % 3 = 0""")
+def reply_interpret(spark, sf):
+    """Every third document is judged by dimensions, the others by one score."""
+    third = F.col("doc_id") % 3 == 0
+    replies = _judge_replies(spark, sf).where(~third).select("doc_id", "reply").unionByName(_dimension_replies(spark, sf).where(third))
+    metric = F.when(F.col("doc_id") % 2 == 0, "failure").otherwise("rating3")
+    judged = replies.select("doc_id", R.interpret(F.col("reply"), F.lit(RUBRIC), third, metric).alias("j")).select("doc_id", "j.*")
+    return judged.select("doc_id", "score", "score_key", "scale_high", "judge_reasoning", "dimension_count",
+                         F.round("dimension_mean", 6).alias("dimension_mean"), F.col("raw_judge").isNotNull().alias("kept_raw"),
+                         F.array_join("problems", ";").alias("problems"))
+
+
 def _memory_ids():
     return F.transform(lines(F.col("text")), lambda _l, i: F.concat(F.lit("m"), (i + 1).cast("string")))
 
