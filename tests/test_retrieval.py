@@ -94,3 +94,26 @@ def test_similar_entries(spark, pivots, block):
         near = sorted(x for x in near if -x[0] >= 0.8)[:10]
         want |= {(i, n, j) for n, (_, j) in enumerate(near, start=1)}
     assert got == want
+
+
+@pytest.mark.parametrize("levels", [16, 1])
+def test_metric_tree(spark, monkeypatch, levels):
+    from evalspark.operators import metric_tree
+
+    monkeypatch.setattr(metric_tree, "LEVELS", levels)
+    rng = np.random.default_rng(3)
+    vectors = np.repeat(rng.normal(size=(12, 8)), 40, axis=0) + rng.normal(scale=0.02, size=(480, 8))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    frame = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(vectors)], "store_id string, uid int, vector array<double>")
+    tree = metric_tree.grow(frame, 20, 4)
+    home = {r["uid"]: (r["leaf"], r["part"]) for r in tree.rows.collect()}
+    assert sorted(home) == list(range(480))
+    listed = [frozenset({(p["a"], p["a_part"]), (p["b"], p["b_part"])}) for p in metric_tree.close_blocks(tree, 0.1).collect()]
+    pairs = set(listed)
+    assert len(pairs) == len(listed)  # each pair once
+    close = np.argwhere(np.arccos(np.clip(vectors @ vectors.T, -1, 1)) <= 0.1)
+    assert all(frozenset({home[i], home[j]}) in pairs for i, j in close.tolist())
+    blocks = list(home.values())
+    if levels > 1:  # deep enough: blocks fit, and most pairs of blocks are never formed
+        assert max(map(blocks.count, set(blocks))) <= 20
+        assert len(pairs) < len(set(blocks)) ** 2 / 4
