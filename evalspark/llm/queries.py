@@ -236,7 +236,7 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS c, regexp_replace(coalesce(text, ''), '[ 	-]', '', 'g') AS t FROM documents)
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS c, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
 SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        row_number() OVER best = 1 AS kept, sha256(t) AS text_sha256
 FROM d WINDOW best AS (PARTITION BY t ORDER BY c DESC, doc_id)
