@@ -16,25 +16,32 @@ from evalspark.functions.text import collapse_whitespace
 # Size of the offline vectors and texts per model call.
 HASH_DIMENSIONS = 64
 BATCH = 64
+#: Words whose bucket a worker remembers.
+RECENT_WORDS = 400_000
 
 
-@F.arrow_udf(ArrayType(DoubleType()))
-def _hashed_words(texts: pa.Array) -> pa.Array:
-    known: dict[str, int] = {}  # the batch's own vocabulary
+class _Buckets(dict):
+    """Bucket by word, for the words a worker met lately; emptied when full, which bounds its memory and not the input."""
 
-    def bucket(word: str) -> int:
-        place = known.get(word)
-        if place is None:
-            place = known[word] = int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % HASH_DIMENSIONS
+    def __missing__(self, word: str) -> int:
+        if len(self) >= RECENT_WORDS:
+            self.clear()
+        place = self[word] = int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % HASH_DIMENSIONS
         return place
 
-    rows = []
-    for text in texts.to_pylist():
-        places = [bucket(w) for w in (text or "").split(" ") if w]
-        counts = np.bincount(np.array(places, dtype=np.int64), minlength=HASH_DIMENSIONS).astype(np.float64)
-        norm = np.linalg.norm(counts)
-        rows.append(counts / (norm or 1.0))
-    return pa.array(rows, type=pa.list_(pa.float64()))
+
+_buckets = _Buckets()
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def _hashed_words(texts: pa.Array) -> pa.Array:
+    counts = np.zeros((len(texts), HASH_DIMENSIONS))
+    for row, text in zip(counts, texts):
+        places = list(map(_buckets.__getitem__, filter(None, (text.as_py() or "").split(" "))))
+        row[:] = np.bincount(np.array(places, dtype=np.int64), minlength=HASH_DIMENSIONS)
+        row /= np.linalg.norm(row) or 1.0
+    offsets = np.arange(len(texts) + 1, dtype=np.int32) * HASH_DIMENSIONS
+    return pa.ListArray.from_arrays(offsets, counts.ravel())
 
 
 def hashed_words(text: Column) -> Column:

@@ -117,3 +117,42 @@ def test_metric_tree(spark, monkeypatch, levels):
     if levels > 1:  # deep enough: blocks fit, and most pairs of blocks are never formed
         assert max(map(blocks.count, set(blocks))) <= 20
         assert len(pairs) < len(set(blocks)) ** 2 / 4
+
+
+def test_similar_entries_across_groups(spark, monkeypatch):
+    """Groups of one block: most neighbours are found by tiles, with equal scores in many dimensions of few values."""
+    from evalspark.operators import similar
+
+    monkeypatch.setattr(similar, "GROUP", 1)
+    rng = np.random.default_rng(9)
+    rows = [("s", i, (rng.integers(0, 3, size=6) + 0.0).tolist()) for i in range(300)]
+    frame = spark.createDataFrame(rows, "store_id string, ordinal int, vector array<double>")
+    got = {(r["ordinal"], r["rank"], r["other"]) for r in similar.similar_entries(frame, 0.8, 4, 4, 20).collect()}
+    unit = [np.array(v) / (np.linalg.norm(v) or 1) for _, _, v in rows]
+    want = set()
+    for i in range(300):
+        near = sorted((-round(float(unit[i] @ unit[j]), 9), j) for j in range(300) if j != i)
+        want |= {(i, n, j) for n, (score, j) in enumerate([x for x in near if -x[0] >= 0.8][:4], start=1)}
+    assert got == want
+
+
+@pytest.mark.parametrize("room", [0, 32])
+def test_floors_keep_pairs_few(monkeypatch, room):
+    """Where all vectors are close, a block hands on keep + 1 rows a vector, and the next block only what reaches the floor."""
+    from evalspark.operators import similar
+
+    monkeypatch.setattr(similar, "ROOM", room)
+    monkeypatch.setattr(similar, "SLICE", 100)
+    rng = np.random.default_rng(5)
+    vectors = np.round(1 + rng.normal(scale=0.05, size=(1200, 16)), 1)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    scores = np.round(vectors @ vectors.T, 9)
+    assert scores.min() >= 0.8
+    first, second = (similar._Block(np.arange(600) + at, vectors[at:at + 600], np.full(600, 0.8)) for at in (0, 600))
+    first.meet(first, 3)
+    assert np.bincount(first.rows).max() == 4
+    rows, _, _ = similar._reaching(first.vectors, second.vectors, first.floor, 3)
+    assert len(rows) < 600 * 600 / 10
+    first.meet(second, 3)
+    want = [(row, member) for row in range(600) for member in np.lexsort((np.arange(1200), -scores[row]))[:4].tolist()]
+    assert list(zip(first.rows.tolist(), first.members.tolist())) == want
