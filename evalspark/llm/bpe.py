@@ -5,9 +5,9 @@ adjacent pair; the lowest rank, leftmost first, is merged, and entries whose sym
 changed since they were pushed are skipped as stale. A piece of m symbols costs
 O(m log m), whatever its length. Decoding concatenates the byte strings of the vocabulary.
 
-Texts repeat their chunks (a word with the white space before it) heavily. A chunk is encoded
-and decoded once and kept as its ids, their decimal text and its bytes, within a fixed number of
-chunks; a text is then joined from chunks, not from tokens.
+Texts repeat their pieces heavily. A piece is encoded and decoded once and kept as its ids, their
+decimal text and its bytes, within a fixed number of pieces; a text is then joined from pieces,
+not from tokens. Pieces that are met again outlive the others.
 
 Which characters are letters or digits is the tokenizer library's to say: its Unicode tables
 differ from this interpreter's in characters that only one of them knows. Those are asked of
@@ -28,7 +28,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cached_property
 from heapq import heapify, heappop, heappush
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +37,18 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Fixed value: the split pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks and, of unusual texts, pieces that a worker remembers; this bounds its memory, not the input.
-RECENT_PIECES = 400_000
-RECENT_CHUNKS = 300_000
+#: Pieces that a worker remembers; this bounds its memory, not the input.
+RECENT_PIECES = 500_000
 #: A longer text is encoded but not remembered.
 RECENT_CHARS = 64
 #: Bits of a token id inside a pair's key.
 _SHIFT = 21
 
-#: The same pieces in texts without unusual characters, where letters and digits need no Unicode tables.
-_PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: The same pieces in texts without unusual characters, where letters and digits need no Unicode tables. Letters
+#: are tried first: no contraction begins with one.
+_PLAIN_PATTERN = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Outside ASCII and the Latin letters; such a text is split by the full pattern.
 _UNUSUAL = re.compile("[\x1c-\x1f\x80-\xbf" + chr(0x250) + "-" + chr(0x10FFFF) + "]")
-#: A run of white space and the word after it. A word's end before white space always ends a piece.
-_CHUNK = re.compile(r"\s*[^\s]+|\s+")
 
 
 def disputed_characters() -> list[str]:
@@ -106,19 +104,21 @@ def byte_symbols() -> list[str]:
 
 
 class Recent(dict):
-    """What was made of texts met lately: a missing one is made, and the oldest half goes when it is full."""
+    """What was made of texts met lately, in two generations: a missing one is taken from the older one, else made.
+
+    When the younger one holds half of the size it becomes the older one; what was not met since then goes.
+    """
 
     def __init__(self, size: int, make: Callable[[str], tuple]) -> None:
         super().__init__()
-        self._size, self._make = size, make
+        self._size, self._make, self._older = size, make, {}
 
     def __missing__(self, key: str) -> tuple:
-        made = self._make(key)
+        made = self._older.pop(key, None) or self._make(key)
         if len(key) <= RECENT_CHARS:
-            if len(self) >= self._size:
-                newest = list(islice(self.items(), self._size // 2, None))
+            if len(self) >= self._size // 2:
+                self._older = dict(self)
                 self.clear()
-                self.update(newest)
             self[key] = made
         return made
 
@@ -140,9 +140,9 @@ class Bpe:
         self.strings = {i: bytes(value[c] for c in token) for token, i in vocab.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings.update({i: token.encode() for token, i in self.added.items()})
+        self.names = {i: f"{i}," for i in self.strings}
         self._added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.pieces = Recent(RECENT_PIECES, lambda piece: self.merge(piece.encode("utf-8", "surrogatepass")))
-        self.chunks = Recent(RECENT_CHUNKS, self.chunk)
+        self.pieces = Recent(RECENT_PIECES, lambda piece: self.described(self.merge(piece.encode("utf-8", "surrogatepass"))))
         self._path = path
 
     @cached_property
@@ -183,27 +183,23 @@ class Bpe:
                     heappush(heap, rank | h)
         return tuple([x for x in ids if x >= 0])
 
-    def chunk(self, chunk: str) -> tuple[tuple[int, ...], str, bytes]:
-        return self.described(tuple(chain.from_iterable(map(self.pieces.__getitem__, _PLAIN_PATTERN.findall(chunk)))))
-
     def described(self, ids: tuple[int, ...]) -> tuple[tuple[int, ...], str, bytes]:
         """Ids, their decimal text with a comma behind each, and the bytes they stand for."""
-        return ids, "".join(f"{i}," for i in ids), b"".join(map(self.strings.__getitem__, ids))
+        return ids, "".join(map(self.names.__getitem__, ids)), b"".join(map(self.strings.__getitem__, ids))
 
-    def chunks_of(self, text: str) -> list[tuple[tuple[int, ...], str, bytes]]:
-        """A text as encoded and decoded chunks, in order."""
+    def pieces_of(self, text: str) -> list[tuple[tuple[int, ...], str, bytes]]:
+        """A text as encoded and decoded pieces, in order."""
         out: list[tuple[tuple[int, ...], str, bytes]] = []
         for k, part in enumerate(self._added.split(text) if self._added else [text]):
             if k % 2:
                 out.append(self.described((self.added[part],)))
-            elif _UNUSUAL.search(part):
-                out.append(self.described(tuple(chain.from_iterable(map(self.pieces.__getitem__, self._split.findall(part))))))
             else:
-                out.extend(map(self.chunks.__getitem__, _CHUNK.findall(part)))
+                split = self._split if _UNUSUAL.search(part) else _PLAIN_PATTERN
+                out.extend(map(self.pieces.__getitem__, split.findall(part)))
         return out
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable([c[0] for c in self.chunks_of(text)]))
+        return list(chain.from_iterable([p[0] for p in self.pieces_of(text)]))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
@@ -240,13 +236,15 @@ def _digester(path: str, with_lists: bool, with_text: bool) -> Callable[[Iterato
         for batch in batches:
             counts, id_digests, text_digests, lists, texts = [], [], [], [], []
             for text in batch.column(1):
-                chunks = bpe.chunks_of(text.as_py() or "")
-                ids, names, strings = zip(*chunks) if chunks else ((), (), ())
+                pieces = bpe.pieces_of(text.as_py() or "")
+                ids, names, strings = zip(*pieces) if pieces else ((), (), ())
                 names = "".join(names)
                 counts.append(names.count(","))
                 id_digests.append(hashlib.sha256(names[:-1].encode()).hexdigest())
-                decoded = b"".join(strings).decode("utf-8", "replace")
-                text_digests.append(hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest())
+                data = b"".join(strings)
+                decoded = data.decode("utf-8", "replace")
+                # bytes that decode as they are, which is the rule, need not be encoded again
+                text_digests.append(hashlib.sha256(decoded.encode() if "\ufffd" in decoded else data).hexdigest())
                 if with_lists:
                     lists.append(np.fromiter(chain.from_iterable(ids), np.int32, counts[-1]))
                 if with_text:

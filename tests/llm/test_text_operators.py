@@ -47,6 +47,15 @@ def test_recent_memory_is_bounded_and_right():
         assert len(memory) <= 10
 
 
+def test_recent_memory_keeps_what_is_met_again():
+    made = []
+    memory = bpe.Recent(10, lambda k: made.append(k) or (k,))
+    for i in range(500):
+        assert memory["often"] == ("often",) and memory[f"once {i}"] == (f"once {i}",)
+        assert len(memory) + len(memory._older) <= 10
+    assert made.count("often") == 1
+
+
 def test_bpe_rows(spark, odd_docs, no_docs):
     lib = library(BYTE)
     got = sorted(tuple(r) for r in bpe.round_trip_digests(odd_docs, BYTE).select("n_tokens", "ids_sha256", "decoded_sha256").collect())
