@@ -18,7 +18,7 @@ from evalspark.functions.text import identified_memories
 from evalspark.operators.selection import pending
 from evalspark.plans import prompts as P
 from evalspark.plans.guards import Guard, gate
-from evalspark.plans.modelcalls import CALL_SCHEMA, ModelFactory, call_model, failure_ledger, last_attempt, validated_pass
+from evalspark.plans.modelcalls import CALL_SCHEMA, ModelFactory, call_model, failure_ledger, last_attempt, validated_pass, validated_replies
 from evalspark.session import cut_lineage
 
 
@@ -86,8 +86,10 @@ def cache_key(variant: str, stage: str) -> Column:
 
 def _staged(rows: DataFrame, done: DataFrame, prompts: dict[str, tuple[str, str]], factory: ModelFactory,
             variant: str, cache: DataFrame | None, rounds: int, **options) -> ArmResult:
-    ids = F.transform("memories", lambda m: m["memory_id"])
-    todo = pending(rows, done)
+    # written once: every pass reads these rows. A stage adds a table of keys and what it learned; checks read ids, not memories
+    base = cut_lineage(pending(rows, done).withColumns(
+        {"call_key": F.col("sample_id").cast("string"), "_ids": F.transform("memories", lambda m: m["memory_id"])}))
+    ids, todo, learned = F.col("_ids"), base, None
     logs: list[DataFrame] = []
     ledgers: list[DataFrame] = []
     findings: list[DataFrame] = []
@@ -106,27 +108,28 @@ def _staged(rows: DataFrame, done: DataFrame, prompts: dict[str, tuple[str, str]
                                         "stage2_json": P.pretty_json(F.struct(F.col("_r.instructions").alias("memory_use_instructions")))}).drop("_v", "_r")
 
         asked = P.add_prompt(todo, P.stage_prompt(system, template, F.col("current_request"), F.col("memories"), cards))
+        keys = asked.select("call_key", "sample_id", cache_key(variant, stage).alias("cache_key"))
         stored = None
         if cache is not None:
             mine = cache.where(F.col("stage") == stage).select("sample_id", "cache_key", "text")
-            keys = asked.select("sample_id", cache_key(variant, stage).alias("cache_key"))
+            keys = cut_lineage(keys)
             # one reply per sample, the smallest text where a cache holds several
-            stored = cut_lineage(keys.join(mine, ["sample_id", "cache_key"]).groupBy("sample_id").agg(F.min("text").alias("text")))
+            stored = cut_lineage(keys.join(mine, ["sample_id", "cache_key"]).groupBy("call_key").agg(F.min("text").alias("text")))
             stale = mine.join(keys.withColumnRenamed("cache_key", "_now"), "sample_id").where("cache_key IS DISTINCT FROM _now")
             findings.append(stale.select(F.lit("stale_cache").alias("check"), F.col("sample_id").cast("string").alias("sample_id"),
                                          F.concat(F.lit(f"{stage} "), F.coalesce("cache_key", F.lit("none"))).alias("detail")))
-        fresh = asked if stored is None else asked.join(stored, "sample_id", "left_anti")
-        accepted, log = validated_pass(fresh, factory, stage, check, rounds, **options)
+        fresh = asked if stored is None else asked.join(stored, "call_key", "left_anti")
+        accepted, log = validated_replies(fresh, factory, stage, check, rounds, **options)
         logs.append(log)
         ledgers.append(fresh.join(accepted.select("call_key"), "call_key", "left_anti").select(
             "call_key", F.lit(stage).alias("stage"), F.lit("no valid reply").alias("error")))
         if stored is not None:
-            cached = check(asked.join(stored, "sample_id")).where("problem IS NULL")
+            cached = check(asked.join(stored, "call_key")).where("problem IS NULL")
             accepted = accepted.unionByName(cached.select(*accepted.columns))
-        keyed = asked.select("call_key", "sample_id", cache_key(variant, stage).alias("cache_key"))
-        replies.append(accepted.select("call_key", "text").join(keyed, "call_key").select("sample_id", F.lit(stage).alias("stage"), "cache_key", "text"))
-        # once a stage: the next one reads these rows for its prompts, its replies and its result
-        todo = cut_lineage(accepted.withColumnRenamed("text", f"{stage}_raw").drop("problem", "call_key"))
+        replies.append(accepted.select("call_key", "text").join(keys, "call_key").select("sample_id", F.lit(stage).alias("stage"), "cache_key", "text"))
+        found = accepted.withColumnRenamed("text", f"{stage}_raw").drop("problem")
+        learned = cut_lineage(found if learned is None else learned.join(found, "call_key"))
+        todo = base.join(learned, "call_key")
     last = STAGES[variant][-1]
     system, template = prompts[last]
     instructions = F.col("stage2_json") if "stage2" in STAGES[variant] else None
@@ -139,7 +142,7 @@ def _staged(rows: DataFrame, done: DataFrame, prompts: dict[str, tuple[str, str]
     calls = result.calls
     for log in logs:
         calls = calls.unionByName(log.drop("round"))
-    return ArmResult(result.outputs, calls, failures, reduce(DataFrame.unionByName, findings) if findings else None,
+    return ArmResult(result.outputs.drop("_ids"), calls, failures, reduce(DataFrame.unionByName, findings) if findings else None,
                      reduce(DataFrame.unionByName, replies))
 
 

@@ -87,6 +87,8 @@ def call_model(prompts: DataFrame, factory: ModelFactory, stage: str, attempts:
     session = prompts.sparkSession
     if partitions is None:
         rows = prompts.select("call_key").count()
+        if rows == 0:  # nothing to ask, so nothing is rendered or moved
+            return session.range(0).select(F.from_json(F.lit("{}"), CALL_SCHEMA).alias("_r")).select("_r.*")
         partitions = max(1, -(-rows // TASK_ROWS), min(rows, session.sparkContext.defaultParallelism))
     record = Journal(journal or f"{ensure_checkpoint_dir(session)}/calls/{uuid.uuid4().hex}")
     prompts = prompts.select("call_key", "system", "user").repartition(record.tasks(partitions), "call_key")
@@ -178,6 +180,16 @@ def validated_pass(prompts: DataFrame, factory: ModelFactory, stage: str,
     never looks at row contents on the driver. A round writes keys and what it learned of them; the
     prompt rows themselves are joined again where they are read.
     """
+    accepted, calls = validated_replies(prompts, factory, stage, check, rounds, **call_options)
+    return prompts.drop("system", "user").join(accepted, "call_key"), calls
+
+
+def validated_replies(prompts: DataFrame, factory: ModelFactory, stage: str,
+                      check: Callable[[DataFrame], DataFrame], rounds: int = 3, **call_options) -> tuple[DataFrame, DataFrame]:
+    """:func:`validated_pass` whose accepted rows hold the key, ``text``, ``problem`` and what ``check`` parsed only.
+
+    Of the prompts' columns only those that ``check`` reads are moved, so it should read narrow ones.
+    """
     todo, accepted, calls = prompts, None, None
     for number in range(1, rounds + 1):
         log = cut_lineage(call_model(todo, factory, stage, **call_options).withColumn("round", F.lit(number)))
@@ -192,7 +204,7 @@ def validated_pass(prompts: DataFrame, factory: ModelFactory, stage: str,
             if refused.isEmpty():
                 break
             todo = prompts.join(refused, "call_key", "left_semi")
-    return prompts.drop("system", "user").join(accepted, "call_key"), calls
+    return accepted, calls
 
 
 def failure_ledger(prompts: DataFrame, calls: DataFrame) -> DataFrame:

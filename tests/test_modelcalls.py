@@ -332,3 +332,22 @@ def test_a_guard_stops_every_arm_before_its_first_call(spark):
         assert [tuple(r) for r in arm(None).findings.collect()] == [("duplicate_ids", "1", "2 rows")]
     passed = A.baseline_arm(rows, done.limit(0), prompt, lambda: lambda s, u, g: "ok", guard=Guard(), attempts=1, **FAST)
     assert passed.findings.count() == 0 and passed.outputs.count() == 5
+
+
+def test_a_staged_arm_reads_its_input_once(spark, tmp_path):
+    """What comes out is made of the arm's own tables; the rows are not filtered and moved again for every reader."""
+    memory_rows(spark).where("sample_id < 4").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    none = rows.where("false").select("sample_id")
+    first = A.staged_arm(rows, none, STAGES, staged_factory, "full", rounds=1, attempts=1, **FAST)
+    second = A.staged_arm(rows, none, STAGES, staged_factory, "full", first.replies, rounds=1, attempts=1, **FAST)
+    for frame in (first.outputs, first.replies, first.failures, second.outputs, second.replies, second.findings):
+        assert frame.inputFiles() and not [f for f in frame.inputFiles() if str(tmp_path) in f]
+    assert set(second.outputs.columns) == {*rows.columns, "stage1_raw", "stage1_json", "stage2_raw", "stage2_json", "final_answer"}
+
+
+def test_no_prompts_make_no_pass(spark):
+    none = prompts(spark, ["x"]).where("call_key = 'none'")
+    calls = call_model(none, staged_factory, "stage1", attempts=1, **FAST)
+    assert calls.count() == 0 and calls.schema.simpleString() == call_model(prompts(spark, ["x"]), staged_factory, "stage1", attempts=1, **FAST).schema.simpleString()
+    assert "MapInPandas" not in calls._jdf.queryExecution().optimizedPlan().toString()
