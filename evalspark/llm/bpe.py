@@ -35,6 +35,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from evalspark.llm import arrays as A
+
 #: Fixed value: the split pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker remembers; this bounds its memory, not the input.
@@ -233,7 +235,8 @@ def with_text(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
 def _digester(path: str, with_lists: bool, with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        # handed on piece by piece: lists and decoded texts take several times the room of their texts
+        for batch in (b.slice(first, last - first) for b in batches for first, last in A.stretches(b.column(1), A.PIECE)):
             counts, id_digests, text_digests, lists, texts = [], [], [], [], []
             for text in batch.column(1):
                 pieces = bpe.pieces_of(text.as_py() or "")

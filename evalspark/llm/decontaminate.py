@@ -81,15 +81,18 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
 
+#: Every byte with its bits in reverse: words are filled from the low bit on, packed bits are read from the high one.
+_REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little"), axis=1).ravel()
+
+
 def hash_bitmap(hashes: DataFrame, column: str = "hash") -> np.ndarray:
-    """Bits of the top of every hash. At most ``2**BITMAP_BITS / 64`` words reach the driver."""
+    """Packed bits of the top of every hash. At most ``2**BITMAP_BITS / 64`` words reach the driver, which never unpacks them."""
     slot = F.shiftrightunsigned(F.col(column), 64 - BITMAP_BITS)
     words = (hashes.groupBy(F.shiftright(slot, 6).alias("at"))
-             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).collect())
+             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow())
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-    for row in words:
-        bitmap[row.at] = np.uint64(row.bits & 0xFFFFFFFFFFFFFFFF)
-    return np.unpackbits(bitmap.view(np.uint8), bitorder="little").view(bool)
+    bitmap[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return _REVERSED[bitmap.view(np.uint8)]
 
 
 def _grams(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +142,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     docs = documents.select("doc_id", "text")
     kind = documents.schema["doc_id"].dataType.simpleString()
 
-    wanted = np.packbits(hash_bitmap(grams))
+    wanted = hash_bitmap(grams)
     counts = (docs.select("text").mapInArrow(lambda b: _counts(wanted, sizes, b), "hash long, n long")
               .groupBy("hash").agg(F.sum("n").alias("n")))
     ranked = (grams.join(counts, "hash", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -147,7 +150,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
               .where(F.col("rarest.n") > 0).select("window", "rarest.hash", "rarest.offset"))
     prefixes = cut_lineage(ranked)
 
-    tokens = np.packbits(hash_bitmap(prefixes))
+    tokens = hash_bitmap(prefixes)
     scanned = docs.mapInArrow(lambda b: _candidates(tokens, sizes, window, b), CANDIDATE_SCHEMA.format(kind=kind))
     scanned = cut_lineage(scanned.withColumn("row", F.monotonically_increasing_id()))
     candidates = scanned.select("row", F.inline("found"))

@@ -166,7 +166,7 @@ def near_sets(documents: DataFrame, described: DataFrame, size: int, percent: in
     left = (classes.join(owners, "owner").join(met, "owner")
             .where((F.col("met") >= least * F.col("rows")) | (F.col("n_classes") > 1)).select("doc_id", "set_key", "n"))
     left = cut_lineage(left)
-    bitmap = np.packbits(hash_bitmap(left.select(F.xxhash64("doc_id").alias("hash"))))
+    bitmap = hash_bitmap(left.select(F.xxhash64("doc_id").alias("hash")))
     kind = documents.schema["doc_id"].dataType.simpleString()
     whole = (documents.select("doc_id", F.xxhash64("doc_id").alias("hash"), "text")
              .mapInArrow(lambda b: _whole_sets(size, bitmap, b), f"doc_id {kind}, set_key binary, tokens array<long>"))
@@ -194,8 +194,8 @@ def set_components(documents: DataFrame, described: DataFrame, size: int, percen
     lists = cut_lineage(postings(sets, percent))
     # written first: a join of two tables is one that skewed sides can be split in
     pivots = cut_lineage(lists.groupBy("token").agg(F.min(F.struct("at", "id", "n")).alias("p")).select("token", "p.*"))
-    star = (lists.alias("x").join(pivots.alias("y"), "token").where((F.col("x.id") != F.col("y.id")) & _possible("x", "y", percent))
-            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+    star = cut_lineage(lists.alias("x").join(pivots.alias("y"), "token").where((F.col("x.id") != F.col("y.id")) & _possible("x", "y", percent))
+                       .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
     links = cut_lineage(_verified(star, sets, percent))
     found = components(links)
 
@@ -210,7 +210,8 @@ def set_components(documents: DataFrame, described: DataFrame, size: int, percen
     rest = (ranked.where("component != major").alias("x").join(named.alias("y"), "token").where(apart & _possible("x", "y", percent))
             .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
     more = cut_lineage(_verified(rest.join(star, ["a", "b"], "left_anti"), sets, percent))
-    final = components(links.unionByName(more))
+    # links between components are rare: without any the components stand
+    final = found if more.isEmpty() else components(links.unionByName(more))
     return sets.select("id", "set_key").join(final, "id").select("set_key", "component")
 
 
@@ -251,6 +252,8 @@ def one_per_group(documents: DataFrame, size: int = 5, percent: int = 80, depth:
     linked = set_components(documents.select(key.alias("doc_id"), "text"), rows, size, percent, depth)
     order = F.struct(F.col("doc_id.doc_id").isNull().alias("none"), F.col("doc_id").alias("key"))
     classes = rows.where("n > 0").groupBy("set_key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")).join(linked, "set_key", "left")
+    # a row that is alone in its class and links with none stays unmarked; the other classes are written once, as they are read three times
+    classes = cut_lineage(classes.where("copies > 1 OR component IS NOT NULL").drop("copies"))
     alone = classes.where("component IS NULL").select("set_key", "first")
     grouped = classes.where("component IS NOT NULL")
     named = grouped.join(grouped.groupBy("component").agg(F.min("first").alias("_best")), "component").select("set_key", F.col("_best").alias("first"))

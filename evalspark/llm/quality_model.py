@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from evalspark.llm import arrays as A
@@ -151,7 +152,7 @@ def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, labels: np.ndar
     machine.factors = rng.normal(0, 0.05, machine.factors.shape).astype(np.float32)
     machine.bias = float(np.log(labels.mean() / (1 - labels.mean())))
     weight_sq, factor_sq = np.full(machine.weights.shape, 1e-6, np.float32), np.full(machine.factors.shape, 1e-6, np.float32)
-    begin = np.searchsorted(row, np.arange(n + 1))
+    begin = np.searchsorted(row, np.arange(n + 1, dtype=row.dtype))
     for _ in range(max(EPOCHS, -(-LEAST_STEPS // -(-n // BATCH)))):
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
@@ -210,13 +211,16 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ma
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # the limit bounds what is broadcast; a second one holds if an id stands on many rows
     rows_of = _inputs(documents, "doc_id").join(F.broadcast(sample), F.col("_kept_0") == F.col("doc_id")).select("_text", "_declared", "label").limit(rows)
-    found = rows_of.mapInArrow(_vectors, "label double, feature array<int>, value array<float>").toArrow().combine_chunks()
+    found = rows_of.mapInArrow(_vectors, "label double, feature array<int>, value array<float>").toArrow()
     if found.num_rows == 0:
         return Machine.empty()
-    feature, value = (found.column(c).combine_chunks() for c in ("feature", "value"))
-    sizes = np.diff(feature.offsets.to_numpy())
-    return fit(np.repeat(np.arange(found.num_rows), sizes), feature.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy(),
-               found.column("label").to_numpy().astype(np.float64))
+    # the driver holds the sample once more, in four bytes a number, and gives the received one back before it fits
+    sizes = pc.list_value_length(found.column("feature")).to_numpy()
+    label = found.column("label").to_numpy().astype(np.float64)
+    feature, value = (np.concatenate([c.flatten().to_numpy() for c in found.column(name).chunks]) for name in ("feature", "value"))
+    del found
+    pa.default_memory_pool().release_unused()
+    return fit(np.repeat(np.arange(len(label), dtype=np.int32), sizes), feature, value, label)
 
 
 def _scorer(machine: Machine, keep: list[str], name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,13 +2,15 @@
 
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline as cp
 from conftest import SF, sentence
-from evalspark.llm import bpe, jaccard_join, main_text, pii, quality_model, quality_rules
+from evalspark.llm import bpe, decontaminate, jaccard_join, main_text, pii, quality_model, quality_rules
 from evalspark.llm.queries import table, vocabulary
 
 BYTE = vocabulary("byte_bpe_50k.json")
@@ -131,3 +133,59 @@ def test_letters_and_digits_are_the_librarys():
 def test_masks_keep_a_column_of_any_name(spark):
     docs = spark.createDataFrame([(1, "mail a@b.de now", "mine")], "doc_id long, text string, proposals string")
     assert tuple(pii.mask_personal_data(docs).first()) == (1, "mail [EMAIL] now", "mine")
+
+
+def peak_mb(work):
+    """Megabytes that the driver's Python holds at most during ``work``, and its result; numpy tells, Arrow's own memory does not count."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        made = work()
+        return tracemalloc.get_traced_memory()[1] / 1e6, made
+    finally:
+        tracemalloc.stop()
+
+
+def test_the_driver_keeps_bitmaps_packed(spark):
+    hashes = [0, 1, -1, 1 << 62, -(1 << 40), 12345678901234567]
+    rows = spark.createDataFrame([(h,) for h in hashes], "hash long")
+    peak, packed = peak_mb(lambda: decontaminate.hash_bitmap(rows))
+    want = np.zeros(1 << decontaminate.BITMAP_BITS, bool)
+    want[[(h % (1 << 64)) >> (64 - decontaminate.BITMAP_BITS) for h in hashes]] = True
+    assert (packed == np.packbits(want)).all() and peak < 8
+
+
+def test_the_training_sample_is_held_in_four_bytes_a_number(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_model, "fit", lambda row, feature, value, label: seen.extend([row, feature, value]) or quality_model.Machine.empty())
+    quality_model.train(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    assert len(seen[0]) == len(seen[1]) == len(seen[2]) > 0 and {a.itemsize for a in seen} == {4}
+
+
+def test_only_rows_in_groups_are_marked(spark, monkeypatch):
+    group = sentence(3, 60)
+    texts = [group, group, group + " more", *[sentence(k, 60) for k in range(20, 40)]]
+    written, runs = [], []
+    cut, find = jaccard_join.cut_lineage, jaccard_join.components
+
+    def noted(df):
+        made = cut(df)
+        if "stays" in made.columns:
+            written.append(made.count())
+        return made
+    monkeypatch.setattr(jaccard_join, "cut_lineage", noted)
+    monkeypatch.setattr(jaccard_join, "components", lambda links: runs.append(1) or find(links))
+    kept = jaccard_join.one_per_group(clashing(spark, list(enumerate(texts)))).collect()
+    assert sorted(r.doc_id for r in kept) == [0, *range(3, 23)]
+    # no link is left between the components, so they are not looked for again
+    assert written == [3] and len(runs) == 1
+
+
+def test_lists_and_decoded_texts_leave_in_pieces():
+    texts = [sentence(k, 3000) for k in range(200)] + [None, ""]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    made = list(bpe._digester(BYTE, True, True)(iter([whole])))
+    assert max(m.nbytes for m in made) < 6_000_000 < sum(m.nbytes for m in made)
+    assert [x for m in made for x in m.column("doc_id").to_pylist()] == list(range(len(texts)))
+    assert [x for m in made for x in m.column("decoded").to_pylist()] == [t or "" for t in texts]
