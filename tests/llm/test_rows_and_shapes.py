@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 import brute
 import corpus_pipeline as cp
 from conftest import SF, sentence
-from evalspark.llm import bpe, decontaminate, jaccard_join, main_text, pii, quality_model, quality_rules
-from evalspark.llm.queries import table, vocabulary
+from evalspark.llm import bpe, decontaminate, jaccard_join, main_text, pii, quality_model, quality_rules, substring_dedup
+from evalspark.llm.queries import QUERIES, table, vocabulary
 
 BYTE = vocabulary("byte_bpe_50k.json")
 
@@ -182,6 +182,19 @@ def test_only_rows_in_groups_are_marked(spark, monkeypatch):
     assert written == [3] and len(runs) == 1
 
 
+def test_repeats_are_removed_from_the_texts_themselves(spark):
+    part, tail = sentence(3, 90), "é" * 300
+    texts = [part + " one", "two " + part, "three", None, "", "x" + tail, "yy" + tail]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in substring_dedup.remove_repeats(docs, with_text=True).collect()}
+    assert [found[k].text for k in range(7)] == [" one", "two ", "three", "", "", "x", "yy"]
+    assert all(brute.sha(r.text) == r.kept_sha256 and len(r.text.encode()) == r.n_bytes - r.n_removed for r in found.values())
+    # the registered query returns them too
+    rows = QUERIES["op2_substring_dedup"](spark, SF).collect()
+    assert sum(r.n_removed > 0 for r in rows) > 0
+    assert all("\ufffd" in r.text or brute.sha(r.text) == r.kept_sha256 for r in rows)
+
+
 def test_lists_and_decoded_texts_leave_in_pieces():
     texts = [sentence(k, 3000) for k in range(200)] + [None, ""]
     whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
